@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fathom.llm.decontaminate import mark_contamination
 from fathom.llm.line_dedup import drop_frequent_lines
 from fathom.llm.mixing import mix_sources
+from fathom.llm.pii import pii_digests
+from fathom.llm.quality import FIGURES, judge_quality
+from fathom.llm.secrets import secret_digests
 from fathom.llm.token_files import token_digests, write_token_files
 
 
@@ -64,5 +67,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), sha(F.array_join("hit_items", ",")).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_token_files, op7_mixing, op8_decontaminate)}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents")).select("doc_id", *FIGURES, "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_token_files, op7_mixing, op8_decontaminate, op9_secrets, op10_pii)}
 SQL = {"op1_line_dedup": OP1_SQL}
