@@ -149,10 +149,10 @@ def rule_model(voted: DataFrame, rules: int, steps: int = STEPS) -> DataFrame:
     return row.select(model.alias("m")).select("m.prior", "m.weights")
 
 
-def _with_model(model: DataFrame) -> Column:
-    """The posterior of a row's votes; the model is a scalar subquery, found once."""
-    found = model.select(F.struct("prior", "weights")).scalar()
-    return let(found, lambda m: _posterior(m["prior"], m["weights"], F.col("votes")))
+def _with_quality(voted: DataFrame, model: DataFrame) -> DataFrame:
+    """``voted`` with the posterior of its votes; the model is a scalar subquery, found once."""
+    held = voted.withColumn("__m", model.select(F.struct("prior", "weights")).scalar())
+    return held.withColumn("quality", _posterior(F.col("__m.prior"), F.col("__m.weights"), F.col("votes"))).drop("__m")
 
 
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -177,7 +177,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
     rules = votes()
     slim = materialize(figures.select(F.col(id_col), *FIGURES, failed.alias("base_failed"), F.array(*rules).alias("votes")), "quality")
     model = rule_model(slim, len(rules))
-    judged = slim.withColumn("quality", _with_model(model))
+    judged = _with_quality(slim, model)
     return judged.select(F.col(id_col), *FIGURES, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
 
 
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     held = docs.select(F.struct(*columns).alias("__row"), *[c.alias(n) for n, c in text_figures(docs, text).items()])
     held = materialize(held.select("__row", failed.alias("__failed"), F.array(*rules).alias("votes")).where("not __failed"), "quality")
     model = rule_model(held, len(rules))
-    return held.where(_with_model(model) >= threshold).select("__row.*")
+    return _with_quality(held, model).where(F.col("quality") >= threshold).select("__row.*")
