@@ -1,12 +1,59 @@
-"""From raw documents to token files: five operators, each working on what the one before kept."""
+"""From raw documents to token files: five operators, each working on what the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``documents``. Between stages the documents are a table in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from fathom.llm.decontaminate import remove_contamination
+from fathom.llm.jaccard import keep_one_of_each
+from fathom.llm.mixing import mix_sources, take_mix
+from fathom.llm.quality import keep_good
+from fathom.llm.queries import vocabulary
+from fathom.llm.token_files import token_digests, write_token_files
+from fathom.runtime import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return keep_one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly such go."""
+    return remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return take_mix(mix_sources(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files are written; what they hold of each document comes back."""
+    folder, _ = write_token_files(docs, vocabulary())
+    return token_digests(spark, folder)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("mixed", mixed), ("tokens", tokens)]
+
+#: Estimation, hashing and a tokenizer have no SQL; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{name}", release=True)
+    return docs

@@ -141,29 +141,36 @@ def _verify(k: int, percent: int):
 
 
 def _pairs_by_leader(cells: DataFrame, shift: float) -> DataFrame:
-    """Within each column and size class, every document with the first one, if not yet together.
+    """Within each column and size class, every document with the leading one, if not yet together.
 
-    A document keeps the one leader that it shares most columns with.
+    The document with most shared columns leads: an original whose copies were each changed
+    elsewhere shares more than any copy. A document keeps the one leader that it shares most columns
+    with.
     """
     cells = cells.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + F.lit(shift)))
-    order = Window.partitionBy("gram", "class").orderBy("n", "doc")
-    first = F.first(F.when(F.col("indexed"), F.struct("doc", "root")), ignorenulls=True).over(order)
-    led = cells.withColumn("leader", first).where("leader.doc <> doc and leader.root <> root")
+    lead = F.max(F.struct("weight", -F.col("doc"), "doc", "root")).over(Window.partitionBy("gram", "class"))
+    led = cells.withColumn("leader", lead).where("leader.doc <> doc and leader.root <> root")
     counts = led.groupBy("doc", F.col("leader.doc").alias("leader")).agg(F.count("*").alias("shared"))
     best = counts.groupBy("doc").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
     return best.select(F.col("leader").alias("a"), F.col("doc").alias("b"))
 
 
 def _pairs_left(cells: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a column that are of different classes and within the size bound."""
+    """All pairs of a column that aren't together and within the bounds that their sizes set.
+
+    The first column that two documents share leaves room for the overlap that they need: neither
+    has more columns from there on than follow in its order.
+    """
     x, y = cells.where("indexed").alias("x"), cells.alias("y")
     before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc")))
     sizes = F.col("x.n") * 100 >= F.col("y.n") * percent
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & before & sizes & (F.col("x.root") != F.col("y.root")))
+    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+    room = (F.col("x.i") + need <= F.col("x.n")) & (F.col("y.i") + need <= F.col("y.n"))
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & before & sizes & room & (F.col("x.root") != F.col("y.root")))
     return pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, leaders: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, leaders: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) of each row: documents link when ``percent`` % or more of the
     union of their ``k``-gram sets is shared, exactly; component_id is the smallest id reachable.
 
@@ -182,7 +189,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.col(text).alias("__text"))
-    survey = materialize(slim.mapInArrow(_survey(k), "kind int, a long, b long, c long, d long"), "grams")
+    survey = materialize(slim.mapInArrow(_survey(k), "kind int, a long, b long, c long, d long"), "grams", release=True)
     sets = survey.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), "c", "d")
     often = survey.where("kind = 1").groupBy(F.col("a").alias("gram")).agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
     known = often["gram"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -192,12 +199,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     reps = sets.where("n > 0").groupBy("c", "d").agg(F.min("doc").alias("rep"))
     heads = slim.mapInArrow(_heads(often, k, percent), "doc long, n int, short int, grams array<long>")
     heads = heads.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    cells = heads.select("doc", "n", "short", F.posexplode("grams").alias("i", "gram")).select("gram", "doc", "n", (F.col("i") < F.col("short")).alias("indexed"))
+    cells = heads.select("doc", "n", "short", F.posexplode("grams").alias("i", "gram")).select("gram", "doc", "n", "i", (F.col("i") < F.col("short")).alias("indexed"))
     column = Window.partitionBy("gram")
     shared = cells.withColumn("first", F.min("doc").over(column)).withColumn("last", F.max("doc").over(column)).where("first < last")
-    cells = materialize(shared.select("gram", "doc", "n", "indexed"), "cells")
+    weight = F.count("*").over(Window.partitionBy("doc")) / F.col("n")
+    cells = materialize(shared.select("gram", "doc", "n", "i", "indexed", weight.alias("weight")), "cells", release=True)
     texts = slim.join(cells.select(F.col("doc").alias("__id")).distinct(), "__id", "left_semi")
-    texts = materialize(texts.groupBy("__id").agg(F.first("__text").alias("__text")), "candidates")
+    texts = materialize(texts.groupBy("__id").agg(F.first("__text").alias("__text")), "candidates", release=True)
 
     links = None
     roots = None
@@ -205,13 +213,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         if roots is None:
             now = cells.withColumn("root", F.col("doc"))
         else:
-            now = cells.join(roots, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "indexed", F.coalesce("root", "doc").alias("root"))
+            now = cells.join(roots, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "i", "indexed", "weight", F.coalesce("root", "doc").alias("root"))
         pairs = _pairs_by_leader(now, turn % 2 / 2) if turn < leaders else _pairs_left(now, percent)
         if links is not None:
             pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
         wide = pairs.join(texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), "b")
         wide = wide.join(texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta")), "a")
-        tested = materialize(wide.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long, linked boolean"), "tested")
+        tested = materialize(wide.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long, linked boolean"), "tested", release=True)
         links = tested if links is None else links.union(tested)
         if turn < leaders or not tested.where("linked").isEmpty():
             roots = components(links.where("linked"))
@@ -220,3 +228,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     out = named.select("doc", "n", F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("root", "rep")).alias("root"))
     real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return out.select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("root").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the first, by id, of those it is linked with, directly
+    or through others. Rows that repeat id and text stay once."""
+    found = jaccard_components(docs, id_col, text, k, percent)
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__first")).distinct()
+    return docs.join(first, F.col(id_col).eqNullSafe(F.col("__first")), "left_semi").dropDuplicates([id_col, text])

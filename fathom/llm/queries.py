@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.llm.decontaminate import mark_contamination
+from fathom.llm.jaccard import jaccard_components
 from fathom.llm.line_dedup import drop_frequent_lines
 from fathom.llm.mixing import mix_sources
 from fathom.llm.pii import pii_digests
 from fathom.llm.quality import FIGURES, judge_quality
 from fathom.llm.secrets import secret_digests
+from fathom.llm.suffix_dedup import string_digests
 from fathom.llm.token_files import token_digests, write_token_files
 
 
@@ -79,5 +81,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_token_files, op7_mixing, op8_decontaminate, op9_secrets, op10_pii)}
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op3_quality_rules, op4_token_files, op5_ngram_jaccard, op6_suffix_dedup, op7_mixing, op8_decontaminate, op9_secrets, op10_pii)
+}
 SQL = {"op1_line_dedup": OP1_SQL}
