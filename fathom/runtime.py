@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -34,13 +35,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that
-    survive lost executors, and expensive columns are computed once."""
-    spark = df.sparkSession
+    survive lost executors, and expensive columns are computed once. With ``release``, what was
+    shuffled so far may go now rather than when the driver next collects garbage."""
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
