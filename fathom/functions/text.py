@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: What a normalised answer keeps.
 KEPT = r"[^a-z0-9가-힣\s]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column, lower: bool = False) -> Column:
     """Runs without (Unicode) white space; two spaces make no empty token."""
     return F.filter(F.split(F.lower(text) if lower else text, r"(?U)\s+"), lambda t: t != "")
@@ -50,7 +57,7 @@ def normalise_text(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(KEPT, " ", unicodedata.normalize("NFKD", text or "").lower())).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalise(text: pd.Series) -> pd.Series:
     return text.map(normalise_text, na_action="ignore")
 
@@ -86,7 +93,7 @@ def stem(path: Column) -> Column:
 
 
 def parse_list(text: Column, mark: str = ";") -> Column:
-    return F.filter(F.transform(F.split(text, mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_given(*values: Column) -> Column:

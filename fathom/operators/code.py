@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from fathom.operators.chunkers import split_lines, split_recursive
 
@@ -141,6 +142,6 @@ def parses(code: str) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def code_parses(code: pd.Series) -> pd.Series:
     return code.fillna("").map(parses)
