@@ -17,7 +17,7 @@ from fathom.runtime import materialize, new_path
 MANIFEST = "part int, n_docs long, n_ids long, width int"
 
 #: Words and pieces of words whose ids a worker remembers; others are encoded anew each time.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: What a byte-level pre-tokenizer makes of ASCII and Latin-1 text, a run of one kind at a time.
@@ -109,7 +109,7 @@ class Encoder:
         return b"".join(out)
 
 
-_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def _unusual(text: str) -> bool:
