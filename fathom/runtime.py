@@ -41,12 +41,21 @@ def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     shuffled so far may go now rather than when the driver next collects garbage."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if release:
         del df
         gc.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # its last events hold the plan
         spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.work_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables once nothing that is still to run reads them."""
+    for table in tables:
+        drop_table(table.sparkSession, table.work_path)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
