@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.llm.suffixes import common_prefix_reaches, suffix_array, words_at
-from fathom.runtime import materialize
+from fathom.runtime import discard, materialize
 
 #: Bytes of the grams that anchor a string: every string's smallest gram, by hash, is its anchor.
 GRAM = 20
@@ -28,15 +28,12 @@ def anchors(text: bytes, length: int) -> np.ndarray:
     n = len(text) - length + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    b = np.frombuffer(text, dtype=np.uint8)
-    w = words_at(b)
-    m = len(b) - GRAM + 1
+    m = len(text) - GRAM + 1
+    w = np.ndarray(shape=(len(text) - 7,), dtype="<u8", buffer=text, strides=(1,)).astype(np.uint64)
     h = w[:m] * np.uint64(0x9E3779B97F4A7C15) + w[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F) + (w[GRAM - 8 : GRAM - 8 + m] ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x165667B19E3779F9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    h ^= h >> np.uint64(29)
     wide, got = length - GRAM + 1, 1
     while got * 2 <= wide:
         h = np.minimum(h[:-got], h[got:])
@@ -75,69 +72,102 @@ def _passages(length: int):
     """Runs of string starts with one anchor, as far as another document has it too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for key, th, t, common, hot in zip(*[_column(batch, c) for c in ("__id", "__hash", "__text", "common", "hot")], strict=True):
-                b = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            anchor, passage, pieces, where, lead = [], [], [], [], []
+            ids, texts = _column(batch, "__id").to_pylist(), _column(batch, "__text").to_pylist()
+            grams = [_lists(_column(batch, c)) for c in ("common", "hot")]
+            sizes = np.zeros(len(texts), dtype=np.int64)
+            for i, t in enumerate(texts):
+                b = (t or "").encode("utf-8", "surrogatepass")
                 a = anchors(b, length)
-                warm = common.values.to_numpy(zero_copy_only=False).view(np.uint64) if common.is_valid else np.empty(0, np.uint64)
-                glow = hot.values.to_numpy(zero_copy_only=False).view(np.uint64) if hot.is_valid else np.empty(0, np.uint64)
                 if not len(a):
                     continue
-                edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
-                first, last = edges[:-1], edges[1:]
-                runs = np.flatnonzero(np.isin(a[first], warm))
-                pieces = [(int(x), int(y), int(k)) for x, y, k in zip(first[runs], last[runs], a[first[runs]].view(np.int64), strict=True)]
-                for r in np.flatnonzero(np.isin(a[first], glow)):
-                    for i in range(int(first[r]), int(last[r])):
-                        pieces.append((i, i + 1, xxhash.xxh3_64_intdigest(b[i : i + length], seed=1) - 2**63))
-                key, th = key.as_py(), th.as_py()
-                for x, y, k in pieces:
-                    p = b[x : y + length - 1]
-                    d = xxhash.xxh3_64_intdigest(p)
-                    for column, value in zip(out, (k, d - 2**63, p, key, th, x), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "passage", "bytes", "doc", "hash", "at"])
+                edges = np.flatnonzero(a[1:] != a[:-1]) + 1
+                first, last = np.concatenate(([0], edges)), np.concatenate((edges, [len(a)]))
+                key = a[first].view(np.int64)
+                warm, glow = (_among(key, g[i]) for g in grams)
+                if glow.any():
+                    # strings of a hot anchor go one by one, under the string's own hash
+                    own = np.concatenate([np.arange(x, y) for x, y in zip(first[glow], last[glow], strict=True)])
+                    names = np.array([xxhash.xxh3_64_intdigest(b[x : x + length], seed=1) for x in own.tolist()], dtype=np.uint64).view(np.int64)
+                    first, last, key = np.concatenate((first[warm], own)), np.concatenate((last[warm], own + 1)), np.concatenate((key[warm], names))
+                else:
+                    first, last, key = first[warm], last[warm], key[warm]
+                new = [b[x:y] for x, y in zip(first.tolist(), (last + length - 1).tolist(), strict=True)]
+                pieces += new
+                for n in map(xxhash.xxh3_64_intdigest, new):
+                    passage.append(n)
+                    # only a task's first and smaller documents of a passage can be its smallest
+                    lead.append(met.get(n, ids[i] + 1) > ids[i])
+                    if lead[-1] and (n in met or len(met) < SEEN):
+                        met[n] = ids[i]
+                anchor.append(key)
+                where.append(first)
+                sizes[i] = len(new)
+            at = pa.array(np.repeat(np.arange(len(texts)), sizes))
+            names = pa.array(np.array(passage, dtype=np.uint64).view(np.int64))
+            none = np.empty(0, dtype=np.int64)
+            columns = [pa.array(np.concatenate([none, *anchor])), names, pa.array(pieces, pa.binary()), _column(batch, "__id").take(at), _column(batch, "__hash").take(at), pa.array(np.concatenate([none, *where]).astype(np.int32)), pa.array(lead, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "passage", "bytes", "doc", "hash", "at", "lead"])
 
     return run
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The items of a list column, row by row; null is none."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 def _first_holders(length: int):
     """For each distinct passage, runs of its string starts with the smallest document that has the
-    string, where that is smaller than some holder of the passage. Input is sorted by anchor."""
+    string. Input is sorted by anchor, passage and document."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[2] for r in rows]
-        sizes = np.array([len(t) for t in texts])
-        begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        text = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-        words = words_at(text)
-        owner = np.repeat(np.arange(len(rows)), sizes + 1)
-        left = (begin + sizes)[owner] - np.arange(len(text))
-        order = suffix_array(text, length, words)
-        order = order[left[order] >= length]
-        group = np.concatenate(([0], np.cumsum(~common_prefix_reaches(words, order, length))))
-        docs = np.array([r[3] for r in rows], dtype=np.int64)
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        least = np.minimum.reduceat(docs[owner[order]], starts)[group]
-        holder = np.empty(len(text), dtype=np.int64)
-        holder[order] = least
-        anchor, passage, runs = [], [], []
-        for r, x, n in zip(rows, begin.tolist(), sizes.tolist(), strict=True):
-            h = holder[x : x + n - length + 1]
-            if h.min() < r[4]:
-                edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-                anchor.append(r[0])
-                passage.append(r[1])
-                runs.append([{"x": int(p), "y": int(q) + length - 1, "d": int(h[p])} for p, q in zip(edges[:-1], edges[1:], strict=True) if h[p] < r[4]])
-        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(passage, pa.int64()), pa.array(runs, pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("d", pa.int64())])))], names=["anchor", "passage", "runs"])
+        anchor = np.array([r[0] for r in rows], dtype=np.int64)
+        least = np.array([r[3] for r in rows], dtype=np.int64)
+        sizes = np.array([len(r[2]) for r in rows])
+        # an anchor's only passage has nothing to be sorted against
+        near = anchor[1:] == anchor[:-1]
+        some = np.concatenate((near, [False])) | np.concatenate(([False], near))
+        out = [(r, [(0, int(sizes[r]), int(least[r]))]) for r in np.flatnonzero(~some).tolist()]
+        many = np.flatnonzero(some)
+        if len(many):
+            wide = sizes[many] + 1
+            begin = np.concatenate(([0], np.cumsum(wide)))[:-1]
+            text = np.frombuffer(b"\0".join([rows[r][2] for r in many.tolist()]) + b"\0", dtype=np.uint8)
+            words = words_at(text)
+            owner = np.repeat(np.arange(len(many)), wide)
+            left = (begin + wide - 1)[owner] - np.arange(len(text))
+            order = suffix_array(text, length, words)
+            order = order[left[order] >= length]
+            starts = np.flatnonzero(np.concatenate(([True], ~common_prefix_reaches(words, order, length))))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(order)]))))
+            holder = np.full(len(text), np.iinfo(np.int64).max)
+            holder[order] = np.minimum.reduceat(least[many][owner[order]], starts)[group]
+            for r, x in zip(many.tolist(), begin.tolist(), strict=True):
+                h = holder[x : x + int(sizes[r]) - length + 1]
+                edges = (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist()
+                out.append((r, [(p, q + length - 1, d) for p, q, d in zip([0, *edges], [*edges, len(h)], h[[0, *edges]].tolist(), strict=True)]))
+        keep = [r for r, _ in out]
+        runs = pa.array([[{"x": p, "y": q, "d": d} for p, q, d in x] for _, x in out], pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("d", pa.int64())])))
+        return pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array([rows[r][1] for r in keep], pa.int64()), runs], names=["anchor", "passage", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for r in zip(*[_column(batch, c).to_pylist() for c in ("anchor", "passage", "bytes", "least", "most")], strict=True):
+            for r in zip(*[_column(batch, c).to_pylist() for c in ("anchor", "passage", "bytes", "doc")], strict=True):
+                if rows and rows[-1][:2] == r[:2]:
+                    continue
                 if size >= BLOCK and rows[-1][0] != r[0]:
                     yield solve(rows)
                     rows, size = [], 0
@@ -183,7 +213,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "
     smallest gram hash inside), so strings are dealt out by anchor: neighbouring starts with one
     anchor travel as one passage. Only anchors that two documents have go that far, copies of a whole
     text stay behind with their first document, and passages of equal bytes are one with the
-    smallest and greatest of their documents. Each task sorts blocks of distinct passages into a
+    smallest of their documents, as far as each task can tell before anything is shuffled. Each task sorts blocks of distinct passages into a
     suffix array by two-stage sorting; neighbours with a common prefix of ``length`` bytes are one
     string, and its smallest document decides. Strings of an anchor that more than HOT documents have
     are dealt out one by one, so no group grows with the corpus.
@@ -195,9 +225,10 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "
     if length < GRAM + 8:
         raise ValueError(f"strings need {GRAM + 8} bytes or more")
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    same = [F.md5("__text").alias("h"), F.octet_length("__text").alias("size")]
-    copies = slim.select("__id", *same).where(F.col("size") >= length)
-    firsts = materialize(copies.groupBy("h", "size").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last"), "copies")
+    hashed = slim.select("__id", F.xxhash64("__text").alias("__hash"), F.md5("__text").alias("h"), F.octet_length("__text").alias("size")).where(F.col("size") >= length)
+    same = hashed.groupBy("h", "size").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last")
+    copies = hashed.join(same, ["h", "size"]).where("__id > first").select(F.col("__id").alias("doc"), F.col("__hash").alias("hash")).distinct()
+    copies = materialize(copies, "copies", release=True)
 
     rows = slim.mapInArrow(_anchor_rows(length), "anchor long, doc long")
     by = Window.partitionBy("anchor")
@@ -205,22 +236,24 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "
     shared = rows.groupBy("doc").agg(F.collect_list(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("common"), F.collect_list(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"))
     shared = materialize(shared, "anchors", release=True)
 
-    hashed = slim.withColumn("__hash", F.xxhash64("__text"))
-    wide = hashed.join(shared, F.col("__id") == F.col("doc"))
-    wide = wide.select("*", *same).join(firsts, ["h", "size"], "left").where("first is null or first = __id")
-    made = wide.select("__id", "__hash", "__text", "common", "hot").mapInArrow(_passages(length), "anchor long, passage long, bytes binary, doc long, hash long, at int")
+    texts = slim.withColumn("__hash", F.xxhash64("__text"))
+    first_table = shared
+    shared = shared.join(copies.groupBy("doc").agg(F.collect_set("hash").alias("same")), "doc", "left")
+    wide = texts.join(shared, F.col("__id") == F.col("doc")).where(F.col("same").isNull() | ~F.array_contains("same", F.col("__hash")))
+    made = wide.select("__id", "__hash", "__text", "common", "hot").mapInArrow(_passages(length), "anchor long, passage long, bytes binary, doc long, hash long, at int, lead boolean")
     made = materialize(made, "passages", release=True)
-    distinct = made.groupBy("anchor", "passage").agg(F.first("bytes").alias("bytes"), F.min("doc").alias("least"), F.max("doc").alias("most"))
-    held = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_first_holders(length), "anchor long, passage long, runs array<struct<x:int,y:int,d:long>>")
+    discard(first_table)
+    each = made.where("lead").select("anchor", "passage", "bytes", "doc").repartition("anchor").sortWithinPartitions("anchor", "passage", "doc")
+    held = each.mapInArrow(_first_holders(length), "anchor long, passage long, runs array<struct<x:int,y:int,d:long>>")
     held = materialize(held, "holders", release=True)
     cut = made.select("anchor", "passage", "doc", "hash", "at").join(held, ["anchor", "passage"])
     cut = cut.select("doc", "hash", F.explode(F.filter(F.transform("runs", lambda r: F.struct((F.col("at") + r["x"]).alias("x"), (F.col("at") + r["y"]).alias("y"), r["d"].alias("d"))), lambda r: r["d"] < F.col("doc"))).alias("r"))
     cut = cut.groupBy("doc", "hash").agg(F.collect_set(F.struct("r.x", "r.y")).alias("cut"))
-    cut = materialize(cut, "cuts", release=True)
+    whole = copies.select("doc", "hash", F.lit(True).alias("copy"))
+    cut = materialize(cut.join(whole, ["doc", "hash"], "full_outer"), "cuts", release=True)
+    discard(made, held, copies)
 
-    final = hashed.join(cut, (F.col("__id") == F.col("doc")) & (F.col("__hash") == F.col("hash")), "left")
-    final = final.select("__id", "__text", "cut", *same).join(firsts, ["h", "size"], "left")
-    final = final.select("__id", "__text", "cut", (F.col("first").isNotNull() & (F.col("first") < F.col("__id"))).alias("copy"))
+    final = texts.join(cut, (F.col("__id") == F.col("doc")) & (F.col("__hash") == F.col("hash")), "left").select("__id", "__text", "cut", F.coalesce("copy", F.lit(False)).alias("copy"))
     out = final.mapInArrow(_cut(), "id long, n_bytes long, spans array<struct<x:int,y:int>>, kept binary")
     return out.select(F.nullif(F.col("id"), F.lit(NULL_ID)).alias(id_col), "n_bytes", "spans", "kept")
 

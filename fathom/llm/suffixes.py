@@ -7,12 +7,8 @@ import numpy as np
 
 def words_at(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as a big-endian number; zeros follow the end."""
-    n = len(text)
     padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[i : i + n]
-    return out
+    return np.ndarray(shape=(len(text),), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
 
 
 def _smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -30,7 +26,7 @@ def _smaller_than_next(text: np.ndarray) -> np.ndarray:
 def _sort_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of the ``depth`` bytes that follow, word by word where they tie."""
     n = len(words)
-    at = at[np.argsort(words[at], kind="stable")]
+    at = at[np.argsort(words[at])]
     key = words[at]
     open_, group = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
     for skip in range(8, depth, 8):
