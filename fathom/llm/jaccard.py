@@ -17,42 +17,61 @@ BLOCK, REPORTED = 2_000_000, 4
 #: Frequent n-grams that workers get to know. They only order the columns of the matrix: any order
 #: gives the same links, this one the fewest candidates.
 FREQUENT = 200_000
-#: Word hashes that a worker remembers.
-REMEMBERED = 400_000
 NULL_ID = -(2**63)
 
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _random(n: int, seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(b"%d" % i, seed=seed) | 1 for i in range(n)], dtype=np.uint64)
 
-_hashes = _Hashes()
-_FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
+_BYTES, _FACTORS = _random(256, 1), _random(64, 2)
+_BYTES[65:91] = _BYTES[97:123]
+_BASE = int(_random(1, 3)[0])
+_BACK = pow(_BASE, -1, 2**64)
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
-def gram_set(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's ``k``-word grams. Words are runs without ASCII white space,
-    A-Z in lower case. Fewer than ``k`` words count as one gram, none as no gram."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if n == 0:
-        return np.empty(0, dtype=np.uint64)
-    if n < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], dtype=np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
-    h = np.zeros(n - k + 1, dtype=np.uint64)
-    for i in range(k):
-        h += w[i : n - k + 1 + i] * np.uint64(_FACTORS[i % 5] + 2 * (i // 5))
+
+def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
     h ^= h >> np.uint64(33)
-    return np.unique(h)
+    return h
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, A-Z as a-z: polynomials over the bytes, by differences of a running sum."""
+    b = np.frombuffer(text, dtype=np.uint8)
+    if len(_powers[0]) <= len(b):
+        for k, base in enumerate((_BASE, _BACK)):
+            steps = np.full(2 * len(b) + 1, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    edge = np.diff(np.concatenate(([True], _WHITE[b], [True])).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    run = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[b] * _powers[0][: len(b)])))
+    return _mix((run[end] - run[start]) * _powers[1][start] + (end - start).astype(np.uint64))
+
+
+def gram_set(text: str | None, k: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's ``k``-word grams. Words are runs without ASCII white space,
+    A-Z in lower case. Fewer than ``k`` words count as one gram, none as no gram."""
+    w = _word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    n = len(w)
+    if n == 0:
+        return w
+    if n < k:
+        return _mix(np.array([(w * _FACTORS[:n]).sum() + np.uint64(n)], dtype=np.uint64))
+    h = w[: n - k + 1] * _FACTORS[0]
+    for i in range(1, k):
+        h += w[i : n - k + 1 + i] * _FACTORS[i]
+    h = _mix(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -105,20 +124,28 @@ def _order(grams: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return grams[np.lexsort((grams, n))]
 
 
+#: One column in so many of a document's set is skipped, its most shared ones.
+SKIP = 60
+
+
+def _spare(n: int, percent: int) -> int:
+    """Columns that a head has beyond the least: what the document skips, what its partner may skip
+    (whose set is at most 100 / ``percent`` times as large), and as many again that must be shared."""
+    return (2 * n + n * 100 // percent) // SKIP
+
+
 def _heads(often, k: int, percent: int):
     """Leading columns of each document: enough that two documents that link share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, short, n = [], [], []
+            heads, n = [], []
             for t in _column(batch, "__text").to_pylist():
                 s = gram_set(t, k)
                 probe = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                index = len(s) - -(-2 * percent * len(s) // (100 + percent)) + 1 if len(s) else 0
-                heads.append(_order(s, often.value)[:probe].view(np.int64))
-                short.append(index)
+                heads.append(_order(s, often.value)[: probe + _spare(len(s), percent)].view(np.int64))
                 n.append(len(s))
-            yield pa.RecordBatch.from_arrays([_column(batch, "__id"), pa.array(n, pa.int32()), pa.array(short, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["doc", "n", "short", "grams"])
+            yield pa.RecordBatch.from_arrays([_column(batch, "__id"), pa.array(n, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["doc", "n", "grams"])
 
     return run
 
@@ -150,18 +177,48 @@ def _pairs_by_leader(cells: DataFrame, shift: float) -> DataFrame:
     cells = cells.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + F.lit(shift)))
     lead = F.max(F.struct("weight", -F.col("doc"), "doc", "root")).over(Window.partitionBy("gram", "class"))
     led = cells.withColumn("leader", lead).where("leader.doc <> doc and leader.root <> root")
-    counts = led.groupBy("doc", F.col("leader.doc").alias("leader")).agg(F.count("*").alias("shared"))
+    counts = led.groupBy("doc", F.col("leader.doc").alias("leader")).agg(F.count("*").alias("shared"), F.first("n").alias("size"))
+    counts = counts.where(F.col("shared") > F.floor(F.col("size") / SKIP))
     best = counts.groupBy("doc").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
     return best.select(F.col("leader").alias("a"), F.col("doc").alias("b"))
 
 
-def _pairs_left(cells: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a column that aren't together and within the bounds that their sizes set.
+def _open_documents(cells: DataFrame) -> DataFrame:
+    """(doc, n, root) of documents that may still link with one they aren't together with.
 
-    The first column that two documents share leaves room for the overlap that they need: neither
-    has more columns from there on than follow in its order.
+    Two documents that need an overlap of m share at least l of their first n - m + l columns, for
+    any l. Each skips its most shared columns, one in SKIP, so that common passages don't count;
+    with l = 1 + what both skip + r, at least 1 + r shared columns are left to each.
     """
-    x, y = cells.where("indexed").alias("x"), cells.alias("y")
+    column = Window.partitionBy("gram")
+    mixed = cells.where("not skipped").withColumn("low", F.min("root").over(column)).withColumn("high", F.max("root").over(column)).where("low < high")
+    per = mixed.groupBy("doc").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("root").alias("root"))
+    return per.where(F.col("shared") > F.floor(F.col("n") / SKIP)).select("doc", "n", "root")
+
+
+def _whole_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [gram_set(t, k).view(np.int64) for t in _column(batch, "__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([_column(batch, "doc"), _column(batch, "n"), _column(batch, "root"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "n", "root", "grams"])
+
+    return run
+
+
+def _pairs_left(cells: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs that aren't together and can still link.
+
+    Of the documents that are open, whole sets are ordered anew, by how many open documents have a
+    column: what only one has comes first and pairs it with nobody. Two that need an overlap of m
+    share one of their first n - m + 1 columns.
+    """
+    opened = _open_documents(cells)
+    whole = texts.join(opened, F.col("__id") == F.col("doc")).select("doc", "n", "root", "__text")
+    whole = whole.mapInArrow(_whole_sets(k), "doc long, n int, root long, grams array<long>").select("doc", "n", "root", F.explode("grams").alias("gram"))
+    counted = whole.withColumn("df", F.count("*").over(Window.partitionBy("gram")))
+    ordered = counted.withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy("df", "gram")) - 1)
+    heads = materialize(ordered.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100))).select("gram", "doc", "n", "root", "i"), "heads", release=True)
+    x, y = heads.alias("x"), heads.alias("y")
     before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc")))
     sizes = F.col("x.n") * 100 >= F.col("y.n") * percent
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
@@ -175,10 +232,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     union of their ``k``-gram sets is shared, exactly; component_id is the smallest id reachable.
 
     The matrix of documents by n-grams is multiplied with its transpose, as far as needed. Documents
-    with equal sets are one row of the matrix from the start. Columns run from rare to frequent. A
-    row of n cells links with another only if they share one of its first n - ceil(0.8 n) + 1 columns
-    (for the smaller of the two, its first n - ceil(8 n / 9) + 1), so only these heads, by column,
-    become candidates, and only within the size bound. Candidates of a column come in rounds: first
+    with equal sets are one row of the matrix from the start. Columns run from rare to frequent. Two
+    rows link only if they share columns among their first ones, as many as their sizes say, so only
+    such heads are multiplied, by column and within the size bound, and overlaps in them are counted
+    before a pair becomes a candidate. Candidates of a column come in rounds: first
     with one leader per column and size class, which joins a group of copies by as many pairs as it
     has members; what is together already needs no more pairs. A last round takes every pair that is
     still apart, so no link is lost. Overlaps of candidates are counted on whole sets.
@@ -197,13 +254,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     often = spark.sparkContext.broadcast((known[by], often["n"].to_numpy(dtype=np.int64)[by]))
 
     reps = sets.where("n > 0").groupBy("c", "d").agg(F.min("doc").alias("rep"))
-    heads = slim.mapInArrow(_heads(often, k, percent), "doc long, n int, short int, grams array<long>")
+    heads = slim.mapInArrow(_heads(often, k, percent), "doc long, n int, grams array<long>")
     heads = heads.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    cells = heads.select("doc", "n", "short", F.posexplode("grams").alias("i", "gram")).select("gram", "doc", "n", "i", (F.col("i") < F.col("short")).alias("indexed"))
-    column = Window.partitionBy("gram")
-    shared = cells.withColumn("first", F.min("doc").over(column)).withColumn("last", F.max("doc").over(column)).where("first < last")
-    weight = F.count("*").over(Window.partitionBy("doc")) / F.col("n")
-    cells = materialize(shared.select("gram", "doc", "n", "i", "indexed", weight.alias("weight")), "cells", release=True)
+    cells = heads.select("doc", "n", F.posexplode("grams").alias("i", "gram"))
+    column, own = Window.partitionBy("gram"), Window.partitionBy("doc")
+    shared = cells.withColumn("first", F.min("doc").over(column)).withColumn("last", F.max("doc").over(column)).withColumn("df", F.count("*").over(column)).where("first < last")
+    weight, place = F.count("*").over(own) / F.col("n"), F.row_number().over(own.orderBy(F.desc("df"), "gram"))
+    cells = materialize(shared.select("gram", "doc", "n", "i", weight.alias("weight"), (place <= F.floor(F.col("n") / SKIP)).alias("skipped")), "cells", release=True)
     texts = slim.join(cells.select(F.col("doc").alias("__id")).distinct(), "__id", "left_semi")
     texts = materialize(texts.groupBy("__id").agg(F.first("__text").alias("__text")), "candidates", release=True)
 
@@ -213,8 +270,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         if roots is None:
             now = cells.withColumn("root", F.col("doc"))
         else:
-            now = cells.join(roots, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "i", "indexed", "weight", F.coalesce("root", "doc").alias("root"))
-        pairs = _pairs_by_leader(now, turn % 2 / 2) if turn < leaders else _pairs_left(now, percent)
+            now = cells.join(roots, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "i", "skipped", "weight", F.coalesce("root", "doc").alias("root"))
+        pairs = _pairs_by_leader(now, turn % 2 / 2) if turn < leaders else _pairs_left(now, texts, k, percent)
         if links is not None:
             pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
         wide = pairs.join(texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), "b")
