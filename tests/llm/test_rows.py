@@ -51,7 +51,7 @@ def test_mix_comes_near_its_targets(spark):
     assert len(out) == len(rows) and sorted(out, key=str) == sorted(mix_sources(docs.repartition(5)).collect(), key=str)
     for s in ("a", "b", None):
         own = [x for x in out if x["source"] == s]
-        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 5
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 100  # half of the longest document
         assert own[0]["source_size"] == sum(x["size"] for x in own)
     assert all(x["taken"] <= 3 * x["size"] and x["taken"] == x["copies"] * x["size"] for x in out)
     assert take_mix(mix_sources(docs)).count() == sum(x["copies"] for x in out)
