@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.llm.decontaminate import mark_contamination
 from fathom.llm.jaccard import jaccard_components
+from fathom.llm.licenses import license_reports
 from fathom.llm.line_dedup import drop_frequent_lines
 from fathom.llm.mixing import mix_sources
 from fathom.llm.pii import pii_digests
@@ -46,6 +47,10 @@ GROUP BY doc_id
 """
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_reports(_table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The byte-level vocabulary's file, where the library that ships it has it."""
     import public_tokenizers
@@ -91,6 +96,6 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_quality_rules, op4_token_files, op5_ngram_jaccard, op6_suffix_dedup, op7_mixing, op8_decontaminate, op9_secrets, op10_pii)
+    for f in (op1_line_dedup, op2_license_scans, op3_quality_rules, op4_token_files, op5_ngram_jaccard, op6_suffix_dedup, op7_mixing, op8_decontaminate, op9_secrets, op10_pii)
 }
 SQL = {"op1_line_dedup": OP1_SQL}
