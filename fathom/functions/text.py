@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: What a normalised answer keeps.
 KEPT = r"[^a-z0-9가-힣\s]"
@@ -62,10 +62,24 @@ def _normalise(text: pd.Series) -> pd.Series:
     return text.map(normalise_text, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _normalise_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda a: [None if t is None else normalise_text(t) for t in a], na_action="ignore")
+
+
+def _ascii_normalised(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def normalise_each(texts: Column) -> Column:
+    """``normalise_text`` of each item of an array; arrays of pure ASCII never leave the JVM."""
+    plain = F.forall(texts, lambda t: F.coalesce(F.octet_length(t) == F.length(t), F.lit(True)))
+    return F.when(plain, F.transform(texts, _ascii_normalised)).otherwise(_normalise_each(F.when(~plain, texts)))
+
+
 def normalise(text: Column) -> Column:
     """``normalise_text`` as a column; pure ASCII never leaves the JVM."""
-    ascii_ = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+", " "))
-    return F.when(F.octet_length(text) == F.length(text), ascii_).otherwise(_normalise(F.when(F.octet_length(text) != F.length(text), text)))
+    return F.when(F.octet_length(text) == F.length(text), _ascii_normalised(text)).otherwise(_normalise(F.when(F.octet_length(text) != F.length(text), text)))
 
 
 def holds(haystack: Column, needle: Column) -> Column:

@@ -110,13 +110,14 @@ def faithfulness(answers: DataFrame, contexts: DataFrame, threshold: float = 0.3
 
 
 def correctness_by_query(rows: DataFrame) -> DataFrame:
-    """``rows`` (answer, short_answer, key_entities) with exact_match and entity_recall."""
-    found = F.filter("key_entities", lambda e: F.contains(F.col("__answer"), F.trim(F.regexp_replace(F.regexp_replace(F.lower(e), r"[^a-z0-9\s]", " "), r"\s+", " "))))
-    from fathom.functions.text import normalise
+    """``rows`` (answer, short_answer, key_entities) with exact_match and entity_recall; an entity is
+    found if the normalised answer contains it, normalised alike."""
+    from fathom.functions.text import normalise, normalise_each
 
-    held = rows.withColumn("__answer", normalise(F.coalesce("answer", F.lit(""))))
+    held = rows.withColumn("__answer", normalise(F.coalesce("answer", F.lit("")))).withColumn("__entities", normalise_each(F.col("key_entities")))
+    found = F.filter("__entities", lambda e: F.contains(F.col("__answer"), e))
     recall = F.coalesce(F.try_divide(F.size(found), F.size("key_entities")), F.lit(0.0))
-    return held.withColumn("exact_match", holds(F.col("answer"), F.col("short_answer")).cast("int")).withColumn("entity_recall", recall).drop("__answer")
+    return held.withColumn("exact_match", holds(F.col("answer"), F.col("short_answer")).cast("int")).withColumn("entity_recall", recall).drop("__answer", "__entities")
 
 
 def correctness_summary(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -74,10 +74,16 @@ def extractive_answer(spark, sf_dir):
     FROM conversations WHERE strlen(text) = length(text)"""
 )
 def normalised_text(spark, sf_dir):
+    """The pure ASCII rows, which are those that SQL can say; normalised_text_all has every row."""
     rows = table(spark, sf_dir, "conversations").where(F.octet_length("text") == F.length("text"))
     return rows.select("conv_id", "turn", T.normalise(F.col("text")).alias("norm"))
 
 
+@query()
+def normalised_text_all(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise(F.col("text")).alias("norm"))
+
+
 @query("SELECT doc_id, left(replace(text, chr(10), ' '), 150) AS flat, left(text, 200) AS raw FROM documents")
 def preview(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("flat"), T.preview(F.col("text"), 200, flat=False).alias("raw"))
@@ -491,21 +497,35 @@ ANSWERED = """SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FRO
 WHERE u.role = 'user' AND a.role = 'assistant' AND strlen(u.text) = length(u.text) AND strlen(a.text) = length(a.text)"""
 
 
-def _answered(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where(F.octet_length("text") == F.length("text"))
+def _answered(spark, sf_dir, every=False):
+    """User turns with the assistant's next: all of them, or the pure ASCII ones, which SQL can say."""
+    turns = table(spark, sf_dir, "conversations").where(F.lit(every) | (F.octet_length("text") == F.length("text")))
     said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(said, ["conv_id", "turn"])
 
 
+def _entity_recall(rows):
+    rows = rows.select("conv_id", "turn", "answer", F.slice(T.tokens(F.col("question")), 1, 4).alias("key_entities"), F.element_at(F.split("answer", " "), 1).alias("short_answer"))
+    return metrics.correctness_by_query(rows).select("conv_id", "turn", "exact_match", F.round("entity_recall", 6).alias("entity_recall"))
+
+
+def _exact_match(rows):
+    rows = rows.select((F.col("conv_id") % 3).alias("setting"), F.when(F.col("turn") < 2, "FACT").otherwise("EXPLANATION").alias("query_type"), "answer", F.element_at(F.split("answer", " "), 1).alias("short_answer"), F.array().cast("array<string>").alias("key_entities"))
+    return metrics.correctness_summary(metrics.correctness_by_query(rows), ["setting"]).select("setting", "queries", "exact_match", "fact_exact_match")
+
+
 @query(
     f"""WITH p AS ({ANSWERED}), k AS (SELECT *, list_slice([x for x in string_split_regex(question, '\\s+') if x <> ''], 1, 4) AS keys, string_split(answer, ' ')[1] AS short FROM p)
     SELECT conv_id, turn, (short <> '' AND contains({NORM.format('answer')}, {NORM.format('short')}))::INT AS exact_match,
     round(coalesce(len([x for x in keys if contains({NORM.format('answer')}, {NORM.format('x')})]) / nullif(len(keys), 0), 0), 6) AS entity_recall FROM k"""
 )
 def entity_recall(spark, sf_dir):
-    rows = _answered(spark, sf_dir)
-    rows = rows.select("conv_id", "turn", "answer", F.slice(T.tokens(F.col("question")), 1, 4).alias("key_entities"), F.element_at(F.split("answer", " "), 1).alias("short_answer"))
-    return metrics.correctness_by_query(rows).select("conv_id", "turn", "exact_match", F.round("entity_recall", 6).alias("entity_recall"))
+    return _entity_recall(_answered(spark, sf_dir))
+
+
+@query()
+def entity_recall_all(spark, sf_dir):
+    return _entity_recall(_answered(spark, sf_dir, every=True))
 
 
 @query(
@@ -514,8 +534,12 @@ def entity_recall(spark, sf_dir):
     SELECT setting, count(*) AS queries, round(avg(em), 6) AS exact_match, round(coalesce(avg(em) FILTER (kind = 'FACT'), 0), 6) AS fact_exact_match FROM e GROUP BY setting"""
 )
 def exact_match(spark, sf_dir):
-    rows = _answered(spark, sf_dir).select((F.col("conv_id") % 3).alias("setting"), F.when(F.col("turn") < 2, "FACT").otherwise("EXPLANATION").alias("query_type"), "answer", F.element_at(F.split("answer", " "), 1).alias("short_answer"), F.array().cast("array<string>").alias("key_entities"))
-    return metrics.correctness_summary(metrics.correctness_by_query(rows), ["setting"]).select("setting", "queries", "exact_match", "fact_exact_match")
+    return _exact_match(_answered(spark, sf_dir))
+
+
+@query()
+def exact_match_all(spark, sf_dir):
+    return _exact_match(_answered(spark, sf_dir, every=True))
 
 
 CONTEXTS = "SELECT conv_id, list(text ORDER BY turn) AS c, min(turn) AS t FROM conversations GROUP BY conv_id"
