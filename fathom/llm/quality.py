@@ -182,11 +182,16 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge_quality`` keeps, with their columns."""
+    """The rows of ``docs`` that ``judge_quality`` keeps, with their columns.
+
+    The model is fitted on the votes of all rows; only the rows themselves that fail the base rules
+    are not written.
+    """
     rules = votes()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     held = docs.select(F.struct(*columns).alias("__row"), *[c.alias(n) for n, c in text_figures(docs, text).items()])
-    held = materialize(held.select("__row", failed.alias("__failed"), F.array(*rules).alias("votes")).where("not __failed"), "quality")
+    passed = F.when(~failed, F.col("__row")).alias("__row")
+    held = materialize(held.select(passed, failed.alias("__failed"), F.array(*rules).alias("votes")), "quality")
     model = rule_model(held, len(rules))
-    return _with_quality(held, model).where(F.col("quality") >= threshold).select("__row.*")
+    return _with_quality(held.where("not __failed"), model).where(F.col("quality") >= threshold).select("__row.*")
