@@ -292,8 +292,27 @@ m AS (SELECT qid, coalesce(CAST(min(rank) FILTER (relevant = 1) = 1 AS INTEGER),
   coalesce(sum(relevant / log2(rank + 1)) / nullif(sum(relevant / log2(best_rank + 1)), 0), 0) AS ndcg FROM per GROUP BY qid)"""
 
 
+#: Items of fewer than six words that go to every task at once, by number and characters; more go in blocks.
+SHORT_ITEMS, SHORT_CHARS = 2000, 1 << 20
+
+
+def _blocks(rows):
+    """Rows (qid, item) in lists of a bounded size."""
+    block, chars = [], 0
+    for r in rows:
+        if block and (len(block) >= SHORT_ITEMS or chars + len(r["item"]) > SHORT_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append((r["qid"], r["item"]))
+        chars += len(r["item"])
+    if block:
+        yield block
+
+
 def _gold(spark, sf_dir):
-    """Documents that hold an item whole: an equi-join on the item's first words, then the test."""
+    """Documents that hold an item whole: an equi-join on the item's first inner words, then the
+    test. Items of fewer than six words have no such key; they are broadcast in blocks and tested
+    on each document."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     key = T.let(T.tokens(F.col("item")), lambda w: F.when(F.size(w) >= 6, F.array_join(F.slice(w, 2, 4), " ")))
@@ -304,7 +323,12 @@ def _gold(spark, sf_dir):
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, 4), " ")))
 
     found = docs.select("doc_id", "body", F.explode(T.let(T.tokens(F.col("body")), grams)).alias("key")).join(items.where("key is not null"), "key").where(F.contains("body", F.col("item")))
-    return found.select("qid", "doc_id").distinct()
+    found = found.select("qid", "doc_id")
+    short = items.where("key is null and item is not null").select("qid", "item")
+    for block in _blocks(short.toLocalIterator()):
+        held = F.broadcast(spark.createDataFrame(block, short.schema))
+        found = found.unionByName(docs.join(held, F.contains("body", F.col("item"))).select("qid", "doc_id"))
+    return found.distinct()
 
 
 def _sparse_judged(spark, sf_dir, k):

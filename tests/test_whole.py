@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from fathom import queries as Q
@@ -51,3 +52,24 @@ def test_every_pair_is_judged(spark):
         assert r["queries"] == len(rows) and r["exact_match"] == pytest.approx(mean([m for m, _ in rows]), abs=1e-6)
         assert r["fact_exact_match"] == pytest.approx(mean([m for m, fact in rows if fact]), abs=1e-6)
     assert not by
+
+
+@pytest.mark.parametrize("block", [2000, 2])
+def test_short_items_find_their_gold(spark, tmp_path, monkeypatch, block):
+    """Items of no to seven words, against the queries' own SQL."""
+    monkeypatch.setattr(Q, "SHORT_ITEMS", block, raising=False)
+    docs = [(0, "one two three four five six seven eight"), (1, "xone twoy"), (2, "three  four five"), (3, None), (4, "seven"), (5, "")]
+    items = ["one", "one two", "two three four", "three four five six", "two three four five six", "one two three four five six", "two three four five six seven eight", "four five", "absent words", "", None]
+    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10 + i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rel = con.sql(f"WITH {Q.GOLD} SELECT DISTINCT qid, doc_id FROM gold")
+    assert sorted((r["qid"], r["doc_id"]) for r in Q._gold(spark, str(tmp_path)).collect()) == sorted(rel.fetchall())
+    got = sorted((r["qid"], r["skipped"], r["n_gold"]) for r in Q.skipped_queries(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(Q.SQL["skipped_queries"]).fetchall())
+    if block > 2:
+        rel = con.sql(Q.SQL["hit_mrr_ndcg_sparse"])
+        want = dict(zip(rel.columns, rel.fetchall()[0], strict=True))
+        assert Q.hit_mrr_ndcg_sparse(spark, str(tmp_path)).first().asDict() == pytest.approx(want)
