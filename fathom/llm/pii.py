@@ -39,10 +39,23 @@ def base_spans(t: Column) -> dict[str, Column]:
     return {"email": find_spans(t, EMAIL, F.contains(t, F.lit("@"))), "ip": ip, "card": card, "phone": phone}
 
 
+#: Code points before a place that are looked at first; only where they don't hold the last two words whole are more.
+NEAR = (48, 1024)
+
+
 def _context(t: Column, a: Column) -> Column:
-    """The two words before a place, in lower case, with the punctuation that follows them."""
-    before = F.substring(t, F.greatest(F.lit(1), a - 47), F.least(a, F.lit(48)))
-    return F.regexp_extract(ascii_lower(before), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z", 1)
+    """The last two words before a place, wherever they start, in lower case, with the punctuation
+    that follows them; one word if the text has no more there, and empty if it has none."""
+    two = r"\A[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)"
+
+    def last(n: Column, whole: Column) -> Column:
+        back = F.reverse(F.substring(t, a - n + 1, n))
+        found = F.when(whole, F.regexp_extract(back, two, 1)).otherwise(F.regexp_extract(back, two + r"[\x20\x09-\x0D]", 1))
+        one = F.regexp_extract(back, r"\A[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
+        return F.when(found != "", found).when(whole, one)
+
+    tries = [last(F.least(a, F.lit(n)), a <= n) for n in NEAR]
+    return ascii_lower(F.reverse(F.coalesce(*tries, last(a, F.lit(True)))))
 
 
 def _instance(m: Column) -> Column:
@@ -75,7 +88,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds
     """(id, pii) of each row: pii is an array of (a, k, b, kind) by start; a and b in code points.
 
     Base kinds are ``email``, ``ip``, ``card`` (passing Luhn's test) and ``phone``. They are the
-    seeds: the two words before one are a lexical pattern. Tokens that look like identifiers and
+    seeds: the two words before one are a lexical pattern (one word, if the text starts with it). Tokens that look like identifiers and
     stand behind the same patterns are instances; trust runs over the graph of patterns and
     instances for ``rounds`` rounds, and tokens behind trusted patterns are reported as ``found``
     unless they overlap a base span.
