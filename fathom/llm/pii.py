@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm.common import ascii_lower, let, text_or_empty
 from fathom.llm.spans import apart, by_place, count_kind, find_spans, written
-from fathom.runtime import materialize
+from fathom.runtime import discard, materialize
 
 #: The shapes of personal data. \G and the look-behind only spare hopeless starts.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -62,35 +62,48 @@ def _instance(m: Column) -> Column:
     return F.xxhash64(F.regexp_replace(ascii_lower(m), "[^0-9a-z@.]", ""))
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = 2, min_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
+#: A bound on rounds that only guards against a graph that never settles.
+MOST_ROUNDS = 200
+#: Scores that rise by less than this in sum have settled.
+SETTLED = 1e-6
+
+
+def trusted_patterns(seen: DataFrame, rounds: int = MOST_ROUNDS, min_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
     """Patterns (context) that mostly lead to identifiers, from edges (context, instance, seed).
 
     Edges are the pattern-instance graph, one for each distinct pair. An instance's trust starts at
     1 for a seed and 0 otherwise; a pattern's score is the mean trust of its instances, and it is
     trusted from ``confidence`` on if its instances have ``min_seeds`` of trust in sum. Each round
     the instances of trusted patterns take over the pattern's score, so that patterns further from
-    the seeds can follow. Every step is an aggregate with partial sums.
+    the seeds can follow, until no pattern joins and no score rises: trust only ever grows, so
+    rounds end, and ``rounds`` merely bounds them. Every step is an aggregate with partial sums.
     """
     edges = seen.groupBy("context", "instance").agg(F.max("seed").cast("double").alias("seed"))
     edges = materialize(edges, "pii-graph")
     trust = edges.groupBy("instance").agg(F.max("seed").alias("trust"))
-    good = None
+    good, before = None, None
     for _ in range(rounds):
         scored = edges.join(trust, "instance").groupBy("context").agg(F.avg("trust").alias("score"), F.sum("trust").alias("mass"))
-        good = materialize(scored.where((F.col("score") >= confidence) & (F.col("mass") >= min_seeds)), "pii-patterns")
+        last, good = good, materialize(scored.where((F.col("score") >= confidence) & (F.col("mass") >= min_seeds)), "pii-patterns")
+        if last is not None:
+            discard(last)
+        n, scores = good.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if before is not None and n == before[0] and scores - before[1] < SETTLED:
+            break
+        before = (n, scores)
         lent = edges.join(good, "context").groupBy("instance").agg(F.max("score").alias("lent"))
         trust = edges.groupBy("instance").agg(F.max("seed").alias("seed")).join(lent, "instance", "left")
         trust = trust.select("instance", F.greatest("seed", F.coalesce("lent", F.lit(0.0))).alias("trust"))
     return good.select("context", "score")
 
 
-def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = 2, min_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
+def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = MOST_ROUNDS, min_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
     """(id, pii) of each row: pii is an array of (a, k, b, kind) by start; a and b in code points.
 
     Base kinds are ``email``, ``ip``, ``card`` (passing Luhn's test) and ``phone``. They are the
     seeds: the two words before one are a lexical pattern (one word, if the text starts with it). Tokens that look like identifiers and
     stand behind the same patterns are instances; trust runs over the graph of patterns and
-    instances for ``rounds`` rounds, and tokens behind trusted patterns are reported as ``found``
+    instances until it settles (``rounds`` at most), and tokens behind trusted patterns are reported as ``found``
     unless they overlap a base span.
 
     Texts are read once; places and contexts, a small part of them, go to a table of the shared

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from fathom.llm.pii import _context, scan_pii
+from fathom.llm.pii import _context, scan_pii, trusted_patterns
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,25 @@ def test_far_contexts_and_text_starts_find(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [x["kind"] for x in r["pii"]] for r in scan_pii(docs).collect()}
     assert got[12] == ["found"] and got[13] == ["found"]
+
+
+def test_trust_runs_until_it_settles(spark):
+    """A chain of patterns, each of which trusts the next one's instances."""
+    edges = [("c0", i, 1) for i in range(7)] + [("c0", 100 + i, 0) for i in range(3)]
+    for k in range(1, 6):
+        edges += [(f"c{k}", 100 * k + i, 0) for i in range(8)] + [(f"c{k - 1}", 100 * k + i, 0) for i in range(8)] * (k > 1)
+    chain = [("p0", i, 1) for i in range(6)] + [("p0", 1000, 0)]
+    for k in range(1, 6):
+        chain += [(f"p{k}", 1000 + 10 * (k - 1), 0), *[(f"p{k}", 5000 + 10 * k + i, 1) for i in range(6)], (f"p{k}", 1000 + 10 * k, 0), (f"p{k}", 9000 + k, 0)]
+    rows = [(c, i, s) for c, i, s in dict.fromkeys(edges + chain)]
+    got = {r["context"] for r in trusted_patterns(spark.createDataFrame(rows, "context string, instance long, seed int")).collect()}
+    trust = {i: 0.0 for _, i, _ in rows} | {i: 1.0 for _, i, s in rows if s}
+    seeds, sizes = dict(trust), []
+    for _ in range(300):
+        by = {}
+        for c, i, _ in rows:
+            by.setdefault(c, []).append(trust[i])
+        good = {c: sum(x) / len(x) for c, x in by.items() if sum(x) / len(x) >= 0.7 and sum(x) >= 5}
+        trust = {i: max([seeds[i], *(good[c] for c, j, _ in rows if j == i and c in good)]) for i in trust}
+        sizes.append(len(good))
+    assert got == set(good) and sizes[1] < sizes[-1]
