@@ -509,6 +509,16 @@ def faithfulness_vec(spark, sf_dir):
     return metrics.faithfulness(said, rows.where(F.col("vec_id") % 100 == 0).select(F.col("label").alias("qid"), F.col("embedding").alias("v")))
 
 
+@query(
+    f"""WITH best AS (SELECT a.label AS qid, a.vec_id, max({VEC}) AS best FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL)
+    SELECT qid, round(avg(coalesce(best >= 0.35, false)::INT), 6) AS faithfulness FROM best GROUP BY qid"""
+)
+def faithfulness_vec_all(spark, sf_dir):
+    """The sentences of the stated query set against all other vectors of their label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("qid"), F.col("vec_id").alias("sid"), F.col("embedding").alias("v"))
+    return metrics.faithfulness(rows.where(F.col("sid") % 100 == 0), rows)
+
+
 @query(f"SELECT a.label, round(avg(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9)), 6) AS answer_relevance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")
 def relevance_vec(spark, sf_dir):
     a = table(spark, sf_dir, "embeddings")

@@ -73,3 +73,10 @@ def test_short_items_find_their_gold(spark, tmp_path, monkeypatch, block):
         rel = con.sql(Q.SQL["hit_mrr_ndcg_sparse"])
         want = dict(zip(rel.columns, rel.fetchall()[0], strict=True))
         assert Q.hit_mrr_ndcg_sparse(spark, str(tmp_path)).first().asDict() == pytest.approx(want)
+
+
+def test_sentences_are_held_against_all_other_vectors(spark):
+    schema = "qid long, sid long, v array<double>"
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 100, [1.0, 0.0]), (2, 101, [1.0, 0.1]), (3, 200, [1.0, 0.0])], schema)
+    got = {r["qid"]: r["faithfulness"] for r in metrics.faithfulness(rows.where("sid % 100 = 0"), rows).collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: 0.0}
