@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -35,18 +34,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+#: Makes Spark delete the shuffles of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that
-    survive lost executors, and expensive columns are computed once. With ``release``, what was
-    shuffled so far may go now rather than when the driver next collects garbage."""
+    survive lost executors, and expensive columns are computed once. What was shuffled on the way
+    goes as soon as the table is written."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # its last events hold the plan
-        spark._jvm.System.gc()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(schema).parquet(path)
     table.work_path = path
     return table
