@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from fathom.functions.text import let as let
 
@@ -15,7 +16,15 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+
+
+def long_id(df: DataFrame, name: str) -> Column:
+    """An integer id as long; ids of other types are refused before anything runs."""
+    kind = df.select(F.col(f"`{name}`")).schema[0].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{name} must be an integer, not {kind.simpleString()}")
+    return F.col(f"`{name}`").cast("long")
 
 
 def ascii_lower(text: Column) -> Column:

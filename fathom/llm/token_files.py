@@ -8,30 +8,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from fathom.llm.common import long_id
 from fathom.runtime import materialize, new_path
 
 MANIFEST = "part int, n_docs long, n_ids long, width int"
 
-#: Words and pieces of words whose ids a worker remembers; others are encoded anew each time.
-REMEMBERED = 500_000
+#: Bytes of words and ids that a worker remembers, in two generations of this size; all else is encoded anew.
+REMEMBERED = 32_000_000
+#: Rows, and characters of texts, that are taken apart at a time.
+BATCH_ROWS, BLOCK_CHARS = 2_000, 6_000_000
+#: Marks a text's first word, which no space and no newline precedes.
+_FIRST = "\x01"
+#: White space that doesn't stand alone between words, or isn't a space or a newline; the mark.
+_ODD = r"^ | $|  | \n|\n |\n\n|[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_PUNCTUATION = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-#: What a byte-level pre-tokenizer makes of ASCII and Latin-1 text, a run of one kind at a time.
-_PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+")
-_PLAIN = re.compile(rf"[!-~{_LETTERS}]+")
 
+class Memory:
+    """Ids by word, bounded in bytes: what two generations haven't asked for is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        ids = self.young.get(word)
+        if ids is None and (ids := self.old.get(word)) is not None:
+            self.put(word, ids)
+        return ids
+
+    def put(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.size += len(word) + len(ids) + 200  # what the two objects and the table take besides
+        if self.size >= self.most:
+            self.young, self.old, self.size = {}, self.young, 0
 
-class Encoder:
-    """``Tokenizer.encode(text, add_special_tokens=False).ids`` as bytes, with a bounded memory.
 
-    A byte-level BPE encodes a text piece by piece, and a space between two characters that aren't
-    white space always begins a piece. So words are encoded on their own, with that space, and
-    remembered. Texts that this doesn't hold for, and vocabularies of another make, take the
-    library's way as a whole; what isn't remembered does so word by word.
+class Encoder:
+    """``Tokenizer.encode(text, add_special_tokens=False).ids`` of many texts, with a bounded memory.
+
+    A byte-level BPE encodes a text piece by piece. A space or newline between two characters that
+    aren't white space always begins a piece, and so does ASCII punctuation that closes a word
+    behind a letter or digit. So the distinct words of a block of texts, with what precedes and
+    without what closes them, are encoded once, unknown ones all in one call with newlines between,
+    and the ids of the texts are gathered from them. Texts that this doesn't hold for, and
+    vocabularies of another make, take the library's way one by one.
     """
 
     def __init__(self, path: str, width: int | None = None):
@@ -40,14 +67,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width or width_of(self.tokenizer.get_vocab_size(True))
         self.dtype = np.dtype(f"<u{self.width}")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.by_word = self._by_word(path)
-        if self.by_word:
-            self.newline = self._whole("\n")
-            self.letters = self._letters()
-            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memory = Memory(REMEMBERED)
+        self.newline = self._whole("\n")
+        self.by_word = self._by_word(path) and len(self.newline) == self.width
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = "|".join([_ODD, *special])
 
     @staticmethod
     def _by_word(path: str) -> bool:
@@ -57,64 +81,70 @@ class Encoder:
             made = json.load(file)
         pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        odd = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in made.get("added_tokens") or [])
+        odd = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in made.get("added_tokens") or [])
         return plain and not odd and model.get("type") == "BPE" and not made.get("normalizer") and not model.get("dropout")
 
-    def _letters(self) -> dict[str, str]:
-        from tokenizers import pre_tokenizers
-
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        return {chr(c): level.pre_tokenize_str(chr(c))[0][0] for c in range(0x20, 0x100)}
-
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """A word without white space; all but its first character may follow a space."""
-        if not _PLAIN.fullmatch(word.lstrip(" ")) or any(s in word for s in self.special):
-            return self._whole(word)
-        out = []
-        for p in _PIECE.findall(word):
-            b = self.pieces.get(p)
-            if b is None:
-                ids = self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, p)))
-                b = np.array([t.id for t in ids], dtype=self.dtype).tobytes()
-                if len(self.pieces) < REMEMBERED:
-                    self.pieces[p] = b
-            out.append(b)
-        return b"".join(out)
-
-    def _of(self, memory: dict[str, bytes], before: str, word: str) -> bytes:
-        b = self._word(before + word)
-        if len(memory) < REMEMBERED:
-            memory[word] = b
-        return b
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or _unusual(text):
-            return self._whole(text)
-        first, later, out = self.first, self.later, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if words[0]:
-                b = first.get(words[0])
-                out.append(self._of(first, "", words[0]) if b is None else b)
-            for w in words[1:]:
-                b = later.get(w)
-                out.append(self._of(later, " ", w) if b is None else b)
-            out.append(self.newline)
-        out.pop()
-        return b"".join(out)
-
-
-_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-
-
-def _unusual(text: str) -> bool:
-    """White space that doesn't stand alone between words, or isn't a space or a newline."""
-    return text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD_SPACE.search(text) is not None
+        (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, dtype=self.dtype).tobytes()
+
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        """Ids of each line, from one call; no line is empty or holds a newline."""
+        if not lines:
+            return []
+        all_ids, w = self._whole("\n".join(lines)), self.width
+        ends = np.flatnonzero(np.frombuffer(all_ids, dtype=self.dtype) == np.frombuffer(self.newline, dtype=self.dtype)) * w
+        return [all_ids[x:y] for x, y in zip([0, *(ends + w).tolist()], [*ends.tolist(), len(all_ids)], strict=True)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: a mark or a newline and a first word, or a word behind a space."""
+        bare = [w.rstrip(_PUNCTUATION) for w in words]
+        stems = [s if s[-1:].isalnum() else w for s, w in zip(bare, words, strict=True)]
+        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
+        memory, known, missing = self.memory, {"\n": b"", _FIRST: b""}, []
+        for s in dict.fromkeys(stems):
+            if s not in known:
+                ids = memory.get(s)
+                if ids is None:
+                    missing.append(s)
+                else:
+                    known[s] = ids
+        for s, ids in zip(missing, self._lines([s[1:] if s[0] in "\n\x01" else " " + s for s in missing]), strict=True):
+            known[s] = ids
+            memory.put(s, ids)
+        closing = {t: self._whole(t) if t else b"" for t in set(tails)}
+        line = self.newline
+        return [line + known[s] + closing[t] if s[0] == "\n" else known[s] + closing[t] if t else known[s] for s, t in zip(stems, tails, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little endian."""
+        out: list[bytes] = []
+        block, size = [], 0
+        for t in texts:
+            block.append(t)
+            size += len(t)
+            if size >= BLOCK_CHARS:
+                out += self._block(block)
+                block, size = [], 0
+        return out + self._block(block)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self._whole(t) for t in texts]
+        column = pa.array(texts, pa.large_string())
+        odd = pc.or_(pc.match_substring_regex(column, self.odd), pc.equal(column, "")).to_numpy(zero_copy_only=False)
+        plain = pa.array([_FIRST + texts[i].replace("\n", " \n") for i in np.flatnonzero(~odd).tolist()], pa.large_string())
+        lists = pc.split_pattern(plain, " ")
+        named = lists.values.dictionary_encode()
+        known = self._words(named.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.width
+        flat, first, at = np.frombuffer(b"".join(known), dtype=self.dtype), np.cumsum(sizes) - sizes, named.indices.to_numpy(zero_copy_only=False)
+        wide = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(wide)))
+        ids = flat[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], wide)].tobytes()
+        ends = (upto[lists.offsets.to_numpy()] * self.width).tolist()
+        parts = iter([ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+        return [self._whole(t) if o else next(parts) for t, o in zip(texts, odd.tolist(), strict=True)]
 
 
 def width_of(vocabulary: int) -> int:
@@ -159,10 +189,11 @@ def _writer(folder: str, path: str, end_id: int, width: int, id_col: str, text:
                 names = batch.schema.names
                 keys = batch.column(names.index(id_col))
                 ids.append((keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), keys.is_null().to_numpy(zero_copy_only=False)))
-                for t in batch.column(names.index(text)).to_pylist():
-                    b = encoder.encode(t or "") + end
-                    file.write(b)
-                    sizes.append(len(b) // width)
+                texts = batch.column(names.index(text)).fill_null("")
+                for x in range(0, len(texts), BATCH_ROWS):
+                    for made in encoder.encode(texts.slice(x, BATCH_ROWS).to_pylist()):
+                        file.write(made + end)
+                        sizes.append(len(made) // width + 1)
         if not sizes:
             where.delete_file(own)
             return
@@ -188,7 +219,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
 
     ``folder`` must be shared by the executors and is made under spark.checkpoint.dir if not given.
     ``tokenizer`` is a path that every executor has. ``end_id`` follows each document. A null text
-    counts as empty. A null id comes first. Repeated ids stay next to each other, by text. Empty
+    counts as empty. Ids are integers; a null id comes first. Repeated ids stay next to each other, by text. Empty
     tables make no file and an empty manifest.
     """
     from tokenizers import Tokenizer
@@ -196,7 +227,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     spark = docs.sparkSession
     folder = (folder or new_path(spark, "tokens")).rstrip("/")
     width = width_of(max(Tokenizer.from_file(tokenizer).get_vocab_size(True), end_id + 1))
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
+    rows = docs.select(long_id(docs, id_col).alias("__id"), F.col(f"`{text}`").alias("__text"))
     rows = rows.repartitionByRange(F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.col("__text").asc_nulls_first())
     made = materialize(rows.mapInArrow(_writer(folder, tokenizer, end_id, width, "__id", "__text"), MANIFEST), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -235,7 +266,8 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
 
 def token_digests(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files. The checksum is that of
-    the ids as 32-bit numbers."""
+    the ids as 32-bit numbers. Null and repeated ids come out as they were written, null and empty
+    texts with the end id alone; a folder without files gives an empty table."""
     import zlib
 
     def crc(ids: list[np.ndarray]) -> pa.Array:
