@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from fathom.runtime import materialize
+from fathom.runtime import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node reachable.
 
-    Every node takes the smallest label among its own, its neighbours' and, by a jump, its label's
-    own, until none changes. Each step is a join and an aggregate over tables in the shared folder;
-    links that a label has made inner ones are dropped, so a large class stops costing early. The
-    number of steps follows the logarithm of the longest path.
+    Links are contracted round by round. A node goes to the neighbour that comes first in the
+    round's order, unless it does itself, and on to where that one goes; links whose ends have met
+    are dropped, the others stand between the new ends. Every other round orders nodes by number,
+    which settles stars at once, the others by a hash that changes, so that the nodes of a long path
+    shrink by a part of them and rounds follow the logarithm. Each round's tables lie in the shared
+    folder and go with the next. Null ends aren't links; an empty table has no nodes.
     """
-    both = links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("new"))
-        lower = materialize(lower, "labels")
-        jump = lower.select(F.col("node").alias("via"), F.col("new").alias("far"))
-        moved = lower.join(jump, F.col("new") == F.col("via"), "left")
-        new = moved.select("node", F.least("new", F.coalesce("far", "new")).alias("root"), (F.col("root") != F.least("new", F.coalesce("far", "new"))).alias("changed"))
-        new = materialize(new, "labels")
-        done = new.where("changed").isEmpty()
-        labels = new.select("node", "root")
-        if done:
-            return labels
+    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    turn = 0
+    while not edges.isEmpty():
+
+        def rank(node: Column) -> Column:
+            order = F.xxhash64(F.lit(turn), node) if turn % 2 else F.lit(0).cast("long")
+            return F.struct(order.alias("order"), node.alias("node"))
+
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("near"))
+        step = materialize(step.select(F.col("a").alias("at"), F.least(rank(F.col("a")), F.col("near"))["node"].alias("to")), "steps")
+        jump = materialize(step.join(step.select(F.col("at").alias("via"), F.col("to").alias("far")), F.col("to") == F.col("via")).select("at", F.col("far").alias("to")), "jumps")
+        moved = edges.join(jump.select(F.col("at").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("at").alias("b"), F.col("to").alias("y")), "b")
+        moved = materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        named = materialize(labels.join(jump, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        discard(edges, labels, step, jump)
+        edges, labels, turn = moved, named, turn + 1
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    out = materialize(labels.join(least, "root").select("node", F.col("least").alias("root")), "labels")
+    discard(edges, labels)
+    return out

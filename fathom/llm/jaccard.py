@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathom.llm.common import long_id
 from fathom.llm.components import components
-from fathom.runtime import materialize
+from fathom.runtime import discard, materialize
 
 #: N-grams in one block whose counts a worker takes at a time, and the least count that it reports.
 BLOCK, REPORTED = 2_000_000, 4
@@ -139,35 +140,60 @@ def _heads(often, k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, n = [], []
+            heads = []
             for t in _column(batch, "__text").to_pylist():
                 s = gram_set(t, k)
                 probe = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 heads.append(_order(s, often.value)[: probe + _spare(len(s), percent)].view(np.int64))
-                n.append(len(s))
-            yield pa.RecordBatch.from_arrays([_column(batch, "__id"), pa.array(n, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["doc", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([_column(batch, "__id"), pa.array(heads, pa.list_(pa.int64()))], names=["doc", "grams"])
 
     return run
 
 
-def _verify(k: int, percent: int):
+def _overlaps(k: int):
+    """Products of blocks of rows with one row: overlap counts of a document (lead) and those held
+    against it. Input is sorted by lead and part, the lead's own row first in each part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
+        lead = None
         for batch in batches:
-            a, b = _column(batch, "a"), _column(batch, "b")
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            for i, (key, x, y) in enumerate(zip(a.to_pylist(), _column(batch, "ta").to_pylist(), _column(batch, "tb").to_pylist(), strict=True)):
-                if key != last:
-                    last, kept = key, gram_set(x, k)
-                other = gram_set(y, k)
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                ok[i] = both > 0 and 100 * both >= percent * (len(kept) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok)], names=["a", "b", "linked"])
+            a, b, own = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("a", "doc", "own"))
+            sets = [gram_set(t, k) for t in _column(batch, "text").to_pylist()]
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            shared, lead_sizes = np.zeros(len(sets), dtype=np.int64), np.zeros(len(sets), dtype=np.int64)
+            edges = sorted({0, *np.flatnonzero(own).tolist()})
+            for x, y in zip(edges, [*edges[1:], len(sets)], strict=True):
+                if own[x]:
+                    lead = sets[x]
+                block = np.concatenate(sets[x:y])
+                at = np.minimum(np.searchsorted(lead, block), len(lead) - 1)
+                shared[x:y] = np.add.reduceat(lead[at] == block, np.cumsum(sizes[x:y]) - sizes[x:y], dtype=np.int64)
+                lead_sizes[x:y] = len(lead)
+            keep = ~own
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (a, b, shared, lead_sizes + sizes - shared)], names=["a", "b", "shared", "either"])
 
     return run
 
 
-def _pairs_by_leader(cells: DataFrame, shift: float) -> DataFrame:
+#: Pairs with one lead in a part, beyond which another task counts on.
+PART = 500
+
+
+def _counted(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, shared, either): sizes of the intersection and the union for each pair.
+
+    Every document's text travels once, and once more for each part of the documents held against
+    it, so neither a lead of many nor its text is one task's burden.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("doc"), F.lit(False).alias("own"))
+    leads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc"), F.lit(True).alias("own"))
+    wide = members.union(leads).join(texts, F.col("doc") == F.col("__id")).select("a", "part", "doc", "own", F.col("__text").alias("text"))
+    dealt = wide.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("own"), "doc")
+    return dealt.mapInArrow(_overlaps(k), "a long, b long, shared long, either long")
+
+
+def _pairs_by_leader(cells: DataFrame, shift: float, percent: int) -> DataFrame:
     """Within each column and size class, every document with the leading one, if not yet together.
 
     The document with most shared columns leads: an original whose copies were each changed
@@ -175,11 +201,12 @@ def _pairs_by_leader(cells: DataFrame, shift: float) -> DataFrame:
     with.
     """
     cells = cells.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + F.lit(shift)))
-    lead = F.max(F.struct("weight", -F.col("doc"), "doc", "root")).over(Window.partitionBy("gram", "class"))
+    lead = F.max(F.struct("weight", F.bitwise_not("doc").alias("order"), "doc", "root", "n")).over(Window.partitionBy("gram", "class"))
     led = cells.withColumn("leader", lead).where("leader.doc <> doc and leader.root <> root")
+    led = led.where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
     counts = led.groupBy("doc", F.col("leader.doc").alias("leader")).agg(F.count("*").alias("shared"), F.first("n").alias("size"))
     counts = counts.where(F.col("shared") > F.floor(F.col("size") / SKIP))
-    best = counts.groupBy("doc").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
+    best = counts.groupBy("doc").agg(F.max_by("leader", F.struct("shared", F.bitwise_not("leader"))).alias("leader"))
     return best.select(F.col("leader").alias("a"), F.col("doc").alias("b"))
 
 
@@ -200,7 +227,7 @@ def _whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [gram_set(t, k).view(np.int64) for t in _column(batch, "__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([_column(batch, "doc"), _column(batch, "n"), _column(batch, "root"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "n", "root", "grams"])
+            yield pa.RecordBatch.from_arrays([_column(batch, "__id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "grams"])
 
     return run
 
@@ -210,79 +237,94 @@ def _pairs_left(cells: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
 
     Of the documents that are open, whole sets are ordered anew, by how many open documents have a
     column: what only one has comes first and pairs it with nobody. Two that need an overlap of m
-    share one of their first n - m + 1 columns.
+    share one of their first n - m + 1 columns. Overlaps in these heads are counted column by
+    column; with as many columns as both have beyond the last shared one, which is all that the
+    rest can add, they must reach m, or the pair is dropped.
     """
-    opened = _open_documents(cells)
-    whole = texts.join(opened, F.col("__id") == F.col("doc")).select("doc", "n", "root", "__text")
-    whole = whole.mapInArrow(_whole_sets(k), "doc long, n int, root long, grams array<long>").select("doc", "n", "root", F.explode("grams").alias("gram"))
-    counted = whole.withColumn("df", F.count("*").over(Window.partitionBy("gram")))
-    ordered = counted.withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy("df", "gram")) - 1)
-    heads = materialize(ordered.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100))).select("gram", "doc", "n", "root", "i"), "heads", release=True)
+    opened = materialize(_open_documents(cells), "open")
+    whole = texts.join(opened, F.col("__id") == F.col("doc"), "left_semi").mapInArrow(_whole_sets(k), "doc long, grams array<long>")
+    column, own = Window.partitionBy("gram"), Window.partitionBy("doc")
+    counted = whole.select("doc", F.explode("grams").alias("gram")).withColumn("df", F.count("*").over(column)).where("df > 1")
+    placed = counted.withColumn("place", F.row_number().over(own.orderBy("df", "gram"))).withColumn("all", F.count("*").over(own))
+    placed = placed.join(opened, "doc").withColumn("i", (F.col("n") - F.col("all") + F.col("place") - 1).cast("int"))
+    heads = materialize(placed.where(F.col("i") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("gram", "doc", "n", "root", "i"), "heads")
     x, y = heads.alias("x"), heads.alias("y")
     before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc")))
     sizes = F.col("x.n") * 100 >= F.col("y.n") * percent
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
     room = (F.col("x.i") + need <= F.col("x.n")) & (F.col("y.i") + need <= F.col("y.n"))
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & before & sizes & room & (F.col("x.root") != F.col("y.root")))
-    return pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    meet = x.join(y, (F.col("x.gram") == F.col("y.gram")) & before & sizes & room & (F.col("x.root") != F.col("y.root")))
+    rest = F.least(F.min(F.col("x.n") - F.col("x.i")), F.min(F.col("y.n") - F.col("y.i"))) - 1
+    pairs = meet.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg((F.count("*") + rest).alias("most"), F.first(need).alias("need"))
+    pairs = materialize(pairs.where("most >= need").select("a", "b"), "pairs")
+    discard(opened, heads)
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, leaders: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) of each row: documents link when ``percent`` % or more of the
     union of their ``k``-gram sets is shared, exactly; component_id is the smallest id reachable.
 
-    The matrix of documents by n-grams is multiplied with its transpose, as far as needed. Documents
-    with equal sets are one row of the matrix from the start. Columns run from rare to frequent. Two
-    rows link only if they share columns among their first ones, as many as their sizes say, so only
-    such heads are multiplied, by column and within the size bound, and overlaps in them are counted
-    before a pair becomes a candidate. Candidates of a column come in rounds: first
-    with one leader per column and size class, which joins a group of copies by as many pairs as it
-    has members; what is together already needs no more pairs. A last round takes every pair that is
-    still apart, so no link is lost. Overlaps of candidates are counted on whole sets.
+    The matrix of documents by n-grams is multiplied with its transpose, block by block, as far as
+    needed. Documents with equal sets are one row of the matrix from the start. Columns run from rare
+    to frequent. Two rows link only if they share columns among their first ones, as many as their
+    sizes say, so only such heads are multiplied column by column, and overlaps in them are counted;
+    pairs that stay below the bound go. For the others a block of rows meets one row at a time and
+    the overlaps are counted on. Candidates of a column come in rounds: first with one leader per
+    column and size class, which joins a group of copies by as many pairs as it has members; what is
+    together already needs no more pairs. A last round takes every pair that is still apart, so no
+    link is lost. Texts that are alike, but not alike enough to link, can make as many pairs there
+    as they are.
 
     Null and empty texts have an empty set and link with nothing. Rows that share an id are one
-    document; null ids are one id, below all others. Repeated rows come out as often. Hashes have 64
-    bits. An empty table gives an empty table; other columns are ignored.
+    document (its first text counts); null ids are one id, below all others. Ids are integers above -2^63. Repeated
+    rows come out as often. Hashes have 64 bits. An empty table gives an empty table; other columns
+    are ignored.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.col(text).alias("__text"))
-    survey = materialize(slim.mapInArrow(_survey(k), "kind int, a long, b long, c long, d long"), "grams", release=True)
+    slim = docs.select(F.coalesce(long_id(docs, id_col), F.lit(NULL_ID)).alias("__id"), F.col(f"`{text}`").alias("__text"))
+    survey = materialize(slim.mapInArrow(_survey(k), "kind int, a long, b long, c long, d long"), "grams")
     sets = survey.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), "c", "d")
     often = survey.where("kind = 1").groupBy(F.col("a").alias("gram")).agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
     known = often["gram"].to_numpy(dtype=np.int64).view(np.uint64)
     by = np.argsort(known)
     often = spark.sparkContext.broadcast((known[by], often["n"].to_numpy(dtype=np.int64)[by]))
 
-    reps = sets.where("n > 0").groupBy("c", "d").agg(F.min("doc").alias("rep"))
-    heads = slim.mapInArrow(_heads(often, k, percent), "doc long, n int, grams array<long>")
-    heads = heads.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    cells = heads.select("doc", "n", F.posexplode("grams").alias("i", "gram"))
+    reps = sets.where("n > 0").groupBy("c", "d").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
+    sizes = reps.groupBy(F.col("rep").alias("doc")).agg(F.max("n").cast("int").alias("n"))
+    heads = slim.mapInArrow(_heads(often, k, percent), "doc long, grams array<long>").join(sizes, "doc", "left_semi")
     column, own = Window.partitionBy("gram"), Window.partitionBy("doc")
-    shared = cells.withColumn("first", F.min("doc").over(column)).withColumn("last", F.max("doc").over(column)).withColumn("df", F.count("*").over(column)).where("first < last")
-    weight, place = F.count("*").over(own) / F.col("n"), F.row_number().over(own.orderBy(F.desc("df"), "gram"))
-    cells = materialize(shared.select("gram", "doc", "n", "i", weight.alias("weight"), (place <= F.floor(F.col("n") / SKIP)).alias("skipped")), "cells", release=True)
+    shared = heads.select("doc", F.explode("grams").alias("gram")).withColumn("first", F.min("doc").over(column)).withColumn("last", F.max("doc").over(column)).withColumn("df", F.count("*").over(column)).where("first < last").select("gram", "doc", "df")
+    placed = shared.withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), "gram"))).withColumn("all", F.count("*").over(own)).join(sizes, "doc")
+    cells = materialize(placed.select("gram", "doc", "n", (F.col("all") / F.col("n")).alias("weight"), (F.col("place") <= F.floor(F.col("n") / SKIP)).alias("skipped")), "cells")
     texts = slim.join(cells.select(F.col("doc").alias("__id")).distinct(), "__id", "left_semi")
-    texts = materialize(texts.groupBy("__id").agg(F.first("__text").alias("__text")), "candidates", release=True)
+    texts = materialize(texts.groupBy("__id").agg(F.first("__text").alias("__text")), "candidates")
 
-    links = None
-    roots = None
+    links, tested, roots = None, [], None
     for turn in range(leaders + 1):
         if roots is None:
             now = cells.withColumn("root", F.col("doc"))
         else:
-            now = cells.join(roots, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "i", "skipped", "weight", F.coalesce("root", "doc").alias("root"))
-        pairs = _pairs_by_leader(now, turn % 2 / 2) if turn < leaders else _pairs_left(now, texts, k, percent)
-        if links is not None:
-            pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
-        wide = pairs.join(texts.select(F.col("__id").alias("b"), F.col("__text").alias("tb")), "b")
-        wide = wide.join(texts.select(F.col("__id").alias("a"), F.col("__text").alias("ta")), "a")
-        tested = materialize(wide.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long, linked boolean"), "tested", release=True)
-        links = tested if links is None else links.union(tested)
-        if turn < leaders or not tested.where("linked").isEmpty():
-            roots = components(links.where("linked"))
-
-    named = sets.join(reps, ["c", "d"], "left").join(roots, F.col("rep") == F.col("node"), "left")
-    out = named.select("doc", "n", F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("root", "rep")).alias("root"))
+            now = cells.join(roots, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "skipped", "weight", F.coalesce("root", "doc").alias("root"))
+        if turn < leaders:
+            pairs = _pairs_by_leader(now, turn % 2 / 2, percent)
+            if links is not None:
+                pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+        else:
+            pairs = _pairs_left(now, texts, k, percent)
+        new = materialize(_counted(pairs, texts, k).select("a", "b", (100 * F.col("shared") >= percent * F.col("either")).alias("linked")), "tested")
+        discard(pairs)
+        tested.append(new)
+        links = new if links is None else links.union(new)
+        if turn < leaders or not new.where("linked").isEmpty():
+            last, roots = roots, components(links.where("linked"))
+            if last is not None:
+                discard(last)
+    discard(cells, texts, *tested)
+
+    named = sets.join(reps.drop("n"), ["c", "d"], "left").join(roots, F.col("rep") == F.col("node"), "left")
+    out = named.select("doc", F.col("n"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("root", "rep")).alias("root"))
     real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return out.select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("root").alias("component_id"))
 
