@@ -19,7 +19,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     Sources in code point order, null last, take ``weights`` in turn. They share ``share`` of all
     sizes by weight; a target stops at ``most`` times its source's size and the excess is shared
     again. The level at which this ends has a closed form once sources are sorted by the level at
-    which each is full, so there is no iteration. One row per source is all that meets in a task.
+    which each is full, so there is no iteration. One row of a few numbers per source is all that
+    meets in one task: millions of sources fit, a source per document wouldn't.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -50,25 +51,14 @@ def _rank(u: Column, p: Column) -> Column:
     return (u / (1 - u)) * (1 - p) / F.nullif(p, F.lit(0.0))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, closing: int = 3, seed: int = 17) -> DataFrame:
-    """How often a mix takes each document: ``docs`` with size, source_size, target, copies, taken.
+NEW = ("size", "source_size", "target", "copies", "taken")
 
-    A source's rate is its target over its size. Every document first gets the whole part of the
-    rate as certain copies. The fraction is its inclusion probability p for one copy more: with u a
-    fixed random number of the document, documents of a source are ranked by (u/(1-u))/(p/(1-p))
-    and taken in that order until the source's words are spent (the document on the border is
-    taken if its middle is within). Last, ``closing`` times, the one document whose switch between
-    taken and not brings its source nearest to the target is switched. The order is cut into bins whose sums fix the border, so only one
-    bin of a source is ever sorted and a source with a third of all rows is spread over the tasks.
 
-    Size is the number of words; null texts have size 0. Rows of one id and source share u and
-    their fate. A null source is a source, the last one; a null id is an id. Ties of the hash keep
-    together. Input columns named like the five new ones give way to them; an empty table gives an
-    empty table.
-    """
+def _mix(docs: DataFrame, id_col: str, text: str, source: str, weights: Sequence[float], share: float, most: float, closing: int, seed: int) -> DataFrame:
+    """(row, size, source_size, target, copies, taken): each row of ``docs`` as a struct, and its part."""
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
-    key, u = F.xxhash64(F.lit(seed + 1), F.col(id_col)), _uniform(F.col(id_col), seed)
-    slim = materialize(docs.select(F.col(source).alias("source"), size.alias("size"), u.alias("u"), key.alias("k")), "mix")
+    key, u = F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`")), _uniform(F.col(f"`{id_col}`"), seed)
+    slim = materialize(docs.select(F.col(f"`{source}`").alias("source"), size.alias("size"), u.alias("u"), key.alias("k")), "mix")
     rate = F.least(F.lit(float(most)), F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0)))
     per = source_targets(slim, weights, share, most).withColumn("rate", rate)
     per = per.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
@@ -107,20 +97,44 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
         per = per.join(best, F.col("source").eqNullSafe(F.col("ws")), "left").drop("ws")
         per = materialize(per.withColumn("switch", F.concat("switch", F.coalesce("more", F.array().cast("array<long>")))).drop("more"), "mix-plan")
 
-    new = ["size", "source_size", "target", "copies", "taken"]
-    rest = [c for c in docs.columns if c not in new]
-    plan = per.select(*[F.col(c).alias(f"__{c}") for c in per.columns])
-    wide = docs.select(*[F.col(f"`{c}`") for c in rest], size.alias("size"), u.alias("__u"), key.alias("__k"))
-    wide = wide.join(plan, F.col(source).eqNullSafe(F.col("__source")))
-    q = _rank(F.col("__u"), F.col("__p"))
-    one = F.when(F.col("__p") <= 0, False).otherwise(F.when(F.col("__last").isNull(), F.col("__rest") > 0).otherwise(F.struct(q.alias("q"), F.col("__k").alias("k")) <= F.col("__last")))
-    one = one != F.array_contains("__switch", F.col("__k"))
-    wide = wide.withColumn("copies", (F.col("__whole") + one.cast("long")).cast("long"))
-    return wide.select(*[F.col(f"`{c}`") for c in rest], "size", F.col("__source_size").cast("long").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def take_mix(mixed: DataFrame) -> DataFrame:
-    """The rows of a mix: each document as often as it has ``copies``, without the mix's columns."""
-    rest = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    every = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return every.select(*[F.col(f"`{c}`") for c in rest])
+    def planned(c: str) -> Column:
+        return F.col(f"plan.{c}")
+
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("of"), size.alias("size"), u.alias("u"), key.alias("k"))
+    plan = per.select(F.col("source").alias("at"), F.struct(*[F.col(c) for c in per.columns]).alias("plan"))
+    wide = held.join(plan, F.col("of").eqNullSafe(F.col("at")))
+    q = _rank(F.col("u"), planned("p"))
+    one = F.when(planned("p") <= 0, False).otherwise(F.when(planned("last").isNull(), planned("rest") > 0).otherwise(F.struct(q.alias("q"), F.col("k").alias("k")) <= planned("last")))
+    one = one != F.array_contains(planned("switch"), F.col("k"))
+    wide = wide.select("row", "size", planned("source_size").cast("long").alias("source_size"), planned("target").alias("target"), (planned("whole") + one.cast("long")).cast("long").alias("copies"))
+    return wide.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, closing: int = 3, seed: int = 17) -> DataFrame:
+    """How often a mix takes each document: ``docs`` with size, source_size, target, copies, taken.
+
+    A source's rate is its target over its size. Every document first gets the whole part of the
+    rate as certain copies. The fraction is its inclusion probability p for one copy more: with u a
+    fixed random number of the document, documents of a source are ranked by (u/(1-u))/(p/(1-p))
+    and taken in that order until the source's words are spent (the document on the border is
+    taken if its middle is within). Last, ``closing`` times, the one document whose switch between
+    taken and not brings its source nearest to the target is switched. The order is cut into bins
+    whose sums fix the border, so only one bin of a source is ever sorted and a source with a third
+    of all rows is spread over the tasks.
+
+    Size is the number of words; null texts have size 0. Rows of one id and source share u and
+    their fate. A null source is a source, the last one; a null id is an id. Ties of the hash keep
+    together. Input columns named like the five new ones, in any case, give way to them; an empty
+    table gives an empty table.
+    """
+    mixed = _mix(docs, id_col, text, source, weights, share, most, closing, seed)
+    rest = [c for c in docs.columns if c.lower() not in NEW]
+    return mixed.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], *NEW)
+
+
+def draw_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, closing: int = 3, seed: int = 17) -> DataFrame:
+    """The rows of a mix: each row of ``docs`` as often as ``mix_sources`` takes it, with the columns of
+    ``docs``, whatever their names. Nulls, ties, repeated rows and empty tables are as there."""
+    mixed = _mix(docs, id_col, text, source, weights, share, most, closing, seed).where("copies > 0")
+    every = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return every.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

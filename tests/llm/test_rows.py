@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fathom.llm.decontaminate import mark_contamination, remove_contamination
 from fathom.llm.line_dedup import drop_frequent_lines
-from fathom.llm.mixing import mix_sources, source_targets, take_mix
+from fathom.llm.mixing import draw_mix, mix_sources, source_targets
 from fathom.llm.quality import judge_quality
 from fathom.llm.queries import op8_decontaminate, vocabulary
-from fathom.llm.token_files import Encoder, read_token_files, token_digests, write_token_files
+from fathom.llm.token_files import Encoder, Memory, read_token_files, token_digests, write_token_files
 from tests.llm import brute
 
 
@@ -54,7 +54,7 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 100  # half of the longest document
         assert own[0]["source_size"] == sum(x["size"] for x in own)
     assert all(x["taken"] <= 3 * x["size"] and x["taken"] == x["copies"] * x["size"] for x in out)
-    assert take_mix(mix_sources(docs)).count() == sum(x["copies"] for x in out)
+    assert draw_mix(docs).count() == sum(x["copies"] for x in out)
     assert mix_sources(docs.where("false")).count() == 0
 
 
@@ -89,8 +89,12 @@ def test_encoder_is_the_library(spark):
 
     library, own = Tokenizer.from_file(vocabulary()), Encoder(vocabulary())
     r = random.Random(4)
-    for t in ODD + ["".join(r.choice(["a", "B", " ", "\n", "é", ".", "'s", "7", "\t", "ß", "<", " "]) for _ in range(30)) for _ in range(500)]:
-        assert np.frombuffer(own.encode(t), dtype=own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    parts = ["a", "B", " ", "\n", "é", ".", "'s", "7", "\t", "ß", "<", " ", "\x01", "’", "½,"]
+    for memory, wide, most in ((10**6, 30, 500), (3_000, 12, 2_000)):
+        own.memory = Memory(memory)
+        texts = ODD + ["".join(r.choice(parts) for _ in range(wide)) for _ in range(most)] + [" ".join("".join(r.choice("aé'!.7") for _ in range(4)) for _ in range(40)) + "\n"]
+        for t, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, dtype=own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_token_files_round_trip(spark):
