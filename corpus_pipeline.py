@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom.llm.decontaminate import remove_contamination
 from fathom.llm.jaccard import keep_one_of_each
-from fathom.llm.mixing import mix_sources, take_mix
+from fathom.llm.mixing import draw_mix
 from fathom.llm.quality import keep_good
 from fathom.llm.queries import vocabulary
 from fathom.llm.token_files import token_digests, write_token_files
@@ -35,7 +35,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return take_mix(mix_sources(docs))
+    return draw_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}", release=True)
+            docs = materialize(docs, f"stage-{name}")
     return docs
