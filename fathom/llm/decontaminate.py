@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fathom.runtime import materialize
 
@@ -172,51 +175,82 @@ class Automaton:
         return [(a, b) for a, b in spans], found
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
-    """Items in the order of their ids, as many at a time as have ``block_words`` words."""
+def _blocks(items: DataFrame, item_id: str, text: str, block_words: int, window: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Items in the order of their ids, as many at a time as have ``block_words`` words. A longer item
+    comes in pieces that overlap by a window less a word, so that each window is whole in one."""
     block, n = [], 0
-    for row in items.select(item_id, text).orderBy(item_id).toLocalIterator():
-        size = len(words_of(row[1]))
-        if block and n + size > block_words:
-            yield block
-            block, n = [], 0
-        if size:
-            block.append((row[0], row[1]))
-            n += size
+    for row in items.select(F.col(f"`{item_id}`"), F.col(f"`{text}`")).orderBy(F.col(f"`{item_id}`")).toLocalIterator():
+        words, at = words_of(row[1]), 0
+        step = max(1, block_words - window + 1)
+        while at < len(words) and (at == 0 or len(words) - at >= window):
+            piece = words[at : at + step + window - 1]
+            if block and n + len(piece) > block_words:
+                yield block
+                block, n = [], 0
+            block.append((row[0], piece))
+            n += len(piece)
+            at += step
     yield block
 
 
 _built: dict[str, Automaton] = {}
 
 
-def _scanner(texts, key: str, window: int, text: str):
-    """For mapInArrow: fills __spans (word positions) and __items."""
+def _automaton(items, key: str, window: int) -> Automaton:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Automaton(items.value, window)
+    return _built[key]
+
+
+_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
+_FOUND_DDL = "struct<n_words:bigint,spans:array<struct<a:int,b:int>>,items:array<string>>"
+
+
+def _found(texts: pa.Array, auto: Automaton) -> list[dict]:
+    out = []
+    for t in texts.to_pylist():
+        words = words_of(t)
+        spans, found = auto.scan(words)
+        out.append({"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted({str(auto.items[i]) for i in found})})
+    return out
+
+
+def _scanner(items, key: str, window: int):
+    """For mapInArrow over (row, text): row and what is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automaton([(k, words_of(t)) for k, t in texts.value], window)
-        auto = _built[key]
+        auto = _automaton(items, key, window)
         for batch in batches:
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            spans, items, sizes = [], [], []
-            for t, old, had in zip(batch.column(at[text]).to_pylist(), batch.column(at["__spans"]).to_pylist(), batch.column(at["__items"]).to_pylist(), strict=True):
-                words = words_of(t)
-                new, found = auto.scan(words)
-                spans.append(join_spans([(x["a"], x["b"]) for x in old or ()] + new) if old else new)
-                items.append(sorted({*(had or ()), *(str(auto.items[i]) for i in found)}))
-                sizes.append(len(words))
-            schema = batch.schema
-            cols = list(batch.columns)
-            kind = schema.field("__spans").type
-            cols[at["__spans"]] = pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], type=kind)
-            cols[at["__items"]] = pa.array(items, type=schema.field("__items").type)
-            cols[at["__words"]] = pa.array(sizes, type=pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            found = _found(batch.column(1), auto)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], names=["row", "found"])
 
     return run
 
 
+def _hit_texts(items, key: str, window: int):
+    """For mapInArrow over (text): hashes of the texts that something is found in, and that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(items, key, window)
+        for batch in batches:
+            found = _found(batch.column(2), auto)
+            hit = [i for i, x in enumerate(found) if x["spans"]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int32())), batch.column(1).take(pa.array(hit, pa.int32())), pa.array([found[i] for i in hit], _FOUND)], names=["h", "g", "found"])
+
+    return run
+
+
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (row, text, all): row and what all blocks found together."""
+    for batch in batches:
+        out = []
+        for t, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            spans = join_spans([(x["a"], x["b"]) for p in parts or () for x in p["spans"]])
+            out.append({"n_words": len(words_of(t)), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted({i for p in parts or () for i in p["items"]})})
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _FOUND)], names=["row", "found"])
+
+
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans that overlap or touch become one."""
     out: list[list[int]] = []
@@ -228,58 +262,65 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _scan(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, block_words: int) -> DataFrame:
+    """(row, found): each row of ``docs`` as a struct, and what is found in its text."""
+    spark = docs.sparkSession
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    schema = StructType([packed.schema["row"], *StructType.fromDDL(f"found {_FOUND_DDL}").fields])
+    blocks = _blocks(items, item_id, item_text, block_words, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return packed.mapInArrow(_scanner(spark.sparkContext.broadcast(first), uuid.uuid4().hex, window), schema)
+    key = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
+    hashed, parts = packed.select(*key, "text"), []
+    for block in chain([first, second], blocks):
+        run = _hit_texts(spark.sparkContext.broadcast(block), uuid.uuid4().hex, window)
+        parts.append(materialize(hashed.mapInArrow(run, f"h long, g long, found {_FOUND_DDL}").dropDuplicates(["h", "g"]), "hits"))
+    found = reduce(DataFrame.union, parts).groupBy("h", "g").agg(F.collect_list("found").alias("all"))
+    return packed.select(*key, "row", "text").join(found, ["h", "g"], "left").select("row", "text", "all").mapInArrow(_merger, schema)
+
+
 def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, spans (array of word positions a, b), hit_items (array of string).
 
     A window is ``window`` consecutive words of an item, or a shorter item as a whole. ``spans``
     cover every document word inside an occurrence of a window; ``hit_items`` are the items with
     windows that occur, sorted as strings. Documents stream past an automaton that each Python
-    worker builds once from a broadcast of at most ``block_words`` item words (a single longer
-    item is a block of its own); a larger benchmark takes one pass a block. Documents never move.
+    worker builds once from a broadcast of at most ``block_words`` item words, and then never move.
+    A larger benchmark takes one pass a block, each of which keeps only what it finds, by the hash
+    of the text; a last pass joins that to the documents.
 
     Null or empty texts have no words and no spans; null or empty items no windows; repeated items
-    are each found. An empty table on either side gives no spans. Input columns named like the new
-    ones give way to them.
+    are each found. An empty table on either side gives no spans. Repeated rows are marked each.
+    Input columns named like the new ones, in any case, give way to them.
     """
-    spark = docs.sparkSession
-    new = ("n_words", "spans", "hit_items")
-    rest = [c for c in docs.columns if c not in new]
-    out = docs.select(*[F.col(f"`{c}`") for c in rest], F.lit(0).cast("long").alias("__words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    for n, block in enumerate(_blocks(items, item_id, item_text, block_words)):
-        if n:
-            out = materialize(out, "decontaminate")
-        texts = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(texts, uuid.uuid4().hex, window, text), out.schema)
-    return out.select(*[F.col(f"`{c}`") for c in rest], F.col("__words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("hit_items"))
-
-
-def _cutter(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index(text)
-            spans = batch.column(batch.schema.names.index("spans")).to_pylist()
-            texts = batch.column(at).to_pylist()
-            for i, cut in enumerate(spans):
-                if cut:
-                    where = [m.span() for m in _WORD.finditer(texts[i])]
-                    parts, done = [], 0
-                    for x in cut:
-                        parts.append(texts[i][done : where[x["a"]][0]])
-                        done = where[x["b"] - 1][1]
-                    texts[i] = "".join([*parts, texts[i][done:]])
-            cols = list(batch.columns)
-            cols[at] = pa.array(texts, type=batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-    return run
+    out = _scan(docs, items, text, item_id, item_text, window, block_words)
+    rest = [c for c in docs.columns if c.lower() not in ("n_words", "spans", "hit_items")]
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], F.col("found.n_words").alias("n_words"), F.col("found.spans").alias("spans"), F.col("found.items").alias("hit_items"))
+
+
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (row, text, spans): the text without the words of the spans and what is between them."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for i, cut in enumerate(batch.column(2).to_pylist()):
+            if cut:
+                where = [m.span() for m in _WORD.finditer(texts[i])]
+                parts, done = [], 0
+                for x in cut:
+                    parts.append(texts[i][done : where[x["a"]][0]])
+                    done = where[x["b"] - 1][1]
+                texts[i] = "".join([*parts, texts[i][done:]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the passages of ``items``: spans are cut out of the text, and a document of
     whose words more than ``max_coverage`` lie in spans goes altogether. Texts without spans stay as
-    they are, nulls too. Columns are those of ``docs``."""
-    marked = mark_contamination(docs, items, text, item_id, item_text, window, block_words)
-    covered = F.aggregate("spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
-    marked = marked.where((F.col("n_words") == 0) | (covered <= F.lit(max_coverage) * F.col("n_words")))
-    cut = marked.mapInArrow(_cutter(text), marked.schema)
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns if c in cut.columns and c not in ("n_words", "spans", "hit_items")])
+    they are, nulls and repeated rows too; without items nothing is cut, and an empty table gives an
+    empty table. Columns are those of ``docs``, whatever their names."""
+    found = _scan(docs, items, text, item_id, item_text, window, block_words)
+    covered = F.aggregate("found.spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
+    stay = found.where((F.col("found.n_words") == 0) | (covered <= F.lit(max_coverage) * F.col("found.n_words")))
+    cut = stay.select("row", F.col(f"row.`{text}`").alias("text"), "found.spans").mapInArrow(_cutter, StructType([stay.schema["row"], StructField("text", StringType())]))
+    return cut.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
