@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathom.llm.common import long_id
 from fathom.llm.suffixes import common_prefix_reaches, suffix_array, words_at
 from fathom.runtime import discard, materialize
 
@@ -219,38 +220,38 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "
     are dealt out one by one, so no group grows with the corpus.
 
     Null counts as empty. A row doesn't lose what only rows of its own id have. Null ids are one id,
-    below all others. Hashes of 64 bits name passages within an anchor; strings are compared by
+    below all others. Ids are integers above -2^63. Hashes of 64 bits name passages within an anchor; strings are compared by
     bytes. An empty table gives an empty table; other columns are ignored.
     """
     if length < GRAM + 8:
         raise ValueError(f"strings need {GRAM + 8} bytes or more")
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    slim = docs.select(F.coalesce(long_id(docs, id_col), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     hashed = slim.select("__id", F.xxhash64("__text").alias("__hash"), F.md5("__text").alias("h"), F.octet_length("__text").alias("size")).where(F.col("size") >= length)
     same = hashed.groupBy("h", "size").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last")
     copies = hashed.join(same, ["h", "size"]).where("__id > first").select(F.col("__id").alias("doc"), F.col("__hash").alias("hash")).distinct()
-    copies = materialize(copies, "copies", release=True)
+    copies = materialize(copies, "copies")
 
     rows = slim.mapInArrow(_anchor_rows(length), "anchor long, doc long")
     by = Window.partitionBy("anchor")
     rows = rows.withColumn("least", F.min("doc").over(by)).withColumn("most", F.max("doc").over(by)).withColumn("n", F.count("*").over(by)).where("least < most")
     shared = rows.groupBy("doc").agg(F.collect_list(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("common"), F.collect_list(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"))
-    shared = materialize(shared, "anchors", release=True)
+    shared = materialize(shared, "anchors")
 
     texts = slim.withColumn("__hash", F.xxhash64("__text"))
     first_table = shared
     shared = shared.join(copies.groupBy("doc").agg(F.collect_set("hash").alias("same")), "doc", "left")
     wide = texts.join(shared, F.col("__id") == F.col("doc")).where(F.col("same").isNull() | ~F.array_contains("same", F.col("__hash")))
     made = wide.select("__id", "__hash", "__text", "common", "hot").mapInArrow(_passages(length), "anchor long, passage long, bytes binary, doc long, hash long, at int, lead boolean")
-    made = materialize(made, "passages", release=True)
+    made = materialize(made, "passages")
     discard(first_table)
     each = made.where("lead").select("anchor", "passage", "bytes", "doc").repartition("anchor").sortWithinPartitions("anchor", "passage", "doc")
     held = each.mapInArrow(_first_holders(length), "anchor long, passage long, runs array<struct<x:int,y:int,d:long>>")
-    held = materialize(held, "holders", release=True)
+    held = materialize(held, "holders")
     cut = made.select("anchor", "passage", "doc", "hash", "at").join(held, ["anchor", "passage"])
     cut = cut.select("doc", "hash", F.explode(F.filter(F.transform("runs", lambda r: F.struct((F.col("at") + r["x"]).alias("x"), (F.col("at") + r["y"]).alias("y"), r["d"].alias("d"))), lambda r: r["d"] < F.col("doc"))).alias("r"))
     cut = cut.groupBy("doc", "hash").agg(F.collect_set(F.struct("r.x", "r.y")).alias("cut"))
     whole = copies.select("doc", "hash", F.lit(True).alias("copy"))
-    cut = materialize(cut.join(whole, ["doc", "hash"], "full_outer"), "cuts", release=True)
+    cut = materialize(cut.join(whole, ["doc", "hash"], "full_outer"), "cuts")
     discard(made, held, copies)
 
     final = texts.join(cut, (F.col("__id") == F.col("doc")) & (F.col("__hash") == F.col("hash")), "left").select("__id", "__text", "cut", F.coalesce("copy", F.lit(False)).alias("copy"))
@@ -259,7 +260,8 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
 
 def string_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """What each row loses, in figures, with the hash of what stays."""
+    """What each row loses, in figures, with the hash of what stays. Nulls, repeated rows and empty
+    tables are as in ``drop_repeated_strings``."""
     out = drop_repeated_strings(docs, id_col, text)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["y"] - x["x"])
     return out.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
