@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,13 +22,39 @@ MANIFEST = "part int, n_docs long, n_ids long, width int"
 
 #: Bytes of words and ids that a worker remembers, in two generations of this size; all else is encoded anew.
 REMEMBERED = 32_000_000
-#: Rows, and characters of texts, that are taken apart at a time.
-BATCH_ROWS, BLOCK_CHARS = 2_000, 6_000_000
+#: Rows, and characters of texts, that are taken apart at a time, and new words in one call of the library.
+BATCH_ROWS, BLOCK_CHARS, CALL_WORDS = 1_500, 5_000_000, 5_000
 #: Marks a text's first word, which no space and no newline precedes.
 _FIRST = "\x01"
 #: White space that doesn't stand alone between words, or isn't a space or a newline; the mark.
 _ODD = r"^ | $|  | \n|\n |\n\n|[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _PUNCTUATION = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: A run of letters, which is one piece, and what punctuation may close.
+_LETTERS, _CLOSED = re.compile(f"[{_LATIN}]+"), f"[0-9{_LATIN}]$"
+
+
+class Letters(dict):
+    """What a byte-level vocabulary writes for each character."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        super().__init__()
+        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(x for x, _ in self.level.pre_tokenize_str(chr(code)))
+        return self[code]
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat``, of ``sizes``, in the order of their numbers ``at``; and where each then ends."""
+    first, wide = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(wide)
+    place = np.repeat(first[at] - ends + wide, wide)
+    place += np.arange(len(place))
+    return flat[place], ends
 
 
 class Memory:
@@ -56,20 +84,22 @@ class Encoder:
     A byte-level BPE encodes a text piece by piece. A space or newline between two characters that
     aren't white space always begins a piece, and so does ASCII punctuation that closes a word
     behind a letter or digit. So the distinct words of a block of texts, with what precedes and
-    without what closes them, are encoded once, unknown ones all in one call with newlines between,
+    without what closes them, are encoded once, unknown ones many in one call with newlines between,
     and the ids of the texts are gathered from them. Texts that this doesn't hold for, and
     vocabularies of another make, take the library's way one by one.
     """
 
     def __init__(self, path: str, width: int | None = None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width or width_of(self.tokenizer.get_vocab_size(True))
         self.dtype = np.dtype(f"<u{self.width}")
         self.memory = Memory(REMEMBERED)
-        self.newline = self._whole("\n")
-        self.by_word = self._by_word(path) and len(self.newline) == self.width
+        self.newline = np.frombuffer(self._whole("\n"), dtype=self.dtype)
+        self.by_word = self._by_word(path) and len(self.newline) == 1
+        self.letters, self.bare = Letters(), Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(self.letters[ord("\n")], "isolated")
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.odd = "|".join([_ODD, *special])
 
@@ -88,33 +118,69 @@ class Encoder:
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(made.ids, dtype=self.dtype).tobytes()
 
-    def _lines(self, lines: list[str]) -> list[bytes]:
-        """Ids of each line, from one call; no line is empty or holds a newline."""
-        if not lines:
-            return []
-        all_ids, w = self._whole("\n".join(lines)), self.width
-        ends = np.flatnonzero(np.frombuffer(all_ids, dtype=self.dtype) == np.frombuffer(self.newline, dtype=self.dtype)) * w
-        return [all_ids[x:y] for x, y in zip([0, *(ends + w).tolist()], [*ends.tolist(), len(all_ids)], strict=True)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words: a mark or a newline and a first word, or a word behind a space."""
-        bare = [w.rstrip(_PUNCTUATION) for w in words]
-        stems = [s if s[-1:].isalnum() else w for s, w in zip(bare, words, strict=True)]
-        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
-        memory, known, missing = self.memory, {"\n": b"", _FIRST: b""}, []
-        for s in dict.fromkeys(stems):
-            if s not in known:
-                ids = memory.get(s)
-                if ids is None:
-                    missing.append(s)
-                else:
-                    known[s] = ids
-        for s, ids in zip(missing, self._lines([s[1:] if s[0] in "\n\x01" else " " + s for s in missing]), strict=True):
-            known[s] = ids
-            memory.put(s, ids)
-        closing = {t: self._whole(t) if t else b"" for t in set(tails)}
-        line = self.newline
-        return [line + known[s] + closing[t] if s[0] == "\n" else known[s] + closing[t] if t else known[s] for s, t in zip(stems, tails, strict=True)]
+    def _parts(self, tokenizer, joined: str) -> list[bytes]:
+        """Ids of what newlines separate in a text, from one call."""
+        (made,) = tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+        ids, w = np.array(made.ids, dtype=self.dtype), self.width
+        ends = (np.flatnonzero(ids == self.newline[0]) * w).tolist()
+        whole = ids.tobytes()
+        return [whole[x:y] for x, y in zip([0, *[e + w for e in ends]], [*ends, len(whole)], strict=True)]
+
+    def _new(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of stems that aren't remembered. Runs of letters are one piece each, so the model takes
+        them as they are; the others go through the library as lines."""
+        plain, other = [], []
+        for x in stems:
+            (plain if _LETTERS.fullmatch(x, x[0] == _FIRST) else other).append(x)
+        for words, run in ((plain, self._pieces), (other, lambda lines: self._parts(self.tokenizer, "\n".join(lines)))):
+            for x in range(0, len(words), CALL_WORDS):
+                part = words[x : x + CALL_WORDS]
+                yield from zip(part, run([w[1:] if w[0] == _FIRST else " " + w for w in part]), strict=True)
+
+    def _pieces(self, lines: list[str]) -> list[bytes]:
+        return self._parts(self.bare, "\n".join(lines).translate(self.letters))
+
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of distinct words without what closes them; a mark stands before a line's first."""
+        memory, known, missing = self.memory, [], []
+        for n, x in enumerate(stems):
+            ids = memory.get(x) if x != _FIRST else b""
+            known.append(ids)
+            if ids is None:
+                missing.append(n)
+        if missing:
+            at = dict(zip([stems[n] for n in missing], missing, strict=True))
+            for x, ids in self._new(list(at)):
+                known[at[x]] = ids
+                memory.put(x, ids)
+        return known
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, in a row, and how many each has: a mark or a newline and a first
+        word, or a word behind a space."""
+        line = pc.starts_with(words, "\n")
+        stems = pc.ascii_rtrim(words, _PUNCTUATION)
+        stems = pc.if_else(pc.match_substring_regex(stems, _CLOSED), stems, words)
+        cut = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        stems = pc.if_else(line, pc.binary_replace_slice(stems, 0, 1, _FIRST), stems).dictionary_encode()
+        line = line.to_numpy(zero_copy_only=False)
+        pieces = self._stems(stems.dictionary.to_pylist())
+        closed = np.flatnonzero(cut < pc.binary_length(words).to_numpy(zero_copy_only=False))
+        # three pieces a word: a newline or nothing, its stem, and what closes it or nothing
+        table = np.full((len(words), 3), len(pieces), dtype=np.int64)
+        table[line, 0] = len(pieces) + 1
+        table[:, 1] = stems.indices.to_numpy(zero_copy_only=False)
+        pieces += [b"", self.newline.tobytes()]
+        tails: dict[str, int] = {}
+        for n, w, x in zip(closed.tolist(), words.take(pa.array(closed)).cast(pa.large_binary()).to_pylist(), cut[closed].tolist(), strict=True):
+            tail = w[x:]
+            if tail not in tails:
+                tails[tail] = len(pieces)
+                pieces.append(self._whole(tail.decode()))
+            table[n, 2] = tails[tail]
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // self.width
+        ids, _ = _gather(np.frombuffer(b"".join(pieces), dtype=self.dtype), sizes, table.ravel())
+        return ids, sizes[table].sum(axis=1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little endian."""
@@ -136,13 +202,9 @@ class Encoder:
         plain = pa.array([_FIRST + texts[i].replace("\n", " \n") for i in np.flatnonzero(~odd).tolist()], pa.large_string())
         lists = pc.split_pattern(plain, " ")
         named = lists.values.dictionary_encode()
-        known = self._words(named.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.width
-        flat, first, at = np.frombuffer(b"".join(known), dtype=self.dtype), np.cumsum(sizes) - sizes, named.indices.to_numpy(zero_copy_only=False)
-        wide = sizes[at]
-        upto = np.concatenate(([0], np.cumsum(wide)))
-        ids = flat[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], wide)].tobytes()
-        ends = (upto[lists.offsets.to_numpy()] * self.width).tolist()
+        ids, ends = _gather(*self._words(named.dictionary), named.indices.to_numpy(zero_copy_only=False))
+        ids, ends = ids.tobytes(), np.concatenate(([0], ends)) * self.width
+        ends = ends[lists.offsets.to_numpy()].tolist()
         parts = iter([ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
         return [self._whole(t) if o else next(parts) for t, o in zip(texts, odd.tolist(), strict=True)]
 
@@ -162,6 +224,13 @@ def _encoder(path: str, width: int) -> Encoder:
     return _encoders[path, width]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers stay, and later stages want it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have this
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -194,6 +263,7 @@ def _writer(folder: str, path: str, end_id: int, width: int, id_col: str, text:
                     for made in encoder.encode(texts.slice(x, BATCH_ROWS).to_pylist()):
                         file.write(made + end)
                         sizes.append(len(made) // width + 1)
+        _give_back()
         if not sizes:
             where.delete_file(own)
             return
