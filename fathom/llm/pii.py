@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm.common import ascii_lower, let, text_or_empty
-from fathom.llm.spans import apart, by_place, count_kind, find_spans, written
+from fathom.llm.spans import by_place, count_kind, find_spans, with_neighbours, written
 from fathom.runtime import discard, materialize
 
 #: The shapes of personal data. \G and the look-behind only spare hopeless starts.
@@ -13,8 +13,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What an identifier looks like: letters, digits and joints, with four digits or more.
-TOKEN = r"(?:\G|(?<![A-Za-z0-9@._/+-]))[A-Za-z0-9][A-Za-z0-9@._/-]{4,}+"
+#: What an identifier may look like: letters, digits and joints with a digit, an underscore or an at sign.
+TOKEN = r"(?:\G|(?<![A-Za-z0-9@._/+-]))(?=[A-Za-z./-]*+[0-9_@])[A-Za-z0-9@_][A-Za-z0-9@._/-]{3,}+"
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "found")
@@ -30,32 +30,43 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda s, x: s + x) % 10 == 0
 
 
-def base_spans(t: Column) -> dict[str, Column]:
+def _identifies(m: Column) -> Column:
+    """Four digits or more, letters with digits, or a name with an underscore or at sign in it."""
+    return (F.length(_digits(m)) >= 4) | (m.rlike("[0-9]") & m.rlike("[A-Za-z]")) | m.rlike("[A-Za-z0-9][_@][A-Za-z0-9]|@[A-Za-z]")
+
+
+def base_spans(t: Column, near: bool = False) -> dict[str, Column]:
     """Spans of each base kind in a text that isn't null; a match that fails its test is dropped."""
     some = t.rlike("[0-9]")
-    card = F.filter(find_spans(t, CARD, some), lambda x: let(_digits(x["m"]), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(F.lit(False))))
-    phone = F.filter(find_spans(t, PHONE, F.contains(t, F.lit("+"))), lambda x: F.length(_digits(x["m"])).between(9, 15))
-    ip = F.filter(find_spans(t, IP, t.rlike(r"[0-9]\.[0-9]")), lambda x: F.forall(F.split(x["m"], r"\."), lambda n: F.coalesce(n.try_cast("long"), F.lit(999)) <= 255))
-    return {"email": find_spans(t, EMAIL, F.contains(t, F.lit("@"))), "ip": ip, "card": card, "phone": phone}
+    card = F.filter(find_spans(t, CARD, some, near), lambda x: let(_digits(x["m"]), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(F.lit(False))))
+    phone = F.filter(find_spans(t, PHONE, F.contains(t, F.lit("+")), near), lambda x: F.length(_digits(x["m"])).between(9, 15))
+    ip = F.filter(find_spans(t, IP, t.rlike(r"[0-9]\.[0-9]"), near), lambda x: F.forall(F.split(x["m"], r"\."), lambda n: F.coalesce(n.try_cast("long"), F.lit(999)) <= 255))
+    return {"email": find_spans(t, EMAIL, F.contains(t, F.lit("@")), near), "ip": ip, "card": card, "phone": phone}
+
+
+#: Code points next to a place that are looked at first; only where they don't hold two words whole are more.
+FIRST_LOOK = 48
+_WHITE, _BLACK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
-#: Code points before a place that are looked at first; only where they don't hold the last two words whole are more.
-NEAR = (48, 1024)
+def _two_words(near: Column, far: Column, one: bool = False) -> Column:
+    """The first two words of ``near`` if it holds them whole, else of ``far``, with the punctuation
+    that they touch; with ``one``, one word if there are no more; else empty."""
+    two = rf"\A{_WHITE}*({_BLACK}+{_WHITE}+{_BLACK}+)"
+    short = F.left(near, F.lit(FIRST_LOOK))
+    tries = [F.regexp_extract(short, two + _WHITE, 1), F.regexp_extract(near, two + _WHITE, 1), F.regexp_extract(far, two, 1)]
+    tries += [F.regexp_extract(far, rf"\A{_WHITE}*({_BLACK}+)", 1)] * one
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in tries], F.lit(""))
 
 
-def _context(t: Column, a: Column) -> Column:
-    """The last two words before a place, wherever they start, in lower case, with the punctuation
-    that follows them; one word if the text has no more there, and empty if it has none."""
-    two = r"\A[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)"
+def _before(near: Column, far: Column) -> Column:
+    """The last two words of what lies before a place, in lower case."""
+    return ascii_lower(F.reverse(_two_words(F.reverse(F.right(near, F.lit(8 * FIRST_LOOK))), F.reverse(far), one=True)))
 
-    def last(n: Column, whole: Column) -> Column:
-        back = F.reverse(F.substring(t, a - n + 1, n))
-        found = F.when(whole, F.regexp_extract(back, two, 1)).otherwise(F.regexp_extract(back, two + r"[\x20\x09-\x0D]", 1))
-        one = F.regexp_extract(back, r"\A[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-        return F.when(found != "", found).when(whole, one)
 
-    tries = [last(F.least(a, F.lit(n)), a <= n) for n in NEAR]
-    return ascii_lower(F.reverse(F.coalesce(*tries, last(a, F.lit(True)))))
+def _behind(far: Column) -> Column:
+    """The first two words of what lies behind a place, in lower case."""
+    return ascii_lower(_two_words(far, far))
 
 
 def _instance(m: Column) -> Column:
@@ -97,18 +108,38 @@ def trusted_patterns(seen: DataFrame, rounds: int = MOST_ROUNDS, min_seeds: int
     return good.select("context", "score")
 
 
+_SEEN = "array<struct<a:int,b:int,pattern:string,instance:bigint,seed:int>>"
+
+
+def _overlap_free(tokens: Column, base: Column) -> Column:
+    """Tokens that touch no base span, by one sweep over the places of both."""
+
+    def clear(s: Column) -> Column:
+        return F.coalesce(s["left"]["b"] <= s["x"]["a"], F.lit(True)) & F.coalesce(s["right"]["a"] >= s["x"]["b"], F.lit(True))
+
+    def sweep(placed: Column) -> Column:
+        # tokens are in order of their places, and so is what is left of the sweep
+        swept = F.filter(with_neighbours(placed, lambda x: x["kind"] == "base"), lambda s: s["x"]["kind"] == "token")
+        judged = F.zip_with(tokens, F.transform(swept, clear), lambda x, ok: F.struct(x.alias("x"), ok.alias("ok")))
+        return F.transform(F.filter(judged, lambda z: z["ok"]), lambda z: z["x"])
+
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(let(by_place({"base": base, "token": tokens}), sweep))
+
+
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = MOST_ROUNDS, min_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
     """(id, pii) of each row: pii is an array of (a, k, b, kind) by start; a and b in code points.
 
     Base kinds are ``email``, ``ip``, ``card`` (passing Luhn's test) and ``phone``. They are the
-    seeds: the two words before one are a lexical pattern (one word, if the text starts with it). Tokens that look like identifiers and
-    stand behind the same patterns are instances; trust runs over the graph of patterns and
-    instances until it settles (``rounds`` at most), and tokens behind trusted patterns are reported as ``found``
-    unless they overlap a base span.
+    seeds: the two words before one are a lexical pattern (one word, if the text starts with it), and
+    so are the two words behind it. Tokens that may be identifiers (with four digits, with
+    letters and digits, or with an underscore or at sign inside) at the same patterns are instances;
+    trust runs over the graph of patterns and instances until it settles (``rounds`` at most), and
+    tokens at trusted patterns are reported as ``found`` unless they overlap a base span. Words of a
+    pattern are sought as far as the second match before (behind) of the same kind.
 
     Texts are read once; places and contexts, a small part of them, go to a table of the shared
     folder. The graph is aggregated by pattern and by instance with partial sums, so a pattern that
-    a third of all tokens follow is no single task's burden.
+    a third of all tokens stand at is no single task's burden. Work per text follows its length.
 
     Null text counts as empty. A repeated row is scanned each time; a null id is an id. Empty
     tables give empty tables.
@@ -116,29 +147,34 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds
     t = text_or_empty(text)
 
     def places(p: Column) -> Column:
-        def with_context(spans: Column, seed: bool) -> Column:
-            return F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _context(t, x["a"]).alias("context"), _instance(x["m"]).alias("instance"), F.lit(int(seed)).alias("seed")))
+        def with_patterns(spans: Column, seed: bool) -> Column:
+            def edges(x: Column) -> Column:
+                def edge(side: str, words: Column) -> Column:
+                    return F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(words != "", F.concat(F.lit(side), words)).alias("pattern"), _instance(x["m"]).alias("instance"), F.lit(int(seed)).alias("seed"))
+
+                return F.array(edge("<", _before(x["l"], x["l2"])), edge(">", _behind(x["r"])))
+
+            return F.flatten(F.transform(spans, edges)).cast(_SEEN)
 
         base = F.concat(*[p[k] for k in BASE])
-        tokens = F.filter(p["token"], lambda x: F.length(_digits(x["m"])) >= 4)
-        seeds, others = with_context(base, True), let(base, lambda b: with_context(apart(tokens, b), False))
-        return F.struct(by_place({k: p[k] for k in BASE}).alias("base"), F.filter(F.concat(seeds, others), lambda x: x["context"] != "").alias("near"))
+        tokens = F.filter(p["token"], lambda x: _identifies(x["m"]))
+        seen = let(F.struct(base.alias("base"), tokens.alias("tokens")), lambda q: F.concat(with_patterns(q["base"], True), with_patterns(_overlap_free(q["tokens"], q["base"]), False)))
+        return F.struct(by_place({k: p[k] for k in BASE}).alias("base"), F.filter(seen, lambda x: x["pattern"].isNotNull()).alias("near"))
 
-    kinds = base_spans(t) | {"token": find_spans(t, TOKEN, t.rlike("[0-9]"))}
+    kinds = base_spans(t, True) | {"token": find_spans(t, TOKEN, t.rlike("[0-9_@]"), True)}
     placed = let(F.struct(*[c.alias(k) for k, c in kinds.items()]), places)
-    slim = materialize(docs.select(F.col(id_col).alias("__id"), placed.alias("p")).select("__id", "p.base", "p.near"), "pii")
-    tokens = slim.select("__id", F.explode("near").alias("x")).select("__id", "x.context", "x.instance", "x.seed")
+    slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.monotonically_increasing_id().alias("__row"), placed.alias("p"))
+    slim = materialize(slim.select("__id", "__row", "p.base", "p.near"), "pii")
+    tokens = slim.select("__row", F.explode("near").alias("x")).select("__row", "x.*").withColumnRenamed("pattern", "context")
     good = trusted_patterns(tokens.select("context", "instance", "seed"), rounds, min_seeds, confidence)
-    trusted = tokens.where("seed = 0").select("__id", "context").join(good, "context", "left_semi")
-    trusted = trusted.groupBy("__id").agg(F.collect_set("context").alias("trusted")).select(F.col("__id").alias("__of"), "trusted")
-    wide = slim.join(trusted, F.col("__id").eqNullSafe(F.col("__of")), "left")
-    more = F.filter("near", lambda x: (x["seed"] == 0) & F.array_contains(F.col("trusted"), x["context"]))
-    found = F.transform(more, lambda x: F.struct(x["a"].alias("a"), F.lit(len(BASE)).alias("k"), x["b"].alias("b"), F.lit("found").alias("kind")))
-    return wide.select(F.col("__id").alias(id_col), F.when(F.col("trusted").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", found))).alias("pii"))
+    more = tokens.where("seed = 0").join(good, "context", "left_semi").groupBy("__row").agg(F.collect_set(F.struct("a", F.lit(len(BASE)).alias("k"), "b", F.lit("found").alias("kind"))).alias("found"))
+    wide = slim.select("__id", "__row", "base").join(more, "__row", "left")
+    return wide.select(F.col("__id").alias(id_col), F.when(F.col("found").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "found"))).alias("pii"))
 
 
 def pii_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and spans of base kinds, and all spans, as text."""
+    """Per row of ``docs``: counts and a hash of the base spans, and all spans as text. Nulls, repeats
+    and empty tables are as in ``scan_pii``."""
     found = scan_pii(docs, id_col, text)
     base = F.filter("pii", lambda x: x["k"] < len(BASE))
     counts = [count_kind(F.col("pii"), k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fathom.llm.common import let, text_or_empty
-from fathom.llm.spans import apart, by_place, count_kind, find_spans, written
+from fathom.llm.common import let, replace_columns, text_or_empty
+from fathom.llm.spans import by_place, count_kind, find_spans, with_neighbours, written
 
 #: The shapes of secrets.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -17,20 +17,51 @@ ENDPOINT = r"""(?i:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+
 RANDOM = r"""(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"""
 
 BASE = ("assign", "access", "hex")
-#: Code points between the parts of one credential, at most.
+WEAK = ("identity", "endpoint", "random")
+KINDS = (*BASE, *WEAK)
+#: What each weak kind needs nearby: names need a secret or an access identifier, a random string a name.
+COMPLEMENT = {"identity": ("access", "assign", "hex", "random"), "endpoint": ("access", "assign", "hex", "random"), "random": ("access", "identity", "endpoint")}
+#: Code points between the parts of one credential, at most: how far a scope reaches from a part.
 SCOPE = 300
 
+_PLACES = "array<struct<a:int,k:int,b:int,kind:string>>"
+_LINKS = "array<struct<a:int,b:int,kind:string,with_a:int,with_b:int,with_kind:string>>"
+
 
 def _looks_random(m: Column) -> Column:
     return m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
 
 
-def _near(x: Column, others: Column, scope: int) -> Column:
-    return F.exists(others, lambda y: (x["a"] - y["b"] <= scope) & (y["a"] - x["b"] <= scope))
+def _is(x: Column, kinds: tuple[str, ...]) -> Column:
+    return x["kind"].isin(*kinds)
+
+
+def _free(placed: Column) -> Column:
+    """The places without weak ones that overlap a base one."""
+    swept = with_neighbours(placed, lambda x: _is(x, BASE))
+    clear = F.filter(swept, lambda s: _is(s["x"], BASE) | (F.coalesce(s["left"]["b"] <= s["x"]["a"], F.lit(True)) & F.coalesce(s["right"]["a"] >= s["x"]["b"], F.lit(True))))
+    return F.transform(clear, lambda s: s["x"])
+
+
+def _links(placed: Column, kinds: tuple[str, ...], scope: int) -> Column:
+    """Places of ``kinds`` (of one complement), each with its nearest complement within the scope."""
+
+    def gap(s: Column, side: str) -> Column:
+        away = s["x"]["a"] - s["left"]["b"] if side == "left" else s["right"]["a"] - s["x"]["b"]
+        return F.when(away <= scope, F.greatest(away, F.lit(0)))
+
+    def nearest(s: Column) -> Column:
+        left = gap(s, "left") <= F.coalesce(gap(s, "right"), F.lit(scope + 1))
+        return F.when(left, s["left"]).when(gap(s, "right").isNotNull(), s["right"])
+
+    swept = F.filter(with_neighbours(placed, lambda x: _is(x, COMPLEMENT[kinds[0]])), lambda s: _is(s["x"], kinds))
+    met = F.filter(F.transform(swept, lambda s: F.struct(s["x"].alias("x"), nearest(s).alias("y"))), lambda m: m["y"].isNotNull())
+    return F.transform(met, lambda m: F.struct(*[m[side][c].alias(name + c) for side, name in (("x", ""), ("y", "with_")) for c in ("a", "b", "kind")])).cast(_LINKS)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with ``secrets``: an array of (a, k, b, kind), by start; a and b in code points.
+    """``docs`` with ``secrets``: an array of (a, k, b, kind), by start; a and b in code points; and
+    ``secret_links``: (a, b, kind, with_a, with_b, with_kind), by start.
 
     Base kinds, leftmost and not overlapping within a kind: ``assign`` (a name and a value of 6
     characters or more), ``access`` (an access identifier of 20 or more), ``hex`` (24 hexadecimal
@@ -38,51 +69,50 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
 
     Linked kinds are weak candidates: ``identity`` (a user, client or key name), ``endpoint`` (an
     address with a scheme) and ``random`` (20 or more characters of mixed case with digits). The
-    parts of a document are joined on their places: a candidate is reported only if within
-    ``scope`` code points it has its complement. A secret (random or assigned) needs an access
-    identifier, an identity or an endpoint; an identity or endpoint needs an access identifier or a
-    secret. Linked spans never overlap base ones.
-
-    All of it is arrays within the row: no shuffle, no Python. Null text counts as empty and has
-    none. Rows are independent: repeated rows give the same twice, an empty table an empty one. An
-    input column named ``secrets`` gives way.
+    parts of a document meet in an interval join, which sweeps over the sorted places once forth and
+    once back: a candidate's scope is its place and ``scope`` code points on either side, and it is
+    reported only with a complement there (``COMPLEMENT``). Of several the nearest is its link, the
+    one on the left if both sides are as near. Linked spans never overlap base ones.
+
+    All of it is arrays within the row, in time that follows the text: no shuffle, no Python. Null
+    text counts as empty and has none. Rows are independent: repeated rows give the same twice, an
+    empty table an empty one. Input columns named like the two new ones, in any case, give way.
     """
     t = text_or_empty(text)
     assign = F.filter(find_spans(t, ASSIGN, t.rlike("(?i:password|passwd|secret|token|api_?key)")), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 6)
-    parts = F.struct(
-        assign.alias("assign"),
-        find_spans(t, ACCESS, F.contains(t, F.lit("AKIA"))).alias("access"),
-        find_spans(t, HEX).alias("hex"),
-        find_spans(t, IDENTITY).alias("identity"),
-        find_spans(t, ENDPOINT, F.contains(t, F.lit("://"))).alias("endpoint"),
-        F.filter(find_spans(t, RANDOM), lambda x: _looks_random(x["m"])).alias("random"),
-    )
-
-    def link(p: Column) -> Column:
-        def weigh(q: Column) -> Column:
-            names, secrets = q["names"], q["secrets"]
-            strong = F.concat(p["access"], secrets)
-            return by_place(
-                {kind: p[kind] for kind in BASE}
-                | {
-                    "identity": F.filter(q["identity"], lambda x: _near(x, strong, scope)),
-                    "endpoint": F.filter(q["endpoint"], lambda x: _near(x, strong, scope)),
-                    "random": F.filter(q["random"], lambda x: _near(x, names, scope)),
-                }
-            )
-
-        base = F.concat(p["assign"], p["access"], p["hex"])
-        free = F.struct(*[apart(p[kind], base).alias(kind) for kind in ("identity", "endpoint", "random")])
-        found = let(free, lambda f: let(F.struct(F.concat(p["access"], f["identity"], f["endpoint"]).alias("names"), F.concat(p["assign"], f["random"]).alias("secrets"), f["identity"].alias("identity"), f["endpoint"].alias("endpoint"), f["random"].alias("random")), weigh))
-        return F.when(F.size(p["identity"]) + F.size(p["endpoint"]) + F.size(p["random"]) == 0, by_place({kind: p[kind] for kind in BASE})).otherwise(found)
-
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "secrets"]
-    return docs.select(*rest, let(parts, link).alias("secrets"))
+    parts = {
+        "assign": assign,
+        "access": find_spans(t, ACCESS, F.contains(t, F.lit("AKIA"))),
+        "hex": find_spans(t, HEX, t.rlike(HEX)),
+        "identity": find_spans(t, IDENTITY, t.rlike(r"(?i:user|login|client|access|account)")),
+        "endpoint": find_spans(t, ENDPOINT, F.contains(t, F.lit("://"))),
+        "random": F.filter(find_spans(t, RANDOM, t.rlike(RANDOM)), lambda x: _looks_random(x["m"])),
+    }
+
+    def link(placed: Column) -> Column:
+        found = F.array_sort(F.concat(_links(placed, ("identity", "endpoint"), scope), _links(placed, ("random",), scope)))
+
+        def report(links: Column) -> Column:
+            weak = F.transform(links, lambda x: F.struct(x["a"].alias("a"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int").alias("k"), x["b"].alias("b"), x["kind"].alias("kind")))
+            weak = F.transform(weak, lambda x: F.struct(x["a"].alias("a"), (x["k"] - 1).alias("k"), x["b"].alias("b"), x["kind"].alias("kind"))).cast(_PLACES)
+            return F.struct(F.sort_array(F.concat(F.filter(placed, lambda x: _is(x, BASE)), weak)).alias("secrets"), links.alias("links"))
+
+        return let(found, report)
+
+    def scan(placed: Column) -> Column:
+        alone = F.struct(placed.alias("secrets"), F.array().cast(_LINKS).alias("links"))
+        return F.when(~F.exists(placed, lambda x: _is(x, WEAK)), alone).otherwise(let(_free(placed), link))
+
+    scanned = let(by_place(parts).cast(_PLACES), scan)
+    held = replace_columns(docs, {"secrets": scanned})
+    return replace_columns(held, {"secrets": F.col("secrets.secrets"), "secret_links": F.col("secrets.links")})
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and spans of base kinds, and all spans, as text."""
-    found = scan_secrets(docs.select(id_col, text), text)
+    """Per row of ``docs``: counts and a hash of the base spans, all spans, and the links as text
+    (kind:start:end>kind:start:end). Nulls, repeats and empty tables are as in ``scan_secrets``."""
+    found = scan_secrets(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("__text")), "__text")
     base = F.filter("secrets", lambda x: x["k"] < len(BASE))
     counts = [count_kind(F.col("secrets"), k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return found.select(id_col, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
+    links = F.array_join(F.transform("secret_links", lambda x: F.format_string("%s:%d:%d>%s:%d:%d", x["kind"], x["a"], x["b"], x["with_kind"], x["with_a"], x["with_b"])), ",")
+    return found.select(F.col("__id").alias(id_col), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"), links.alias("links"))

@@ -1,44 +1,85 @@
-"""Places of pattern matches as arrays, with built-in functions only."""
+"""Places of pattern matches as arrays, with built-in functions only, in time that follows the text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from fathom.llm.common import let
 
+#: Items that a fold adds to one array; a longer array is folded by blocks of so many, as appending copies.
+BLOCK = 128
 SPAN = "array<struct<a:int,b:int,m:string>>"
+NEAR = "array<struct<a:int,b:int,m:string,l:string,l2:string,r:string>>"
 
 
-def none() -> Column:
-    return F.array().cast(SPAN)
+def running(items: Column, value: Callable[[Column], Column], kind: str, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each item, ``value`` merged over it and all before it. ``merge`` is associative, null being
+    nothing; ``kind`` is the type of the values."""
+    nothing, empty = F.lit(None).cast(kind), F.array().cast(f"array<{kind}>")
 
+    def fold(part: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            return let(merge(s["at"], value(x)), lambda v: F.struct(v.alias("at"), F.concat(s["out"], F.array(v)).alias("out")))
 
-def find_spans(text: Column, pattern: str, hint: Column | None = None) -> Column:
+        return F.aggregate(part, F.struct(nothing.alias("at"), empty.alias("out")), add, lambda s: s["out"])
+
+    def blocks(parts: Column) -> Column:
+        def add(s: Column, part: Column) -> Column:
+            return F.struct(merge(s["at"], F.element_at(part, -1)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+        before = F.aggregate(parts, F.struct(nothing.alias("at"), empty.alias("out")), add, lambda s: s["out"])
+        return F.flatten(F.zip_with(parts, before, lambda part, at: F.transform(part, lambda v: merge(at, v))))
+
+    def run(found: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda n: F.slice(found, n * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(found) <= BLOCK, fold(found)).otherwise(let(F.transform(cut, fold), blocks))
+
+    return let(items, run)
+
+
+def total(x: Column, y: Column) -> Column:
+    return F.coalesce(x + y, x, y)
+
+
+def find_spans(text: Column, pattern: str, hint: Column | None = None, near: bool = False) -> Column:
     """(a, b, m) of every leftmost non-overlapping match: start and end in code points, and text.
 
     The pieces between matches and the matches alternate, so running lengths are the places.
-    ``hint``, if false, says that a cheaper test rules a match out.
+    ``hint``, if false, says that a cheaper test rules a match out. With ``near``, also l, the text
+    from the match before, l2, the text from the match two before that, and r, the text up to the
+    match after the next.
     """
+    kind = NEAR if near else SPAN
 
-    def place(found: Column) -> Column:
-        def lay() -> Column:
-            rest = F.split(text, pattern, -1)
-            steps = F.zip_with(F.slice(rest, 1, F.size(found)), found, lambda r, m: F.struct(F.length(r).alias("r"), m.alias("m")))
-            zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
+    def lay(p: Column) -> Column:
+        found, rest, ends = p["found"], p["rest"], p["ends"]
 
-            def add(s: Column, x: Column) -> Column:
-                a = s["at"] + x["r"]
-                b = a + F.length(x["m"])
-                return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m")))).alias("out"))
+        def one(m: Column, i: Column) -> Column:
+            def piece(of: Column, at: Column) -> Column:
+                return F.when(at >= 0, F.coalesce(F.get(of, at), F.lit(""))).otherwise("")
 
-            return F.aggregate(steps, zero, add, lambda s: s["out"])
+            b = F.get(ends, i)
+            parts = [(b - F.length(m)).alias("a"), b.alias("b"), m.alias("m")]
+            if near:
+                back = F.concat(*[c for k in (2, 1) for c in (piece(rest, i - k), piece(found, i - k))], F.get(rest, i))
+                on = F.concat(F.get(rest, i + 1), piece(found, i + 1), piece(rest, i + 2))
+                parts += [F.get(rest, i).alias("l"), back.alias("l2"), on.alias("r")]
+            return F.struct(*parts)
 
-        return F.when(F.size(found) == 0, none()).otherwise(lay())
+        return F.transform(found, one).cast(kind)
+
+    def place(found: Column) -> Column:
+        def measure(rest: Column) -> Column:
+            steps = F.zip_with(F.slice(rest, 1, F.size(found)), found, lambda r, m: F.length(r) + F.length(m))
+            return let(F.struct(found.alias("found"), rest.alias("rest"), running(steps, lambda x: x, "int", total).alias("ends")), lay)
+
+        return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(let(F.split(text, pattern, -1), measure))
 
     spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
-    return spans if hint is None else F.when(hint, spans).otherwise(none())
+    return spans if hint is None else F.when(hint, spans).otherwise(F.array().cast(kind))
 
 
 def by_place(kinds: dict[str, Column]) -> Column:
@@ -61,6 +102,21 @@ def count_kind(placed: Column, k: int) -> Column:
     return F.size(F.filter(placed, lambda x: x["k"] == k)).cast("long")
 
 
-def apart(spans: Column, others: Column) -> Column:
-    """The spans that touch none of ``others``."""
-    return F.filter(spans, lambda x: ~F.exists(others, lambda y: (x["a"] < y["b"]) & (y["a"] < x["b"])))
+_PLACED = "struct<b:int,a:int,kind:string>"
+
+
+def with_neighbours(placed: Column, against: Callable[[Column], Column]) -> Column:
+    """(x, left, right) for each item of a sorted array of places: of the items that ``against``
+    holds for, the one at or before it in the array that ends last, and the one after it that starts
+    first. Each is (b, a, kind). One sweep forth and one back, so the join of places is linear."""
+
+    def left(x: Column) -> Column:
+        return F.when(against(x), F.struct(x["b"].alias("b"), x["a"].alias("a"), x["kind"].alias("kind")))
+
+    def sweep(p: Column) -> Column:
+        before, after = p["before"], p["after"]
+        return F.transform(placed, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(before, i - 1)).alias("left"), F.get(after, F.size(after) - 2 - i).alias("right")))
+
+    before = running(placed, left, _PLACED, F.greatest)
+    after = running(F.reverse(placed), left, _PLACED, lambda x, y: F.coalesce(y, x))
+    return F.when(F.size(placed) == 0, F.array().cast("array<struct<x:struct<a:int,k:int,b:int,kind:string>,left:struct<b:int,a:int,kind:string>,right:struct<b:int,a:int,kind:string>>>")).otherwise(let(F.struct(before.alias("before"), after.alias("after")), sweep))
