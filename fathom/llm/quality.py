@@ -98,8 +98,8 @@ def _posterior(prior: Column, weights: Column, vote: Column) -> Column:
 #: What a rule is taken to do before the votes are seen, with the weight of so many votes: it calls
 #: a good document bad in FALSE of its votes and a bad one in TRUE.
 FALSE, TRUE, WEIGHT = 0.02, 0.3, 20.0
-#: A rule never counts as worse or better than this at sparing good documents.
-FALSE_MOST, FALSE_LEAST = 0.03, 0.001
+#: The share of good documents before the votes are seen, with the same weight.
+GOOD = 0.8
 
 
 def rule_model(voted: DataFrame, rules: int, steps: int = STEPS) -> DataFrame:
@@ -108,8 +108,9 @@ def rule_model(voted: DataFrame, rules: int, steps: int = STEPS) -> DataFrame:
     Each rule has two rates, of bad votes among the votes that it casts on good and on bad
     documents. Given the truth rules vote independently, and abstain regardless of it. Documents of
     equal votes count together, so the model sees at most 3**rules patterns with their counts, in
-    one row, and the steps are a fold over that row. Weights are the log likelihood ratios of a
-    good (up) and a bad (down) vote.
+    one row, and the steps are a fold over that row. Rates are as the votes have them, but for
+    WEIGHT votes cast beforehand, which keep them off 0 and 1. Weights are the log likelihood ratios
+    of a good (up) and a bad (down) vote. No rows give the rates taken beforehand.
     """
     patterns = voted.groupBy("votes").agg(F.count("*").alias("n"))
     row = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("patterns"))
@@ -118,7 +119,7 @@ def rule_model(voted: DataFrame, rules: int, steps: int = STEPS) -> DataFrame:
     def weigh(false: Column, true: Column) -> Column:
         return F.struct(F.ln((1 - false) / (1 - true)).alias("up"), F.ln(false / true).alias("down"))
 
-    start = F.struct(F.lit(0.8).alias("prior"), F.array_repeat(weigh(F.lit(FALSE), F.lit(TRUE)), rules).alias("weights"))
+    start = F.struct(F.lit(GOOD).alias("prior"), F.array_repeat(weigh(F.lit(FALSE), F.lit(TRUE)), rules).alias("weights"))
 
     def total(e: Column, of) -> Column:
         return F.aggregate(e, F.lit(0.0), lambda s, x: s + of(x))
@@ -134,12 +135,12 @@ def rule_model(voted: DataFrame, rules: int, steps: int = STEPS) -> DataFrame:
                     cast = total(e, lambda x: F.when(vote(x) != 0, of(x)).otherwise(F.lit(0.0)))
                     return (bad + F.lit(WEIGHT * before)) / (cast + F.lit(WEIGHT))
 
-                false = F.least(F.greatest(rate(lambda x: x["n"] * x["p"], FALSE), F.lit(FALSE_LEAST)), F.lit(FALSE_MOST))
-                true = F.least(rate(lambda x: x["n"] * (1 - x["p"]), TRUE), F.lit(1 - FALSE_LEAST))
-                return let(false, lambda f: weigh(f, F.greatest(true, f)))
+                # a rule that would call bad documents bad more rarely than good ones says nothing
+                true = rate(lambda x: x["n"] * (1 - x["p"]), TRUE)
+                return let(rate(lambda x: x["n"] * x["p"], FALSE), lambda f: weigh(f, F.greatest(true, f)))
 
             good, n = total(e, lambda x: x["n"] * x["p"]), total(e, lambda x: x["n"])
-            prior = F.least(F.greatest((good + F.lit(WEIGHT * 0.8)) / (n + F.lit(WEIGHT)), F.lit(0.05)), F.lit(0.95))
+            prior = (good + F.lit(WEIGHT * GOOD)) / (n + F.lit(WEIGHT))
             return F.struct(prior.alias("prior"), F.transform(every, rule).alias("weights"))
 
         seen = F.transform("patterns", lambda x: F.struct(x["votes"].alias("v"), x["n"].cast("double").alias("n"), _posterior(state["prior"], state["weights"], x["votes"]).alias("p")))
@@ -172,20 +173,21 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
     Null and empty texts have no words and fail. Repeated rows count and are judged each. An empty
     table gives an empty table. Other columns of ``docs`` play no part.
     """
-    figures = docs.select(F.col(id_col), *[c.alias(n) for n, c in text_figures(docs, text).items()])
+    figures = docs.select(F.col(f"`{id_col}`").alias("__id"), *[c.alias(n) for n, c in text_figures(docs, text).items()])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rules = votes()
-    slim = materialize(figures.select(F.col(id_col), *FIGURES, failed.alias("base_failed"), F.array(*rules).alias("votes")), "quality")
+    slim = materialize(figures.select("__id", *FIGURES, failed.alias("base_failed"), F.array(*rules).alias("votes")), "quality")
     model = rule_model(slim, len(rules))
     judged = _with_quality(slim, model)
-    return judged.select(F.col(id_col), *FIGURES, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
+    return judged.select(F.col("__id").alias(id_col), *FIGURES, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge_quality`` keeps, with their columns.
 
     The model is fitted on the votes of all rows; only the rows themselves that fail the base rules
-    are not written.
+    are not written. Null and empty texts fail and go, repeated rows are judged each, a null id is an
+    id, columns of any name come back as they are, and an empty table gives an empty table.
     """
     rules = votes()
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -1,4 +1,8 @@
+import math
+import re
+
 from fathom.llm.quality import judge_quality, keep_good
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.1"
 
@@ -10,3 +14,48 @@ def test_stage_keeps_what_the_query_keeps(spark):
     rows = keep_good(docs)
     assert rows.columns == docs.columns and kept
     assert sorted(r["doc_id"] for r in rows.select("doc_id").collect()) == kept
+
+
+def plain_quality(texts, steps=25):
+    """Figures, votes, expectation-maximisation and posteriors over single documents."""
+    votes = []
+    for t in texts:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, chars, symbols, twice, again, *_ = brute.quality_figures(t)
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        count = lambda p, t=t: len(re.findall(p, t))
+        ends, edges = count(r"[.?](?=[\x20\n]|\Z)"), count(r"[#*$%&|<>](?=[\x20\x09-\x0D]|\Z)")
+        plain = sum(re.fullmatch(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+[.,;:?]?", x) is not None for x in w)
+        capitals, shouts, distinct = count("[A-Z]{2}"), t.count("!"), len(set(w))
+        mean = chars / n if n else 0
+        rules = [
+            (10 * symbols >= n, 50 * symbols <= n), (10 * edges >= n, 50 * edges <= n), (4 * plain <= 3 * n, 20 * plain >= 19 * n), (4 * capitals >= n, 20 * capitals <= n), (10 * shouts >= n, 50 * shouts <= n),
+            (4 * twice >= max(len(lines), 2), twice == 0), (10 * again > 3 * n, 50 * again <= n), (n >= 20 and distinct * 5 <= n, distinct * 3 >= n), (mean < 2.5 or mean > 15, 3 <= mean <= 10), (n >= 40 and 100 * ends < n, n >= 40 and 40 * ends >= n),
+        ]
+        votes.append([0 if not n else -1 if bad else 1 if good else 0 for bad, good in rules])
+    prior, rates = 0.8, [(0.02, 0.3)] * 10
+
+    def posterior(v):
+        odds = math.log(prior / (1 - prior))
+        for x, (f, g) in zip(v, rates, strict=True):
+            odds += math.log((1 - f) / (1 - g)) if x == 1 else math.log(f / g) if x == -1 else 0
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(steps):
+        p = [posterior(v) for v in votes]
+        fresh = []
+        for j in range(10):
+            f, g = ((sum(q for q, v in zip(of, votes, strict=True) if v[j] == -1) + 20 * start) / (sum(q for q, v in zip(of, votes, strict=True) if v[j]) + 20) for of, start in ((p, 0.02), ([1 - q for q in p], 0.3)))
+            fresh.append((f, max(f, g)))
+        prior, rates = (sum(p) + 16) / (len(p) + 20), fresh
+    return [posterior(v) for v in votes]
+
+
+def test_posteriors_match_plain_estimation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-1, None), (-2, ""), (-3, "! " * 60), (-3, "! " * 60)]
+    got = sorted((r["doc_id"], r["quality"], r["kept"], r["base_failed"]) for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = sorted(zip([d for d, _ in rows], plain_quality([t for _, t in rows]), strict=True))
+    for (d, q, kept, failed), (e, p) in zip(got, want, strict=True):
+        assert d == e and abs(q - p) < 1e-6 and kept == (not failed and p >= 0.5), d
