@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.functions.text import tokens
+from fathom.runtime import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -24,17 +25,24 @@ class SparseIndex:
 
 def build_index(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lower: bool = False) -> SparseIndex:
     """Index of a corpus. A term in more than half of the documents, whose idf is negative, gets a
-    quarter of the mean idf. Counting is partial before it shuffles."""
+    quarter of the mean idf.
+
+    The corpus is read once: postings and term counts are tables of the shared folder. A document's
+    words are counted within its task, so what is shuffled are postings, one for each term of a
+    document, and term counts are partial sums.
+    """
     split = corpus.select(F.col(doc).alias("doc"), tokens(F.coalesce(F.col(text), F.lit("")), lower).alias("words"))
     sized = split.withColumn("dl", F.size("words"))
-    postings = sized.select("doc", "dl", F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    counted = sized.select("doc", "dl", F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings = materialize(counted, "postings")
+    docs = corpus.select(F.col(doc).alias("doc"))
+    totals = docs.agg(F.count("*").alias("n")).select("n", F.try_divide(postings.agg(F.sum("tf")).scalar(), F.col("n")).alias("avgdl"))
+    terms = materialize(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
     n = totals.select("n").scalar()
     raw = terms.select("term", "df", n.alias("n")).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).scalar()
     idf = raw.withColumn("mean", mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, idf, totals, corpus.select(F.col(doc).alias("doc")), lower)
+    return SparseIndex(postings, idf, totals, docs, lower)
 
 
 def scores(index: SparseIndex, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:

@@ -69,17 +69,23 @@ def extractive_answer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", answers.extractive(F.array("text")).alias("answer"))
 
 
-@query(
-    r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm
-    FROM conversations WHERE strlen(text) = length(text)"""
-)
+#: Compatibility forms of Latin-1 letters: the letter and a mark, which counts as a space.
+_MARKED = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü", "y": "ýÿ"}
+
+
+def norm_sql(text: str) -> str:
+    text = f"lower({text})"
+    for letter, marked in _MARKED.items():
+        text = f"regexp_replace({text}, '[{marked}]', '{letter} ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({text}, '[^a-z0-9가-힣\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT conv_id, turn, {norm_sql('text')} AS norm FROM conversations")
 def normalised_text(spark, sf_dir):
-    """The pure ASCII rows, which are those that SQL can say; normalised_text_all has every row."""
-    rows = table(spark, sf_dir, "conversations").where(F.octet_length("text") == F.length("text"))
-    return rows.select("conv_id", "turn", T.normalise(F.col("text")).alias("norm"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise(F.col("text")).alias("norm"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, {norm_sql('text')} AS norm FROM conversations")
 def normalised_text_all(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise(F.col("text")).alias("norm"))
 
@@ -205,7 +211,11 @@ def _text_arm(spark, sf_dir, k, lower=False, where=None):
     return bm25.top(bm25.build_index(docs, lower=lower), _queries(spark, sf_dir), k).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {_bm25_sql()} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(
+    f"""WITH post AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({WORDS}) AS term FROM documents), tot AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+    raw AS MATERIALIZED (SELECT term, df, ln((SELECT n FROM tot) - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term))
+    SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw"""
+)
 def bm25_stats(spark, sf_dir):
     return bm25.build_index(table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -526,14 +536,13 @@ def relevance_vec(spark, sf_dir):
     return a.join(b, "vec_id").groupBy("label").agg(F.round(F.avg(F.round(cosine(F.col("embedding"), F.col("other")), 9)), 6).alias("answer_relevance"))
 
 
-NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 ANSWERED = """SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant' AND strlen(u.text) = length(u.text) AND strlen(a.text) = length(a.text)"""
+WHERE u.role = 'user' AND a.role = 'assistant'"""
 
 
-def _answered(spark, sf_dir, every=False):
-    """User turns with the assistant's next: all of them, or the pure ASCII ones, which SQL can say."""
-    turns = table(spark, sf_dir, "conversations").where(F.lit(every) | (F.octet_length("text") == F.length("text")))
+def _answered(spark, sf_dir):
+    """User turns with the assistant's next."""
+    turns = table(spark, sf_dir, "conversations")
     said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(said, ["conv_id", "turn"])
 
@@ -548,32 +557,32 @@ def _exact_match(rows):
     return metrics.correctness_summary(metrics.correctness_by_query(rows), ["setting"]).select("setting", "queries", "exact_match", "fact_exact_match")
 
 
-@query(
-    f"""WITH p AS ({ANSWERED}), k AS (SELECT *, list_slice([x for x in string_split_regex(question, '\\s+') if x <> ''], 1, 4) AS keys, string_split(answer, ' ')[1] AS short FROM p)
-    SELECT conv_id, turn, (short <> '' AND contains({NORM.format('answer')}, {NORM.format('short')}))::INT AS exact_match,
-    round(coalesce(len([x for x in keys if contains({NORM.format('answer')}, {NORM.format('x')})]) / nullif(len(keys), 0), 0), 6) AS entity_recall FROM k"""
-)
+RECALL = f"""WITH p AS ({ANSWERED}), k AS (SELECT *, list_slice([x for x in string_split_regex(question, '\\s+') if x <> ''], 1, 4) AS keys, string_split(answer, ' ')[1] AS short FROM p)
+SELECT conv_id, turn, (short <> '' AND contains({norm_sql('answer')}, {norm_sql('short')}))::INT AS exact_match,
+round(coalesce(len([x for x in keys if contains({norm_sql('answer')}, {norm_sql('x')})]) / nullif(len(keys), 0), 0), 6) AS entity_recall FROM k"""
+MATCH = f"""WITH k AS (SELECT conv_id % 3 AS setting, CASE WHEN turn < 2 THEN 'FACT' ELSE 'EXPLANATION' END AS kind, string_split(answer, ' ')[1] AS short, answer FROM ({ANSWERED})),
+e AS (SELECT *, (short <> '' AND contains({norm_sql('answer')}, {norm_sql('short')}))::INT AS em FROM k)
+SELECT setting, count(*) AS queries, round(avg(em), 6) AS exact_match, round(coalesce(avg(em) FILTER (kind = 'FACT'), 0), 6) AS fact_exact_match FROM e GROUP BY setting"""
+
+
+@query(RECALL)
 def entity_recall(spark, sf_dir):
     return _entity_recall(_answered(spark, sf_dir))
 
 
-@query()
+@query(RECALL)
 def entity_recall_all(spark, sf_dir):
-    return _entity_recall(_answered(spark, sf_dir, every=True))
+    return _entity_recall(_answered(spark, sf_dir))
 
 
-@query(
-    f"""WITH k AS (SELECT conv_id % 3 AS setting, CASE WHEN turn < 2 THEN 'FACT' ELSE 'EXPLANATION' END AS kind, string_split(answer, ' ')[1] AS short, answer FROM ({ANSWERED})),
-    e AS (SELECT *, (short <> '' AND contains({NORM.format('answer')}, {NORM.format('short')}))::INT AS em FROM k)
-    SELECT setting, count(*) AS queries, round(avg(em), 6) AS exact_match, round(coalesce(avg(em) FILTER (kind = 'FACT'), 0), 6) AS fact_exact_match FROM e GROUP BY setting"""
-)
+@query(MATCH)
 def exact_match(spark, sf_dir):
     return _exact_match(_answered(spark, sf_dir))
 
 
-@query()
+@query(MATCH)
 def exact_match_all(spark, sf_dir):
-    return _exact_match(_answered(spark, sf_dir, every=True))
+    return _exact_match(_answered(spark, sf_dir))
 
 
 CONTEXTS = "SELECT conv_id, list(text ORDER BY turn) AS c, min(turn) AS t FROM conversations GROUP BY conv_id"
@@ -676,7 +685,15 @@ def chunk_fixed(spark, sf_dir):
     return chunk_texts(table(spark, sf_dir, "documents"), "fixed", 500, 50).select("doc_id", "pos", "text")
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, CASE WHEN suffix(text, chr(10)) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS l FROM documents WHERE text <> ''),
+    f AS (SELECT doc_id, array_to_string(l, chr(10)) AS body, list_prepend(0, list_transform(range(1, len(l) + 1), lambda n: CAST(list_sum(list_transform(l[1:n], lambda x: length(x) + 1)) AS BIGINT))) AS e FROM l),
+    c AS (SELECT doc_id, body, e, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS upto, '' AS chunk FROM f
+      UNION ALL
+      SELECT doc_id, body, e, pos + 1, n, carry || CASE WHEN carry = '' THEN '' ELSE chr(10) END || substr(body, CAST(e[upto + 1] + 1 AS BIGINT), CAST(e[n + 1] - e[upto + 1] - 1 AS BIGINT))
+      FROM (SELECT *, greatest(upto + 1, len(list_filter(e, lambda x: x <= e[upto + 1] + 500 - length(carry))) - 1) AS n FROM (SELECT *, right(chunk, 50) AS carry FROM c WHERE upto + 1 < len(e))))
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, chunk AS text FROM c WHERE pos >= 0 AND trim(chunk, ' ' || chr(10)) <> ''"""
+)
 def chunk_line(spark, sf_dir):
     return chunk_texts(table(spark, sf_dir, "documents"), "line", 500, 50).select("doc_id", "pos", "text")
 
