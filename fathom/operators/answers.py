@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -84,3 +85,31 @@ def generate(prompts: DataFrame, make: Callable[[], Generator], id_col: str = "q
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], t) for k, t in kinds.items()]], names=[id_col, *kinds])
 
     return prompts.select(id_col, prompt).mapInArrow(run, f"`{id_col}` {prompts.schema[id_col].dataType.simpleString()}, {GENERATION}")
+
+
+class FirstSentences:
+    """The default generator: the first sentences of the passages that a prompt shows. No model, no network."""
+
+    model_id = "extractive"
+
+    def __init__(self, n: int = 3):
+        self.n = n
+
+    def __call__(self, prompt: str) -> str:
+        shown = prompt.partition("<passages>\n")[2].partition("</passages>")[0] or prompt
+        plain = re.sub(r"(?m)^\[\d+\] ", "", shown).strip()
+        return " ".join([x for x in re.split(r"(?<=[.!?])\s+", plain) if x][: self.n])
+
+
+ANSWER_MODES = ("extractive", "generate")
+
+
+def answer_rows(contexts: DataFrame, mode: str = "extractive", make: Callable[[], Generator] = FirstSentences, n: int = 3) -> DataFrame:
+    """(qid, answer, error) for rows (qid, query, contexts): sentences of the contexts, or what a
+    generator, made once a task, says to a prompt with them. An unknown mode is refused."""
+    if mode not in ANSWER_MODES:
+        raise ValueError(f"answer mode {mode!r} is none of {ANSWER_MODES}")
+    if mode == "extractive":
+        return contexts.select("qid", extractive(F.col("contexts"), n).alias("answer"), F.lit(None).cast("string").alias("error"))
+    prompts = contexts.select("qid", answer_prompt(F.col("contexts"), F.col("query")).alias("prompt"))
+    return generate(prompts, make).select("qid", F.col("response").alias("answer"), "error")

@@ -106,3 +106,30 @@ class Retriever:
 def distinct_sources(ranked: DataFrame) -> DataFrame:
     """(qid, source, first_rank) in the order in which sources first appear."""
     return ranked.groupBy("qid", "source").agg(F.min("rank").alias("first_rank"))
+
+
+def suggest_gold(paragraphs: DataFrame, queries: DataFrame, n: int = 3, doc: str = "paragraph_id", text: str = "text") -> DataFrame:
+    """``queries`` (qid, query, expected, gold_paragraph_ids) with the ``n`` best paragraphs for what is
+    asked and expected, in lower case, as an array of (rank, id, source_file, score, preview). Gold
+    that is there stays; null becomes an empty list."""
+    asked = queries.select("qid", F.lower(F.trim(F.concat_ws(" ", F.coalesce("query", F.lit("")), F.coalesce("expected", F.lit(""))))).alias("query"))
+    best = bm25.top(bm25.build_index(paragraphs, doc, text, lower=True), asked, n).withColumnRenamed("doc", doc)
+    files = F.col("source_file") if "source_file" in paragraphs.columns else F.lit(None).cast("string")
+    known = best.join(paragraphs.select(doc, files.alias("source_file"), F.left(F.col(text), F.lit(160)).alias("preview")), doc)
+    found = known.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(doc).alias("id"), "source_file", "score", "preview"))).alias("suggested_gold_paragraphs"))
+    kept = queries.withColumn("gold_paragraph_ids", F.coalesce("gold_paragraph_ids", F.array().cast("array<string>")))
+    return kept.join(found, "qid", "left")
+
+
+def ask(chunks: DataFrame, queries: DataFrame, k: int = 3, wanted: Mapping[str, object] | None = None, method: str = "hybrid", mode: str = "extractive", make=None, embedder: Embedder | None = None) -> DataFrame:
+    """(qid, query, answer, sources, error): from questions (qid, query) over chunks (doc, text, any
+    metadata) to answers, by one retrieval of ``k`` chunks each and one answer mode. ``sources`` are
+    the chunks' ids by rank."""
+    from fathom.operators.answers import FirstSentences, answer_rows
+
+    ranked = Retriever(chunks, embedder or HashedTfIdf()).retrieve(queries, k, wanted, method)
+    held = ranked.join(chunks.select("doc", "text"), "doc").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "text"))).alias("x"))
+    none = F.array().cast("array<string>")
+    rows = queries.select("qid", "query").join(held, "qid", "left").select("qid", "query", F.coalesce(F.transform("x", lambda x: x["text"]), none).alias("contexts"), F.coalesce(F.transform("x", lambda x: x["doc"].cast("string")), none).alias("sources"))
+    said = answer_rows(rows, mode, make or FirstSentences)
+    return rows.join(said, "qid").select("qid", "query", "answer", "sources", "error")

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathom.operators import bm25
 from fathom.operators.chunkers import chunk_texts
-from fathom.operators.metrics import retrieval_by_query, structure_metrics
+from fathom.operators.classify import inject_header
+from fathom.operators.metrics import retrieval_by_query, retrieval_summary, structure_metrics
+from fathom.operators.retrieve import ask
+from fathom.runtime import materialize
 
 #: The grids of the two text experiments; sizes in characters, for tokens in tokens.
 E1 = [(m, 256) for m in ("fixed", "token", "structure_text")]
@@ -27,13 +30,39 @@ def structure_report(chunks: DataFrame) -> DataFrame:
     return structure_metrics(chunks, ["setting"])
 
 
-def retrieval_report(chunks: DataFrame, queries: DataFrame, gold: DataFrame, settings: Sequence[str], k: int = 5) -> DataFrame:
-    """(setting, qid, metrics): text retrieval over each setting's chunks against gold (qid, doc_id)."""
+def retrieval_report(chunks: DataFrame, queries: DataFrame, gold: DataFrame, settings: Sequence[str], k: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """(setting, qid, metrics): text retrieval over each setting's chunks against gold (qid, id)."""
 
     def one(setting: str) -> DataFrame:
-        own = chunks.where(F.col("setting") == setting).select((F.col("doc_id") * 100_000 + F.col("pos")).alias("doc"), "doc_id", "text")
-        ranked = bm25.top(bm25.build_index(own, "doc"), queries, k).join(own.select("doc", "doc_id"), "doc")
-        right = ranked.join(gold.withColumn("ok", F.lit(True)), ["qid", "doc_id"], "left").select("qid", "rank", F.coalesce("ok", F.lit(False)).alias("relevant"))
+        own = chunks.where(F.col("setting") == setting).select(F.struct(id_col, "pos").alias("doc"), "text")
+        ranked = bm25.top(bm25.build_index(own, "doc"), queries, k).withColumn(id_col, F.col(f"doc.{id_col}"))
+        right = ranked.join(gold.select("qid", id_col).distinct().withColumn("ok", F.lit(True)), ["qid", id_col], "left").select("qid", "rank", F.coalesce("ok", F.lit(False)).alias("relevant"))
         return retrieval_by_query(right, k).select(F.lit(setting).alias("setting"), "*")
 
     return reduce(DataFrame.unionByName, [one(s) for s in settings])
+
+
+def answer_sweep(chunks: DataFrame, queries: DataFrame, settings: Sequence[str], k: int = 3, **options: object) -> DataFrame:
+    """(setting, qid, query, answer, sources, error): every question answered from each setting's chunks
+    (setting, doc, text); ``options`` are those of ``ask``."""
+    return reduce(DataFrame.unionByName, [ask(chunks.where(F.col("setting") == s).drop("setting"), queries, k, **options).select(F.lit(s).alias("setting"), "*") for s in settings])
+
+
+def metadata_ablation(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(arm, qid, doc, rank): text retrieval over chunks (doc, text, metadata) as they are (plain) and
+    with their metadata in front of the text (header), each with an index of its own."""
+    arms = {"plain": chunks, "header": inject_header(chunks)}
+    return reduce(DataFrame.unionByName, [bm25.top(bm25.build_index(c, "doc"), queries, k).select(F.lit(arm).alias("arm"), "qid", "doc", "rank") for arm, c in arms.items()])
+
+
+def full_run(docs: DataFrame, queries: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, int]], k: int = 5, overlap: int = OVERLAP, id_col: str = "doc_id") -> dict[str, DataFrame]:
+    """The stages of an experiment as tables: chunks, structure, retrieval, its means by setting, answers.
+
+    Chunks are written to the shared folder once; all that follows reads them."""
+    chunks = materialize(chunk_grid(docs, settings, overlap, id_col), "chunks")
+    names = [f"{m}_{s}" for m, s in dict.fromkeys(settings)]
+    retrieval = retrieval_report(chunks, queries, gold, names, k, id_col)
+    per = queries.select("qid").join(gold.groupBy("qid").agg(F.collect_list(id_col).alias("gold")), "qid", "left").withColumn("gold", F.coalesce("gold", F.array()))
+    means = reduce(DataFrame.unionByName, [retrieval_summary(retrieval.where(F.col("setting") == s).drop("setting"), per).select(F.lit(s).alias("setting"), "*") for s in names])
+    held = chunks.select("setting", F.struct(id_col, "pos").alias("doc"), "text")
+    return {"chunks": chunks, "structure": structure_report(chunks), "retrieval": retrieval, "summary": means, "answers": answer_sweep(held, queries, names, method="bm25")}
