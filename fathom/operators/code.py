@@ -130,16 +130,18 @@ def chunk_code(files: DataFrame, mode: str, size: int, overlap: int, id_col: str
     return files.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, {CODE_CHUNK}")
 
 
+def _is_python(code: str) -> bool:
+    try:
+        ast.parse(code)
+    except SyntaxError:
+        return False
+    return True
+
+
 def parses(code: str) -> bool:
     """Whether code is valid Python, on its own once dedented or as the body of a function."""
     plain = textwrap.dedent(code)
-    for attempt in (plain, "def _wrapper():\n" + textwrap.indent(plain, "    ")):
-        try:
-            ast.parse(attempt)
-            return True
-        except SyntaxError:
-            continue
-    return False
+    return _is_python(plain) or _is_python("def body():\n" + textwrap.indent(plain, "    "))
 
 
 @F.pandas_udf(BooleanType())

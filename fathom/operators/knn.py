@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Bytes of query vectors that go to every task at once; more are searched in blocks.
 BLOCK_BYTES = 64 << 20
+#: Differences of queries and vectors that a worker holds at once.
+CUBE = 1 << 22
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", embedding: str = "embedding", qid: str = "qid", query: str = "query_vec", dim: int | None = None) -> DataFrame:
@@ -32,10 +34,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id",
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 x = batch.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                for i in range(0, len(ids), 4096):
-                    d = np.round(np.maximum(0.0, ((q[:, None, :] - x[None, i : i + 4096, :]) ** 2).sum(axis=2)) if q.size * min(4096, len(ids) - i) <= 1 << 26 else np.stack([((x[i : i + 4096] - one) ** 2).sum(axis=1) for one in q]), 6)
-                    best_d = np.concatenate((best_d, d), axis=1)
-                    best_v = np.concatenate((best_v, np.broadcast_to(ids[i : i + 4096], d.shape)), axis=1)
+                step = min(4096, max(64, CUBE // max(1, q.size)))
+                for i in range(0, len(ids), step):
+                    near = x[i : i + step]
+                    if q.size * step <= CUBE:
+                        d = ((q[:, None, :] - near[None, :, :]) ** 2).sum(axis=2)
+                    else:
+                        d = np.stack([((near - one) ** 2).sum(axis=1) for one in q])
+                    best_d = np.concatenate((best_d, np.round(d, 6)), axis=1)
+                    best_v = np.concatenate((best_v, np.broadcast_to(ids[i : i + step], d.shape)), axis=1)
                     order = np.lexsort((best_v, best_d), axis=1)[:, :k]
                     best_d, best_v = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_v, order, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_d.shape[1])), pa.array(best_v.ravel()), pa.array(best_d.ravel())], names=["qid", "vec", "distance"])

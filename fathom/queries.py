@@ -509,20 +509,17 @@ def corpus_audit(spark, sf_dir):
 VEC = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9)"
 
 
-@query(
-    f"""WITH best AS (SELECT a.label AS qid, a.vec_id, max({VEC}) AS best FROM embeddings a LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) b ON a.label = b.label GROUP BY ALL)
-    SELECT qid, round(avg(coalesce(best >= 0.35, false)::INT), 6) AS faithfulness FROM best GROUP BY qid"""
-)
+FAITHFUL = f"""WITH best AS (SELECT a.label AS qid, a.vec_id, max({VEC}) AS best FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL)
+SELECT qid, round(avg(coalesce(best >= 0.35, false)::INT), 6) AS faithfulness FROM best GROUP BY qid"""
+
+
+@query(FAITHFUL)
 def faithfulness_vec(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    said = rows.select(F.col("label").alias("qid"), F.col("vec_id").alias("sid"), F.col("embedding").alias("v"))
-    return metrics.faithfulness(said, rows.where(F.col("vec_id") % 100 == 0).select(F.col("label").alias("qid"), F.col("embedding").alias("v")))
+    """The sentences of the stated query set against all other vectors of their label."""
+    return faithfulness_vec_all(spark, sf_dir)
 
 
-@query(
-    f"""WITH best AS (SELECT a.label AS qid, a.vec_id, max({VEC}) AS best FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL)
-    SELECT qid, round(avg(coalesce(best >= 0.35, false)::INT), 6) AS faithfulness FROM best GROUP BY qid"""
-)
+@query(FAITHFUL)
 def faithfulness_vec_all(spark, sf_dir):
     """The sentences of the stated query set against all other vectors of their label."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("qid"), F.col("vec_id").alias("sid"), F.col("embedding").alias("v"))

@@ -6,13 +6,18 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from fathom.sources.files import exists
+
 METADATA = "chapter_title string, context_augmented boolean, split_from_long_paragraph boolean, boundary_truncated boolean, node_type string, start_line int, end_line int, parent string, is_orphan boolean, fallback_chunked boolean"
 CHUNKS = f"chunk_id string, text string, source_file string, source string, series string, volume int, movie string, type string, topic string, chunk_mode string, chunk_size int, chunk_overlap int, metadata struct<{', '.join(x.replace(' ', ':', 1) for x in METADATA.split(', '))}>, paragraph_id string"
 QUERIES = "query_id string, qid string, query string, query_type string, type string, difficulty string, domain string, book int, chapter string, expected_entity_or_paragraph string, gold_symbols array<string>, gold_sources array<string>, gold_paragraph_ids array<string>, gold_chunk_ids array<string>, notes string"
 
 
 def text_files(spark: SparkSession, folder: str, extensions: Iterable[str] = (".txt", ".md"), recursive: bool = True) -> DataFrame:
-    """(path, source_file, text) of whole files by extension, whatever its case, in path order."""
+    """(path, source_file, text) of whole files by extension, whatever its case, in path order. A folder
+    that isn't there has none."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "path string, source_file string, text string")
     either = ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", f"{{{either}}}").load(folder)
     path = F.col("_metadata.file_path")
