@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from fathom.llm.common import give_back
 from fathom.runtime import materialize
 
 #: Words of benchmark items in one automaton; a larger benchmark is worked through in blocks.
@@ -224,6 +225,7 @@ def _scanner(items, key: str, window: int):
         for batch in batches:
             found = _found(batch.column(1), auto)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], names=["row", "found"])
+        give_back()
 
     return run
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fathom.llm.common import long_id
+from fathom.llm.common import give_back, long_id
 from fathom.llm.components import components
 from fathom.runtime import discard, materialize
 
@@ -111,6 +111,7 @@ def _survey(k: int):
                     block, size = [], 0
             yield rows(0, ids, np.array(n, dtype=np.int64), np.array(lo, dtype=np.uint64), np.array(hi, dtype=np.uint64))
         yield from frequent(block)
+        give_back()
 
     return run
 
@@ -146,6 +147,7 @@ def _heads(often, k: int, percent: int):
                 probe = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 heads.append(_order(s, often.value)[: probe + _spare(len(s), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays([_column(batch, "__id"), pa.array(heads, pa.list_(pa.int64()))], names=["doc", "grams"])
+        give_back()
 
     return run
 
@@ -171,6 +173,7 @@ def _overlaps(k: int):
                 lead_sizes[x:y] = len(lead)
             keep = ~own
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (a, b, shared, lead_sizes + sizes - shared)], names=["a", "b", "shared", "either"])
+        give_back()
 
     return run
 
@@ -228,6 +231,7 @@ def _whole_sets(k: int):
         for batch in batches:
             sets = [gram_set(t, k).view(np.int64) for t in _column(batch, "__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([_column(batch, "__id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "grams"])
+        give_back()
 
     return run
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -15,7 +13,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fathom.llm.common import long_id
+from fathom.llm.common import give_back, long_id
 from fathom.runtime import materialize, new_path
 
 MANIFEST = "part int, n_docs long, n_ids long, width int"
@@ -224,13 +222,6 @@ def _encoder(path: str, width: int) -> Encoder:
     return _encoders[path, width]
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: workers stay, and later stages want it."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have this
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -263,7 +254,7 @@ def _writer(folder: str, path: str, end_id: int, width: int, id_col: str, text:
                     for made in encoder.encode(texts.slice(x, BATCH_ROWS).to_pylist()):
                         file.write(made + end)
                         sizes.append(len(made) // width + 1)
-        _give_back()
+        give_back()
         if not sizes:
             where.delete_file(own)
             return
