@@ -19,9 +19,9 @@ from fathom.runtime import materialize, new_path
 MANIFEST = "part int, n_docs long, n_ids long, width int"
 
 #: Bytes of words and ids that a worker remembers, in two generations of this size; all else is encoded anew.
-REMEMBERED = 32_000_000
+REMEMBERED = 64_000_000
 #: Rows, and characters of texts, that are taken apart at a time, and new words in one call of the library.
-BATCH_ROWS, BLOCK_CHARS, CALL_WORDS = 1_500, 5_000_000, 5_000
+BATCH_ROWS, BLOCK_CHARS, CALL_WORDS = 2_000, 6_000_000, 5_000
 #: Marks a text's first word, which no space and no newline precedes.
 _FIRST = "\x01"
 #: White space that doesn't stand alone between words, or isn't a space or a newline; the mark.
