@@ -251,6 +251,6 @@ def titled_pages(spark, sf_dir):
 
 
 @query("SELECT m AS chunk_mode, CAST(s AS INTEGER) AS chunk_size, m || '_' || s AS setting FROM (SELECT unnest(['click', 'view', 'none']) AS m), (SELECT unnest([0, 1, 2, 7]) AS s) WHERE m || '_' || s NOT IN (SELECT event_type || '_' || (user_id % 4) FROM events)")
-def open_settings(spark, sf_dir):
+def settings_left(spark, sf_dir):
     done = table(spark, sf_dir, "events").select(F.concat_ws("_", "event_type", (F.col("user_id") % 4).cast("string")).alias("setting")).distinct()
     return runs.open_settings(spark, ["click", "view", "none"], [0, 1, 2, 7], done)
