@@ -332,8 +332,10 @@ def _gold(spark, sf_dir):
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1)))
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, 4), " ")))
 
-    found = docs.select("doc_id", "body", F.explode(T.let(T.tokens(F.col("body")), grams)).alias("key")).join(items.where("key is not null"), "key").where(F.contains("body", F.col("item")))
-    found = found.select("qid", "doc_id")
+    # only ids and keys meet; texts come back for the pairs that share a key
+    keyed = items.where("key is not null")
+    pairs = docs.select("doc_id", F.explode(T.let(T.tokens(F.col("body")), grams)).alias("key")).join(keyed.select("qid", "key"), "key").select("qid", "doc_id").distinct()
+    found = docs.join(pairs.join(keyed.select("qid", "item"), "qid"), "doc_id").where(F.contains("body", F.col("item"))).select("qid", "doc_id")
     short = items.where("key is null and item is not null").select("qid", "item")
     for block in _blocks(short.toLocalIterator()):
         held = F.broadcast(spark.createDataFrame(block, short.schema))
