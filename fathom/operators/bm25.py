@@ -45,26 +45,48 @@ def build_index(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lowe
     return SparseIndex(postings, idf, totals, docs, lower)
 
 
+#: Query terms, and bytes in them, that go to every task at once; more are joined by a shuffle.
+ASKED, ASKED_BYTES = 200_000, 1 << 23
+
+
 def scores(index: SparseIndex, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
-    """(qid, doc, score) of every document that holds a query term; a term twice in a query counts twice."""
+    """(qid, doc, score) of every document that holds a query term; a term twice in a query counts twice.
+
+    With a bounded number of query terms, only their postings are shuffled, by document; queries come
+    to them by broadcast, so that a document's scores are summed where its postings are. The pairs of
+    queries and documents, which are far more, don't travel.
+    """
     asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens(F.coalesce(F.col(query), F.lit("")), index.lower)).alias("term"))
     asked = asked.groupBy("qid", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(index.terms, "term").join(index.postings, "term")
-    weighed = weighed.withColumn("avgdl", index.totals.select("avgdl").scalar())
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighed.groupBy("qid", "doc").agg(F.sum(F.col("times") * gain).alias("score"))
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    few = size["n"] <= ASKED and size["bytes"] <= ASKED_BYTES
+    avgdl = index.totals.select("avgdl").scalar()
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    postings = index.postings
+    if few:
+        postings = postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").repartition("doc")
+        asked = F.broadcast(asked)
+    gains = postings.withColumn("avgdl", avgdl).select("term", "doc", gain.alias("gain"))
+    weighed = index.terms.join(asked, "term").select("qid", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    if few:
+        weighed = F.broadcast(weighed)
+    return gains.join(weighed, "term").groupBy("qid", "doc").agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
 
 
 def top(index: SparseIndex, queries: DataFrame, k: int, qid: str = "qid", query: str = "query") -> DataFrame:
     """(qid, doc, score, rank from 1): the best ``k`` documents of each query, ties by document.
 
     All documents have a rank, those without a query term with score 0. Of these only the first ``k``
-    by position can come in, so a query adds ``k`` rows rather than the corpus. Scores are rounded
+    by position can come in, so a query adds ``k`` rows rather than the corpus. Each task keeps the
+    best ``k`` of a query, and those among the first, whose score may be below 0. Scores are rounded
     before they rank, so that the order of summation doesn't break ties.
     """
     hits = scores(index, queries, qid, query).select("qid", "doc", F.round("score", 6).alias("score"))
     first = index.docs.orderBy("doc").limit(k)
+    early = F.broadcast(first.distinct().select(F.col("doc").alias("front"), F.lit(True).alias("early")))
+    best = Window.partitionBy("qid", "early").orderBy(F.desc("score"), "doc")
+    hits = hits.join(early, F.col("doc").eqNullSafe(F.col("front")), "left").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     fill = queries.select(F.col(qid).alias("qid")).join(F.broadcast(first), F.lit(True)).select("qid", "doc", F.lit(0.0).alias("score"))
-    both = hits.unionByName(fill).groupBy("qid", "doc").agg(F.sum("score").alias("score"))
+    both = hits.select("qid", "doc", "score").unionByName(fill).groupBy("qid", "doc").agg(F.sum("score").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

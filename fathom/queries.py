@@ -17,6 +17,7 @@ from fathom.operators.knn import nearest
 from fathom.operators.paragraphs import paragraphs
 from fathom.operators.retrieve import Retriever, distinct_sources
 from fathom.plans import experiments, reports
+from fathom.runtime import materialize
 from fathom.sources.html import sections
 from fathom.sources.writers import equal_slices
 
@@ -304,6 +305,8 @@ m AS (SELECT qid, coalesce(CAST(min(rank) FILTER (relevant = 1) = 1 AS INTEGER),
 
 #: Items of fewer than six words that go to every task at once, by number and characters; more go in blocks.
 SHORT_ITEMS, SHORT_CHARS = 2000, 1 << 20
+#: Pairs of an item and a document, as two ids, that go to every task at once; more meet by a shuffle.
+PAIRS = 500_000
 
 
 def _blocks(rows):
@@ -320,22 +323,27 @@ def _blocks(rows):
 
 
 def _gold(spark, sf_dir):
-    """Documents that hold an item whole: an equi-join on the item's first inner words, then the
-    test. Items of fewer than six words have no such key; they are broadcast in blocks and tested
+    """Documents that hold an item whole: an equi-join on a hash of the item's first inner words, then
+    the test. Items of fewer than six words have no such key; they are broadcast in blocks and tested
     on each document."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    key = T.let(T.tokens(F.col("item")), lambda w: F.when(F.size(w) >= 6, F.array_join(F.slice(w, 2, 4), " ")))
-    items = items.withColumn("key", key)
+
+    def gram(words, i):
+        return F.xxhash64(*[F.get(words, i + j) for j in range(4)])
+
+    items = items.withColumn("key", T.let(T.tokens(F.col("item")), lambda w: F.when(F.size(w) >= 6, gram(w, F.lit(1)))))
 
     def grams(words):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, 4), " ")))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 4, F.lit(0))), lambda i: gram(words, i)))
 
     # only ids and keys meet; texts come back for the pairs that share a key
     keyed = items.where("key is not null")
     pairs = docs.select("doc_id", F.explode(T.let(T.tokens(F.col("body")), grams)).alias("key")).join(keyed.select("qid", "key"), "key").select("qid", "doc_id").distinct()
-    found = docs.join(pairs.join(keyed.select("qid", "item"), "qid"), "doc_id").where(F.contains("body", F.col("item"))).select("qid", "doc_id")
+    pairs = materialize(pairs, "gold-pairs")
+    if pairs.limit(PAIRS + 1).count() <= PAIRS:
+        pairs = F.broadcast(pairs)
+    found = docs.join(pairs, "doc_id").join(keyed.select("qid", "item"), "qid").where(F.contains("body", F.col("item"))).select("qid", "doc_id")
     short = items.where("key is null and item is not null").select("qid", "item")
     for block in _blocks(short.toLocalIterator()):
         held = F.broadcast(spark.createDataFrame(block, short.schema))
@@ -343,14 +351,14 @@ def _gold(spark, sf_dir):
     return found.distinct()
 
 
-def _sparse_judged(spark, sf_dir, k):
+def _sparse_judged(spark, sf_dir, k, gold):
     ranked = _text_arm(spark, sf_dir, k).withColumnRenamed("doc", "doc_id")
-    gold = _gold(spark, sf_dir).withColumn("ok", F.lit(True))
+    gold = gold.withColumn("ok", F.lit(True))
     return ranked.join(gold, ["qid", "doc_id"], "left").select("qid", "rank", F.coalesce("ok", F.lit(False)).alias("relevant"))
 
 
-def _with_gold(spark, sf_dir):
-    gold = _gold(spark, sf_dir).groupBy("qid").agg(F.collect_list("doc_id").alias("gold"))
+def _with_gold(spark, sf_dir, gold):
+    gold = gold.groupBy("qid").agg(F.collect_list("doc_id").alias("gold"))
     return _queries(spark, sf_dir).select("qid").join(gold, "qid", "left").select("qid", F.coalesce("gold", F.array().cast("array<long>")).alias("gold"))
 
 
@@ -365,8 +373,9 @@ GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b, documents d WHE
     FROM (SELECT m.*, m.qid IN (SELECT qid FROM gold) AS has FROM m)"""
 )
 def hit_mrr_ndcg_sparse(spark, sf_dir):
-    by_query = metrics.retrieval_by_query(_sparse_judged(spark, sf_dir, 5), 5)
-    return metrics.retrieval_summary(by_query, _with_gold(spark, sf_dir))
+    gold = materialize(_gold(spark, sf_dir), "gold")
+    by_query = metrics.retrieval_by_query(_sparse_judged(spark, sf_dir, 5, gold), 5)
+    return metrics.retrieval_summary(by_query, _with_gold(spark, sf_dir, gold))
 
 
 @query(
@@ -383,7 +392,7 @@ def hit_mrr_ndcg_dense(spark, sf_dir):
 
 @query(f"WITH {GOLD} SELECT item_id AS qid, item_id NOT IN (SELECT qid FROM gold) AS skipped, (SELECT count(*) FROM gold WHERE qid = item_id) AS n_gold FROM benchmark")
 def skipped_queries(spark, sf_dir):
-    return _with_gold(spark, sf_dir).select("qid", (F.size("gold") == 0).alias("skipped"), F.size("gold").cast("long").alias("n_gold"))
+    return _with_gold(spark, sf_dir, _gold(spark, sf_dir)).select("qid", (F.size("gold") == 0).alias("skipped"), F.size("gold").cast("long").alias("n_gold"))
 
 
 # ---- chunks, paragraphs, cleaning
