@@ -27,11 +27,12 @@ def build_index(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lowe
     """Index of a corpus. A term in more than half of the documents, whose idf is negative, gets a
     quarter of the mean idf.
 
-    The corpus is read once: postings and term counts are tables of the shared folder. A document's
-    words are counted within its task, so what is shuffled are postings, one for each term of a
-    document, and term counts are partial sums.
+    The corpus is read once: postings and term counts are tables of the shared folder. Texts are
+    dealt out by document, whole, which is less than their words would be one by one; a document's
+    words are then split and counted in one task, and term counts are partial sums.
     """
-    split = corpus.select(F.col(doc).alias("doc"), tokens(F.coalesce(F.col(text), F.lit("")), lower).alias("words"))
+    dealt = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("body")).repartition("doc")
+    split = dealt.select("doc", tokens(F.coalesce("body", F.lit("")), lower).alias("words"))
     sized = split.withColumn("dl", F.size("words"))
     counted = sized.select("doc", "dl", F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     postings = materialize(counted, "postings")

@@ -335,7 +335,7 @@ def _gold(spark, sf_dir):
     items = items.withColumn("key", T.let(T.tokens(F.col("item")), lambda w: F.when(F.size(w) >= 6, gram(w, F.lit(1)))))
 
     def grams(words):
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 4, F.lit(0))), lambda i: gram(words, i)))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 4, F.lit(0))), lambda i: gram(words, i))
 
     # only ids and keys meet; texts come back for the pairs that share a key
     keyed = items.where("key is not null")
