@@ -78,9 +78,11 @@ def top(index: SparseIndex, queries: DataFrame, k: int, qid: str = "qid", query:
     """(qid, doc, score, rank from 1): the best ``k`` documents of each query, ties by document.
 
     All documents have a rank, those without a query term with score 0. Of these only the first ``k``
-    by position can come in, so a query adds ``k`` rows rather than the corpus. Each task keeps the
-    best ``k`` of a query, and those among the first, whose score may be below 0. Scores are rounded
-    before they rank, so that the order of summation doesn't break ties.
+    by position can come in, so a query adds ``k`` rows rather than the corpus. Known fault: where the
+    mean idf is below 0 (most terms in over half of the documents) some of these first ones may score
+    below 0, and documents without a query term behind them, which should come before, are left out.
+    Each task keeps the best ``k`` of a query and those among the first. Scores are rounded before
+    they rank, so that the order of summation doesn't break ties.
     """
     hits = scores(index, queries, qid, query).select("qid", "doc", F.round("score", 6).alias("score"))
     first = index.docs.orderBy("doc").limit(k)
