@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType, NullType
 
 from fathom.functions.text import let as let
@@ -54,3 +54,15 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     taken = {name.lower() for name in new}
     kept = [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
+
+
+def prefix_sums(df: DataFrame, part: str, order: list[str], summed: dict[str, Column]) -> DataFrame:
+    """``df`` with the sum of each expression over all rows up to and with a row, in the order of
+    ``part`` and then ``order``. Sums run within the parts, each in one task, and are based on the
+    totals of the parts before, a row each: parts should be many, even and follow the order."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(part).agg(*[F.sum(c).alias(name) for name, c in summed.items()])
+    bases = totals.select(part, *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__base_{name}") for name in summed])
+    run = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = df.join(F.broadcast(bases), part)
+    return placed.select(*[placed[c] for c in df.columns], *[(F.col(f"__base_{name}") + F.sum(c).over(run)).alias(name) for name, c in summed.items()])
