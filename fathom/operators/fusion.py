@@ -11,9 +11,9 @@ def rrf(rank: Column, k: int = RRF_K) -> Column:
     return 1.0 / (k + rank)
 
 
-def search_depth(k: int, n: int) -> int:
-    """Candidates of each arm: ten times what is asked for, a thousand at least, the corpus at most."""
-    return min(max(10 * k, 1000), n)
+def search_depth(k: int) -> int:
+    """Candidates of each arm: ten times what is asked for, a thousand at least; fewer if there are no more."""
+    return max(10 * k, 1000)
 
 
 def fuse_by_position(vector: DataFrame, text: DataFrame, depth: int, k: int | None = None, passing: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,23 @@ BLOCK_BYTES = 64 << 20
 CUBE = 1 << 22
 
 
+def query_blocks(queries: DataFrame, qid: str, query: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of a stated query set, in blocks of a bounded size."""
+    block, size = [], 0
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block], dtype=np.float64)
+
+    for r in queries.select(F.col(qid).cast("long"), F.col(query).cast("array<double>")).toLocalIterator():
+        block.append(r)
+        size += 8 * len(r[1])
+        if size >= BLOCK_BYTES:
+            yield made()
+            block, size = [], 0
+    if block:
+        yield made()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", embedding: str = "embedding", qid: str = "qid", query: str = "query_vec", dim: int | None = None) -> DataFrame:
     """(qid, vec, distance, rank from 1): the ``k`` nearest vectors by squared L2, ties by vector id.
 
@@ -22,11 +39,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id",
     rows. Distances are sums of squared differences in double, rounded before they rank. Vectors that
     are null or of another dimension are an error.
     """
-    rows = queries.select(F.col(qid).cast("long"), F.col(query).cast("array<double>")).toLocalIterator()
-    spark, parts, block, size = vectors.sparkSession, [], [], 0
+    spark = vectors.sparkSession
 
-    def search(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block], dtype=np.float64)))
+    def search(block: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = held.value
@@ -49,16 +65,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id",
 
         return vectors.select(F.col(vec).cast("long").alias("vec"), F.col(embedding).cast("array<float>").alias("e")).mapInArrow(run, "qid long, vec long, distance double")
 
-    for r in rows:
-        block.append(r)
-        size += 8 * len(r[1])
-        if size >= BLOCK_BYTES:
-            parts.append(search(block))
-            block, size = [], 0
-    if block or not parts:
-        parts.append(search(block) if block else spark.createDataFrame([], "qid long, vec long, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = spark.createDataFrame([], "qid long, vec long, distance double")
+    for n, block in enumerate(query_blocks(queries, qid, query)):
+        found = search(block) if n == 0 else found.unionByName(search(block))
     order = Window.partitionBy("qid").orderBy("distance", "vec")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -40,15 +40,16 @@ def is_relevant(key: Column, source_file: Column, parent: Column, text: Column,
     return F.coalesce(found, F.lit(False))
 
 
-def retrieval_by_query(ranked: DataFrame, k: int, ndcg_k: int = 10) -> DataFrame:
-    """(qid, hit_1, hit_k, reciprocal_rank, ndcg) from (qid, rank, relevant). The ideal order is that
-    of the retrieved relevances; without a relevant one the gain is 0."""
+def retrieval_by_query(ranked: DataFrame, k: int, ndcg_k: int = 10, by: list[str] | None = None) -> DataFrame:
+    """(qid, hit_1, hit_k, reciprocal_rank, ndcg) from (qid, rank, relevant), each with the columns
+    ``by``. The ideal order is that of the retrieved relevances; without a relevant one the gain is 0."""
+    keys = [*(by or []), "qid"]
     top = ranked.where(F.col("rank") <= k).withColumn("rel", F.col("relevant").cast("int"))
-    ideal = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rel"), "rank"))
+    ideal = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rel"), "rank"))
     top = top.withColumn("best", ideal)
     gain = lambda place: F.sum(F.when(F.col(place) <= ndcg_k, (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col(place) + F.lit(1.0))).otherwise(0.0))
     first = F.min(F.when(F.col("rel") > 0, F.col("rank")))
-    return top.groupBy("qid").agg(
+    return top.groupBy(*keys).agg(
         F.coalesce(first == 1, F.lit(False)).cast("double").alias("hit_1"),
         first.isNotNull().cast("double").alias("hit_k"),
         F.coalesce(1.0 / first, F.lit(0.0)).alias("reciprocal_rank"),
@@ -56,11 +57,16 @@ def retrieval_by_query(ranked: DataFrame, k: int, ndcg_k: int = 10) -> DataFrame
     )
 
 
-def retrieval_summary(by_query: DataFrame, queries: DataFrame, gold: str = "gold") -> DataFrame:
-    """One row of means over the queries with gold, and how many were skipped; 0 without any."""
-    both = queries.select("qid", (F.size(gold) > 0).alias("judged")).join(by_query, "qid", "left")
+def retrieval_summary(by_query: DataFrame, queries: DataFrame, gold: str = "gold", by: list[str] | None = None) -> DataFrame:
+    """Means over the queries with gold, and how many were skipped; 0 without any. One row, or one for
+    each value of the columns ``by`` of ``by_query``."""
+    asked = queries.select("qid", (F.size(gold) > 0).alias("judged"))
+    keys = by or []
+    if keys:
+        asked = asked.join(F.broadcast(by_query.select(*keys).distinct()))  # a row for each value
+    both = asked.join(by_query, [*keys, "qid"], "left")
     mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("judged"), F.coalesce(c, F.lit(0.0)))), F.lit(0.0)), 6)
-    return both.agg(
+    return both.groupBy(*keys).agg(
         F.count("*").alias("total_queries"),
         F.count_if("judged").alias("evaluated_queries"),
         F.count_if(~F.col("judged")).alias("skipped_queries"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from typing import Protocol
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions.text import content_id
 from fathom.operators import bm25
+from fathom.operators.embed import Embedder, TfIdf
 from fathom.operators.filters import equals, matches
 from fathom.operators.fusion import fuse_by_content, fuse_by_position, search_depth
 from fathom.operators.knn import nearest
@@ -17,34 +17,6 @@ from fathom.operators.knn import nearest
 METHODS = ("vector", "bm25", "hybrid")
 
 
-class Embedder(Protocol):
-    """Adds a vector column to rows with text. ``name`` and ``dim`` go along with an index."""
-
-    name: str
-    dim: int
-
-    def embed(self, rows: DataFrame, text: str, out: str) -> DataFrame: ...
-
-
-@dataclass
-class HashedTfIdf:
-    """The default embedder: hashed term frequencies, scaled to length 1; needs no model file."""
-
-    dim: int = 256
-    name: str = "hashed-tf"
-
-    def embed(self, rows: DataFrame, text: str, out: str) -> DataFrame:
-        from pyspark.ml.feature import HashingTF, Normalizer
-        from pyspark.ml.functions import vector_to_array
-
-        from fathom.functions.text import tokens
-
-        split = rows.withColumn("__words", tokens(F.coalesce(F.col(text), F.lit("")), lower=True))
-        hashed = HashingTF(numFeatures=self.dim, inputCol="__words", outputCol="__tf").transform(split)
-        scaled = Normalizer(inputCol="__tf", outputCol="__unit").transform(hashed)
-        return scaled.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__tf", "__unit")
-
-
 @dataclass
 class VectorIndex:
     """Vectors (doc, embedding) and which embedder made them."""
@@ -62,25 +34,46 @@ def build_vector_index(chunks: DataFrame, embedder: Embedder, doc: str = "doc",
     return VectorIndex(embedder.embed(chunks.select(F.col(doc).alias("doc"), text), text, "embedding").select("doc", "embedding"), embedder.name, embedder.dim)
 
 
+def save_vector_index(index: VectorIndex, embedder: TfIdf, folder: str) -> None:
+    """Write vectors together with the state of the embedder that made them."""
+    index.check(embedder)
+    index.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+    embedder.save(index.vectors.sparkSession, f"{folder}/embedder")
+
+
+def open_vector_index(spark: SparkSession, folder: str) -> tuple[VectorIndex, TfIdf]:
+    embedder = TfIdf.load(spark, f"{folder}/embedder")
+    return VectorIndex(spark.read.parquet(f"{folder}/vectors"), embedder.name, embedder.dim), embedder
+
+
 @dataclass
 class Retriever:
-    """Ranks the chunks (doc, text, any metadata) of a corpus for a table of queries (qid, query)."""
+    """Ranks the chunks (doc, text, any metadata) of a corpus for a table of queries (qid, query).
+
+    The embedder is fitted on the chunks, and the text index built of them, when first needed; both
+    are kept, so that further queries only search.
+    """
 
     chunks: DataFrame
-    embedder: Embedder = field(default_factory=HashedTfIdf)
+    embedder: Embedder | None = None
     index: VectorIndex | None = None
+    text_index: bm25.SparseIndex | None = field(default=None, repr=False)
 
     def _vector(self, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        index = self.index or build_vector_index(self.chunks, self.embedder)
+        if self.embedder is None:
+            self.embedder = TfIdf.fit(self.chunks)
+        if self.index is None:
+            self.index = build_vector_index(self.chunks, self.embedder)
+        index = self.index
         index.check(self.embedder)
         vectors = index.vectors.join(chunks.select("doc"), "doc", "left_semi")
         asked = self.embedder.embed(queries, "query", "query_vec")
         return nearest(vectors, asked, k, vec="doc", embedding="embedding").select("qid", F.col("vec").alias("doc"), "rank")
 
     def retrieve(self, queries: DataFrame, k: int = 3, wanted: Mapping[str, object] | None = None, method: str = "hybrid") -> DataFrame:
-        """(qid, doc, rank): arms go deep, are fused by position, then filtered. Unknown methods mean hybrid."""
-        n = self.chunks.count()
-        depth = search_depth(k, n)
+        """(qid, doc, rank): arms go to ``search_depth``, are fused by position, then filtered: what
+        passes the filter but lies deeper is not found. Unknown methods mean hybrid."""
+        depth = search_depth(k)
         passing = self.chunks.where(equals(wanted, self.chunks.columns)).select("doc") if wanted else None
 
         def cut(arm: DataFrame) -> DataFrame:
@@ -90,7 +83,9 @@ class Retriever:
 
         if method == "vector":
             return cut(self._vector(self.chunks, queries, depth))
-        text = bm25.top(bm25.build_index(self.chunks, "doc"), queries, depth)
+        if self.text_index is None:
+            self.text_index = bm25.build_index(self.chunks, "doc")
+        text = bm25.top(self.text_index, queries, depth)
         if method == "bm25":
             return cut(text)
         return fuse_by_position(self._vector(self.chunks, queries, depth), text, depth, k, passing).select("qid", "doc", "rank")
@@ -125,11 +120,17 @@ def ask(chunks: DataFrame, queries: DataFrame, k: int = 3, wanted: Mapping[str,
     """(qid, query, answer, sources, error): from questions (qid, query) over chunks (doc, text, any
     metadata) to answers, by one retrieval of ``k`` chunks each and one answer mode. ``sources`` are
     the chunks' ids by rank."""
+    ranked = Retriever(chunks, embedder).retrieve(queries, k, wanted, method)
+    held = ranked.join(chunks.select("doc", "text"), "doc").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "text"))).alias("x"))
+    return answered(queries.select("qid", "query").join(held, "qid", "left"), mode, make)
+
+
+def answered(rows: DataFrame, mode: str = "extractive", make=None) -> DataFrame:
+    """(qid, query, answer, sources, error) for rows (qid, query, x), x being what was found: an array
+    of (rank, doc, text), null for nothing."""
     from fathom.operators.answers import FirstSentences, answer_rows
 
-    ranked = Retriever(chunks, embedder or HashedTfIdf()).retrieve(queries, k, wanted, method)
-    held = ranked.join(chunks.select("doc", "text"), "doc").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "text"))).alias("x"))
     none = F.array().cast("array<string>")
-    rows = queries.select("qid", "query").join(held, "qid", "left").select("qid", "query", F.coalesce(F.transform("x", lambda x: x["text"]), none).alias("contexts"), F.coalesce(F.transform("x", lambda x: x["doc"].cast("string")), none).alias("sources"))
+    rows = rows.select("qid", "query", F.coalesce(F.transform("x", lambda x: x["text"]), none).alias("contexts"), F.coalesce(F.transform("x", lambda x: x["doc"].cast("string")), none).alias("sources"))
     said = answer_rows(rows, mode, make or FirstSentences)
     return rows.join(said, "qid").select("qid", "query", "answer", "sources", "error")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fathom.functions.text import normalise, parse_list
 from fathom.functions.vectors import cosine
 from fathom.operators.metrics import correctness_by_query
-from fathom.operators.retrieve import Embedder
+from fathom.operators.embed import Embedder
 
 
 def allowed_mode(setting: Column, modes: Sequence[str]) -> Column:

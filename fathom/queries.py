@@ -215,7 +215,7 @@ def _text_arm(spark, sf_dir, k, lower=False, where=None):
 @query(
     f"""WITH post AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({WORDS}) AS term FROM documents), tot AS MATERIALIZED (SELECT count(*) AS n FROM documents),
     raw AS MATERIALIZED (SELECT term, df, ln((SELECT n FROM tot) - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term))
-    SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw"""
+    SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END, 6) AS idf FROM raw, (SELECT avg(raw) AS m FROM raw)"""
 )
 def bm25_stats(spark, sf_dir):
     return bm25.build_index(table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))

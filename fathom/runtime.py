@@ -66,3 +66,18 @@ def drop_table(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(jpath, True)
+
+
+#: Splits a core should have; a table that makes fewer is dealt out before costly work on its rows.
+SPLITS_PER_CORE = 2
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df``, spread over all cores if it is so small that its splits would leave some idle: moving its
+    rows then costs less than waiting for one core. A larger table stays where it lies. The size is
+    what the optimizer expects, from the sizes of files."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size >= SPLITS_PER_CORE * cores * split else df.repartition(SPLITS_PER_CORE * cores)

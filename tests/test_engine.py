@@ -18,7 +18,8 @@ from fathom.operators.code import chunk_source, parses, split_code
 from fathom.operators.filters import equals, matches, parse_filter
 from fathom.operators.knn import nearest
 from fathom.operators.paragraphs import paragraphs
-from fathom.operators.retrieve import HashedTfIdf, Retriever, VectorIndex
+from fathom.operators.embed import HashedTf
+from fathom.operators.retrieve import Retriever, VectorIndex
 from fathom.plans import reports
 from fathom.sources import files, readers, writers
 from fathom.sources.html import sections
@@ -99,11 +100,8 @@ def test_bm25_ranks_every_document(spark):
     assert [d for d, _ in ask("owl", 2)] == [3, 0]
 
 
-BELOW_ZERO = pytest.mark.xfail(strict=True, reason="documents without a query term beyond the first k don't come before those that score below 0")
-
-
 @pytest.mark.parametrize("asked", [0, 200_000])
-@pytest.mark.parametrize("k", [pytest.param(1, marks=BELOW_ZERO), pytest.param(2, marks=BELOW_ZERO), 6])
+@pytest.mark.parametrize("k", [1, 2, 6])
 def test_bm25_of_negative_scores_and_many_terms(spark, monkeypatch, asked, k):
     monkeypatch.setattr(bm25, "ASKED", asked)
     texts = {0: "a b", 1: "a b a", 2: "a b", 3: "", 4: "a", 5: "a b c"}
@@ -160,7 +158,7 @@ def test_retriever(spark):
     assert [r["doc"] for r in find.retrieve(asked, 2, {"kind": "y"}).orderBy("rank").collect()][0] == 3
     assert find.retrieve_distinct(asked, 3).where("content is null").count() == 0
     with pytest.raises(ValueError):
-        VectorIndex(chunks, "other", 3).check(HashedTfIdf())
+        VectorIndex(chunks, "other", 3).check(HashedTf())
 
 
 def test_ndcg_edges(spark):

@@ -40,9 +40,9 @@ def test_answers_find_their_query_by_text(spark):
     asked = spark.createDataFrame([("1", "who is it", "OTHER"), ("2", "Who is it!", "FACT"), ("3", "What, then?", None)], "query_id string, query string, query_type string")
     truths = spark.createDataFrame([("2", "It is Ada Lovelace."), ("9", "y")], "query_id string, ground_truth_answer string")
     keys = spark.createDataFrame([("2", "ada", "Ada; Byron ;")], "query_id string, short_answer string, key_entities string")
-    from fathom.operators.retrieve import HashedTfIdf
+    from fathom.operators.embed import HashedTf
 
-    got = {r["query_id"]: r for r in runs.answer_correctness(answers, asked, truths, keys, HashedTfIdf()).collect()}
+    got = {r["query_id"]: r for r in runs.answer_correctness(answers, asked, truths, keys, HashedTf()).collect()}
     assert set(got) == {2, 3}
     assert (got[2]["query_type"], got[2]["exact_match"], got[2]["entity_recall"]) == ("FACT", 1, 0.5)
     assert got[2]["semantic_similarity"] == pytest.approx(1.0, abs=1e-5)
