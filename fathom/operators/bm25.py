@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from fathom.runtime import dealt_out, materialize
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents in a segment; a long array of one segment is never larger than their words.
 SEGMENT_DOCS = 512
+SEGMENT = ("seg", "grp", "n", "words", "docs", "dls", "terms", "dfs", "ats", "tfs")
 #: Terms of queries, and bytes in them, that go to every task at once; more queries go in blocks.
 ASKED, ASKED_BYTES = 200_000, 1 << 23
 #: Digits of a score that count; orders of summation differ in less than that.
@@ -24,7 +26,7 @@ DIGITS = 6
 
 @dataclass
 class SparseIndex:
-    """segments (grp, n, words, docs, dls, terms, dfs, ats, tfs): each holds up to SEGMENT_DOCS documents in
+    """segments (seg, grp, n, words, docs, dls, terms, dfs, ats, tfs): each holds up to SEGMENT_DOCS documents in
     order with their lengths, and by term the places of those that hold it, with counts.
 
     Derived from them: terms (grp, term, df, idf), totals (grp, n, avgdl), docs (grp, doc). Without
@@ -92,11 +94,11 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(part.slice(0, 1)), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()),
+                        pa.array([uuid.uuid4().hex]), batch.column(0).take(part.slice(0, 1)), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()),
                         one(batch.column(1).take(part), None), one(sizes, pa.int32()), one(words.dictionary.take(order), None), one(df, pa.int32()),
                         one(pairs % max(1, len(sizes)), pa.int32()), one(tf, pa.int32()),
                     ],
-                    names=["grp", "n", "words", "docs", "dls", "terms", "dfs", "ats", "tfs"],
+                    names=list(SEGMENT),
                 )
 
 
@@ -106,10 +108,10 @@ def segments_of(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lowe
     rows = dealt_out(corpus.select(grp.alias("grp"), F.col(doc).alias("doc"), F.col(text).alias("body")))
     rows = rows.select("grp", "doc", tokens(F.coalesce("body", F.lit("")), lower).alias("words"))
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_segment, f"grp string, n long, words long, docs array<{kind}>, dls array<int>, terms array<string>, dfs array<int>, ats array<int>, tfs array<int>")
+    return rows.mapInArrow(_segment, f"seg string, grp string, n long, words long, docs array<{kind}>, dls array<int>, terms array<string>, dfs array<int>, ats array<int>, tfs array<int>")
 
 
-def _counted(segments: DataFrame) -> DataFrame:
+def counted(segments: DataFrame) -> DataFrame:
     each = segments.select("grp", F.inline(F.arrays_zip("terms", "dfs"))).toDF("grp", "term", "df")
     return each.groupBy("grp", "term").agg(F.sum("df").cast("long").alias("df"))
 
@@ -121,7 +123,7 @@ def build_index(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lowe
     statistics, in the same tables and passes. A row is a document; null texts have no words.
     """
     segments = materialize(segments_of(corpus, doc, text, lower, by), "segments")
-    return SparseIndex(segments, materialize(_counted(segments), "term-counts"), lower, by is not None)
+    return SparseIndex(segments, materialize(counted(segments), "term-counts"), lower, by is not None)
 
 
 def save_index(index: SparseIndex, folder: str) -> None:
@@ -137,8 +139,8 @@ def open_index(spark: SparkSession, folder: str, lower: bool = False, grouped: b
 def extend_index(index: SparseIndex, corpus: DataFrame, doc: str = "doc_id", text: str = "text", by: str | None = None) -> SparseIndex:
     """The index with more documents: only they are read; counts of terms add up."""
     more = materialize(segments_of(corpus, doc, text, index.lower, by), "segments")
-    counts = index.counts.unionByName(_counted(more)).groupBy("grp", "term").agg(F.sum("df").alias("df"))
-    return SparseIndex(index.segments.unionByName(more), materialize(counts, "term-counts"), index.lower, index.grouped)
+    counts = index.counts.unionByName(counted(more)).groupBy("grp", "term").agg(F.sum("df").alias("df"))
+    return SparseIndex(index.segments.select(*SEGMENT).unionByName(more), materialize(counts, "term-counts"), index.lower, index.grouped)
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,21 +161,24 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tfs += [t for _, t in kept]
             if stay:
                 dls = [r["dls"][i] for i in stay]
-                yield pa.RecordBatch.from_pylist([{"grp": r["grp"], "n": len(stay), "words": sum(dls), "docs": [r["docs"][i] for i in stay], "dls": dls, "terms": terms, "dfs": dfs, "ats": ats, "tfs": tfs}], batch.schema.remove(batch.schema.get_field_index("gone")))
+                yield pa.RecordBatch.from_pylist([{"seg": uuid.uuid4().hex, "grp": r["grp"], "n": len(stay), "words": sum(dls), "docs": [r["docs"][i] for i in stay], "dls": dls, "terms": terms, "dfs": dfs, "ats": ats, "tfs": tfs}], batch.schema.remove(batch.schema.get_field_index("gone")))
 
 
 def remove_documents(index: SparseIndex, gone: DataFrame) -> SparseIndex:
     """The index without the documents ``gone`` (doc): segments that hold one are written anew, the
-    others stay as they are, and counts of terms are taken off."""
-    numbered = materialize(index.segments.withColumn("seg", F.monotonically_increasing_id()), "segments")
-    places = numbered.select("seg", F.posexplode("docs").alias("at", "doc")).join(gone.select("doc").distinct(), "doc", "left_semi")
-    hit = numbered.join(places.groupBy(F.col("seg").alias("of")).agg(F.collect_list("at").alias("gone")), F.col("seg") == F.col("of"))
-    hit = materialize(hit.drop("seg", "of"), "segments")
-    columns = index.segments.columns
-    thinned = materialize(hit.select(*columns, "gone").mapInArrow(_thin, index.segments.schema), "segments")
-    rest = numbered.join(places.select(F.col("seg").alias("of")).distinct(), F.col("seg") == F.col("of"), "left_anti").select(*columns)
-    less = _counted(hit).select("grp", "term", (-F.col("df")).alias("df"))
-    counts = index.counts.unionByName(less).unionByName(_counted(thinned)).groupBy("grp", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    others stay where they are, and counts of terms are taken off. Where segments and ``gone`` have a
+    ``batch``, only documents of earlier batches go."""
+    lost = gone.select(F.col("doc").alias("__doc"), *[F.col("batch").alias("__batch")] * ("batch" in gone.columns)).distinct()
+    earlier = F.col("batch") < F.col("__batch") if "batch" in gone.columns and "batch" in index.segments.columns else F.lit(True)
+    of = index.segments.select("seg", *[c for c in ("batch",) if c in index.segments.columns], F.posexplode("docs").alias("at", "doc"))
+    places = of.join(lost, F.col("doc").eqNullSafe(F.col("__doc")) & earlier, "left_semi").groupBy(F.col("seg").alias("__seg")).agg(F.collect_list("at").alias("gone"))
+    places = materialize(places, "places")
+    hit = index.segments.join(places, F.col("seg") == F.col("__seg")).select(*SEGMENT, "gone")
+    kinds = index.segments.select(*SEGMENT).schema
+    thinned = materialize(hit.mapInArrow(_thin, kinds), "segments")
+    rest = index.segments.join(places, F.col("seg") == F.col("__seg"), "left_anti").select(*SEGMENT)
+    less = counted(hit).select("grp", "term", (-F.col("df")).alias("df"))
+    counts = index.counts.unionByName(less).unionByName(counted(thinned)).groupBy("grp", "term").agg(F.sum("df").alias("df")).where("df > 0")
     return SparseIndex(rest.unionByName(thinned), materialize(counts, "term-counts"), index.lower, index.grouped)
 
 

@@ -105,11 +105,12 @@ def judged(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     return ranked.join(right, ["qid", "source_file"], "left").withColumn("relevant", F.coalesce("ok", F.lit(False))).drop("ok")
 
 
-def titled(pages: DataFrame, order: str, title: str = "title", text: str = "text") -> DataFrame:
-    """One text of all pages in order, each under a line with its title; pages without text are left out."""
+def titled(pages: DataFrame, order: str, title: str = "title", text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """One text of all pages (of each value of ``by``) in order, each under a line with its title; pages
+    without text are left out. A text is one row: this is for reports, not for corpora."""
     held = pages.where(F.coalesce(text, F.lit("")) != "")
     parts = F.array_sort(F.collect_list(F.struct(order, F.concat(F.lit("=== "), F.col(title), F.lit(" ===\n"), F.col(text)).alias("part"))))
-    return held.agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias("text"))
+    return held.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n\n").alias("text"))
 
 
 def open_settings(spark: SparkSession, modes: Sequence[str], sizes: Sequence[int], done: DataFrame) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions import text as T
 from fathom.functions.vectors import cosine
-from fathom.operators import answers, bm25, fusion, metrics
+from fathom.operators import answers, bm25, fusion, ivf, metrics
 from fathom.operators.chunkers import chunk_texts
 from fathom.operators.classify import Rule, classify, inject_header
 from fathom.operators.code import chunk_code
+from fathom.operators.embed import TfIdf
 from fathom.operators.filters import as_documents, matches
 from fathom.operators.knn import nearest
 from fathom.operators.paragraphs import paragraphs
 from fathom.operators.retrieve import Retriever, distinct_sources
 from fathom.plans import experiments, reports
-from fathom.runtime import materialize
+from fathom.runtime import materialize, new_path
 from fathom.sources.html import sections
 from fathom.sources.writers import equal_slices
 
@@ -86,11 +87,6 @@ def normalised_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise(F.col("text")).alias("norm"))
 
 
-@query(f"SELECT conv_id, turn, {norm_sql('text')} AS norm FROM conversations")
-def normalised_text_all(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise(F.col("text")).alias("norm"))
-
-
 @query("SELECT doc_id, left(replace(text, chr(10), ' '), 150) AS flat, left(text, 200) AS raw FROM documents")
 def preview(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("flat"), T.preview(F.col("text"), 200, flat=False).alias("raw"))
@@ -238,6 +234,65 @@ def gold_suggest(spark, sf_dir):
     return best.join(table(spark, sf_dir, "documents"), "doc_id").select("qid", "doc_id", "rank", F.round("score", 4).alias("score"), T.preview(F.col("text"), 160).alias("preview"))
 
 
+@query(f"WITH {_bm25_sql()} SELECT qid, doc, rank FROM best WHERE rank <= 5")
+def bm25_streamed(spark, sf_dir):
+    """Files that come one after the other, each added to the index as it comes."""
+    from fathom.streaming.ingest import stream_index, streamed_index
+
+    work = new_path(spark, "stream")
+    table(spark, sf_dir, "documents").select("doc_id", "text").repartition(3, "doc_id").write.parquet(f"{work}/in")
+    stream_index(spark, f"{work}/in", f"{work}/index", f"{work}/state", schema="doc_id long, text string", files=1).awaitTermination()
+    return bm25.top(streamed_index(spark, f"{work}/index"), _queries(spark, sf_dir), 5).select("qid", "doc", F.col("rank").cast("long").alias("rank"))
+
+
+HALF = _bm25_sql(where="doc_id % 2 = 0 OR doc_id % 5 <> 0")
+
+
+@query(f"WITH {HALF} SELECT qid, doc, rank, round(score, 4) AS score FROM best WHERE rank <= 5")
+def bm25_extended(spark, sf_dir):
+    """An index of the even documents, extended by the odd ones, without those odd ones that five divides."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = bm25.extend_index(bm25.build_index(docs.where("doc_id % 2 = 0")), docs.where("doc_id % 2 = 1"))
+    index = bm25.remove_documents(index, docs.where("doc_id % 2 = 1 AND doc_id % 5 = 0").select(F.col("doc_id").alias("doc")))
+    return bm25.top(index, _queries(spark, sf_dir), 5).select("qid", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS lang, * FROM (WITH {_bm25_sql(where='lang = ' + chr(39) + x + chr(39))} SELECT qid, doc, rank FROM best WHERE rank <= 5)" for x in ("de", "en", "es", "fr")))
+def bm25_by_language(spark, sf_dir):
+    """Every language a corpus of its own, with its own statistics, in one index."""
+    index = bm25.build_index(table(spark, sf_dir, "documents"), by="lang")
+    return bm25.top(index, _queries(spark, sf_dir), 5).select(F.col("grp").alias("lang"), "qid", "doc", F.col("rank").cast("long").alias("rank"))
+
+
+TFIDF = f"""w AS (SELECT doc_id, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INTEGER) AS b FROM (SELECT doc_id, unnest({LOW}) AS t FROM documents)),
+tf AS MATERIALIZED (SELECT doc_id, b, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT b, ln((SELECT n FROM n) + 1) - ln(count(*) + 1) AS idf FROM tf GROUP BY b),
+held AS (SELECT doc_id, b, tf * idf AS x FROM tf JOIN idf USING (b)), unit AS (SELECT doc_id, b, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0) AS x FROM held)"""
+
+
+@query(f"WITH {TFIDF} SELECT doc_id, b, round(x, 4) AS weight FROM unit WHERE round(x, 4) > 0.3")
+def tfidf_vectors(spark, sf_dir):
+    """The large components of every text's vector, by an embedder fitted on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = TfIdf.fit(docs).embed(docs, "text", "v").select("doc_id", F.posexplode("v").alias("b", "x"))
+    return made.select("doc_id", "b", F.round(F.col("x").cast("double"), 4).alias("weight")).where("weight > 0.3")
+
+
+@query(f"WITH {NEAR} SELECT qid, vec, rank FROM ranked WHERE rank <= 10")
+def lists_all_probed(spark, sf_dir):
+    """Inverted lists, every one of them probed: the exact answer."""
+    index = ivf.build_lists(table(spark, sf_dir, "embeddings"), 16)
+    return ivf.search_lists(index, _asked(spark, sf_dir), 10, probes=16).select("qid", "vec", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT 10 AS k, count(*) AS queries, true AS nine_of_ten_found FROM embeddings WHERE vec_id % 100 = 0")
+def lists_recall(spark, sf_dir):
+    """Recall at 10 with 40 of 64 lists, against all vectors, which have no clusters to speak of."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ivf.recall(ivf.build_lists(vectors, 64), vectors, _asked(spark, sf_dir), 10, probes=40)
+    return found.select("k", "queries", (F.col("recall") >= 0.9).alias("nine_of_ten_found"))
+
+
 # ---- fusion: items stand for queries in both arms, vector ids for documents
 
 ARMS = f"""{_bm25_sql()},
@@ -526,12 +581,6 @@ SELECT qid, round(avg(coalesce(best >= 0.35, false)::INT), 6) AS faithfulness FR
 
 @query(FAITHFUL)
 def faithfulness_vec(spark, sf_dir):
-    """The sentences of the stated query set against all other vectors of their label."""
-    return faithfulness_vec_all(spark, sf_dir)
-
-
-@query(FAITHFUL)
-def faithfulness_vec_all(spark, sf_dir):
     """The sentences of the stated query set against all other vectors of their label."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("qid"), F.col("vec_id").alias("sid"), F.col("embedding").alias("v"))
     return metrics.faithfulness(rows.where(F.col("sid") % 100 == 0), rows)
@@ -578,21 +627,11 @@ def entity_recall(spark, sf_dir):
     return _entity_recall(_answered(spark, sf_dir))
 
 
-@query(RECALL)
-def entity_recall_all(spark, sf_dir):
-    return _entity_recall(_answered(spark, sf_dir))
-
-
 @query(MATCH)
 def exact_match(spark, sf_dir):
     return _exact_match(_answered(spark, sf_dir))
 
 
-@query(MATCH)
-def exact_match_all(spark, sf_dir):
-    return _exact_match(_answered(spark, sf_dir))
-
-
 CONTEXTS = "SELECT conv_id, list(text ORDER BY turn) AS c, min(turn) AS t FROM conversations GROUP BY conv_id"
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fathom.functions import text as T
+from fathom.operators.chunkers import chunk_texts
 from fathom.operators.classify import Rule
 from fathom.operators.corpus import chunk_corpus
 from fathom.operators.metrics import integrity_metrics
 from fathom.operators.retrieve import ask, suggest_gold
 from fathom.plans import experiments, runs
+from fathom.plans.ledger import Ledger
 from fathom.queries import ANSWERED, SENTENCES, WORDS, _bm25_sql, _queries, norm_sql, query, table
 from fathom.runtime import new_path
 from fathom.sources import readers, writers
@@ -56,12 +61,18 @@ def fallback_rate(spark, sf_dir):
     return runs.fallback_rates(flags)
 
 
-@query("SELECT lang, count(*) AS total, 0 AS broken, 100.0::DOUBLE AS executable_pct FROM documents GROUP BY lang")
+@query(
+    """SELECT lang, count(*) AS total, sum(bad)::BIGINT AS broken, round(100 - round(100 * avg(bad), 4), 4) AS executable_pct
+    FROM (SELECT lang, CAST(doc_id % 7 = 0 OR (doc_id % 7 = 1 AND regexp_matches(coalesce(text, ''), '^[^a-zA-Z]*[a-z]')) AS INTEGER) AS bad FROM documents) GROUP BY lang"""
+)
 def executable_rate(spark, sf_dir):
-    """Every text as a comment and an assignment, which is code that parses."""
-    code = F.concat(F.lit("# "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\R|[^ -~]", " "), F.lit("\nx = 1\n"))
-    made = table(spark, sf_dir, "documents").select("lang", code.alias("text"), F.lit(False).alias("is_orphan"))
-    return runs.executable_rates(integrity_metrics(made, ["lang"])).select("lang", "total", F.col("syntax_error_count").cast("int").alias("broken"), "executable_pct")
+    """Every text as a comment above code. In a seventh a bracket stays open; in another the first letter
+    of the text, if it is a small one of ASCII, is an operator that lacks its operand."""
+    said = F.concat(F.lit("# "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\R|[^ -~]", " "))
+    small = F.regexp(F.coalesce("text", F.lit("")), F.lit("^[^a-zA-Z]*[a-z]"))
+    code = F.when(F.col("doc_id") % 7 == 0, "x = (1\n").when((F.col("doc_id") % 7 == 1) & small, "x = 1 +\n").otherwise("x = (1)\n")
+    made = table(spark, sf_dir, "documents").select("lang", F.concat(said, F.lit("\n"), code).alias("text"), F.lit(False).alias("is_orphan"))
+    return runs.executable_rates(integrity_metrics(made, ["lang"])).select("lang", "total", F.col("syntax_error_count").alias("broken"), "executable_pct")
 
 
 @query(
@@ -173,6 +184,53 @@ def corpus_chunks(spark, sf_dir):
     return made.select("source_file", "chunk_id", "source", "topic", "chunk_mode", "chunk_size", "chunk_overlap", F.md5("text").alias("digest"))
 
 
+GRID = [("token", 64), ("token", 128), ("token", 256)]
+
+
+@query(
+    f"""SELECT 'token_' || s AS setting, CAST(sum(CASE WHEN n = 0 THEN 0 ELSE 1 + ceil(greatest(n - s, 0) / (s - 50.0)) END) AS BIGINT) AS chunks, 1::BIGINT AS times_done
+    FROM (SELECT len({WORDS}) AS n FROM documents), (SELECT unnest([64, 128, 256]) AS s) GROUP BY s"""
+)
+def resumed_settings(spark, sf_dir):
+    """A grid that is stopped after its first setting and in the middle of the second, and run again."""
+    docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "grid")
+    done = []
+
+    def stopping(name):
+        if done:
+            raise InterruptedError
+        done.append(name)
+        return chunk_texts(docs, "token", int(name.split("_")[1]), 50)
+
+    ledger = Ledger(spark, folder)
+    with contextlib.suppress(InterruptedError):
+        ledger.run([f"{m}_{s}" for m, s in GRID], stopping)
+    left = Ledger(spark, folder).run([f"{m}_{s}" for m, s in GRID], lambda name: chunk_texts(docs, "token", int(name.split("_")[1]), 50))
+    times = spark.createDataFrame([(x,) for x in [*done, *left]], "name string").groupBy("name").agg(F.count("*").alias("times_done"))
+    found = ledger.results("doc_id long, pos int, text string").groupBy("setting").agg(F.count("*").alias("chunks"))
+    return found.join(F.broadcast(times), F.col("setting") == F.col("name")).select("setting", "chunks", "times_done")
+
+
+_EXAMPLES = [("de", "SELECT 0 AS qid, 'de' AS lang"), ("en", "SELECT 1, 'en'"), ("fr", "SELECT 2, 'fr'"), ("es", "SELECT 3, 'es'"), (None, "SELECT 4, NULL")]
+FIRST_WORDS = f"SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS n, array_to_string({WORDS}[1:6], ' ') AS text FROM benchmark QUALIFY n < 5"
+
+
+@query(
+    f"""WITH {_bm25_sql().replace("AS term FROM benchmark)", f"AS term FROM (SELECT n AS item_id, text FROM ({FIRST_WORDS})))").replace("FROM benchmark CROSS JOIN", f"FROM (SELECT n AS item_id FROM ({FIRST_WORDS})) CROSS JOIN")},
+    want AS ({" UNION ALL ".join(x for _, x in _EXAMPLES)}), r AS (SELECT b.qid, b.doc, b.rank, d.text FROM best b JOIN want USING (qid) JOIN documents d ON d.doc_id = b.doc WHERE b.rank <= 1000 AND (want.lang IS NULL OR d.lang = want.lang)),
+    t AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place, left(replace(text, chr(10), ' '), 200) AS preview FROM r QUALIFY place <= 3)
+    SELECT qid::BIGINT AS qid, doc, place AS rank, preview, NULL::VARCHAR AS error FROM t UNION ALL SELECT 5, NULL, NULL, NULL, 'ValueError: no question'"""
+)
+def filtered_examples(spark, sf_dir):
+    """Five questions, four of them with a filter, and one that fails, in a batch."""
+    from fathom.cli import search_batch
+
+    words = F.array_join(F.slice(T.tokens(F.col("text")), 1, 6), " ")
+    first = [r[0] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(5).select(words).collect()]
+    asked = [(q, '{"lang": "%s"}' % lang if lang else None) for q, (lang, _) in zip(first, _EXAMPLES, strict=False)]
+    return search_batch(_chunks(spark, sf_dir), [*asked, ("", None)], k=3, method="bm25").select("qid", "doc", F.col("rank").cast("long").alias("rank"), "preview", "error")
+
+
 # ---- sinks and readers: what is written comes back
 
 _PLAIN = "SELECT doc_id, text, lang, source FROM documents"
@@ -189,12 +247,12 @@ def round_trip_json_lines(spark, sf_dir):
     return readers.json_lines(spark, path, "doc_id long, text string, lang string, source string")
 
 
-@query("SELECT * FROM (SELECT doc_id, text, lang, source FROM documents) WHERE doc_id < 100")
+@query("SELECT source, lang, count(*) AS documents FROM documents GROUP BY ALL")
 def round_trip_json_array(spark, sf_dir):
-    """One list in one file is for reports; a hundred rows are one."""
+    """One list in one file is for reports: here documents by source and language."""
     path = new_path(spark, "list")
-    writers.write_json_array(_sent(spark, sf_dir).where("doc_id < 100"), path)
-    return readers.json_array(spark, path, "doc_id long, text string, lang string, source string")
+    writers.write_json_array(_sent(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("documents")), path)
+    return readers.json_array(spark, path, "source string, lang string, documents long")
 
 
 @query("SELECT lang, CAST(count(*) AS VARCHAR) AS documents, CAST(min(doc_id) AS VARCHAR) AS first_doc FROM documents GROUP BY lang")
@@ -244,10 +302,11 @@ def files_by_setting(spark, sf_dir):
     return readers.by_setting(spark, f"{path}/*.json", "part long, n long", r"/([^/]+)\.json/[^/]*$").select("setting", "part", "n")
 
 
-@query("SELECT string_agg('=== ' || lang || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id < 50 AND text <> ''")
+@query("SELECT source, string_agg('=== ' || lang || ' ===' || chr(10) || n || ' texts', chr(10) || chr(10) ORDER BY lang) AS text FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
 def titled_pages(spark, sf_dir):
-    """A report of fifty texts under their titles."""
-    return runs.titled(_sent(spark, sf_dir).where("doc_id < 50"), "doc_id", title="lang")
+    """A page for each language of a source under its title; one text a source."""
+    pages = _sent(spark, sf_dir).groupBy("source", "lang").agg(F.concat(F.count("*").cast("string"), F.lit(" texts")).alias("text"))
+    return runs.titled(pages, "lang", title="lang", by=["source"])
 
 
 @query("SELECT m AS chunk_mode, CAST(s AS INTEGER) AS chunk_size, m || '_' || s AS setting FROM (SELECT unnest(['click', 'view', 'none']) AS m), (SELECT unnest([0, 1, 2, 7]) AS s) WHERE m || '_' || s NOT IN (SELECT event_type || '_' || (user_id % 4) FROM events)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from fathom.sources.files import exists
 
@@ -37,12 +37,23 @@ def json_lines(spark: SparkSession, path: str, schema: str = QUERIES) -> DataFra
 
 
 def json_lines_with_errors(spark: SparkSession, path: str, schema: str = QUERIES) -> DataFrame:
-    """As ``json_lines``, but a malformed line is a row of nulls with ``_error`` (line number and text)."""
+    """As ``json_lines``, but a malformed line is a row of nulls with ``_error`` (line number and text);
+    a file that isn't there has none.
+
+    Files are split like any other, however large. The number of a line in its file is its place in
+    its split plus the lines of the file's splits before, by prefix sums over one row a split."""
     kind = T._parse_datatype_string(schema + ", _corrupt string")
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "value")).where(F.trim("value") != "")
-    parsed = whole.select("i", "value", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    error = F.when(F.col("r._corrupt").isNotNull(), F.format_string("line %d: %s", F.col("i") + 1, F.left("value", F.lit(80))))
-    return parsed.select("r.*", error.alias("_error")).drop("_corrupt")
+    if not exists(spark, path):
+        return spark.createDataFrame([], T._parse_datatype_string(schema + ", _error string"))
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(path, lineSep="\n").select("value", file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("file").alias("__file"), F.col("block").alias("__block"), (before - F.col("first") + 1).alias("shift"))
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    numbered = parsed.join(F.broadcast(splits), (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    error = F.when(F.col("r._corrupt").isNotNull(), F.format_string("line %d: %s", F.col("at") + F.col("shift"), F.left("value", F.lit(80))))
+    return numbered.select("r.*", error.alias("_error")).drop("_corrupt")
 
 
 def csv_table(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_entities_are_normalised_like_answers(spark):
 
 
 def test_every_turn_is_normalised(spark):
-    got = {(r["conv_id"], r["turn"]): r["norm"] for r in Q.QUERIES["normalised_text_all"](spark, SF).collect()}
+    got = {(r["conv_id"], r["turn"]): r["norm"] for r in Q.QUERIES["normalised_text"](spark, SF).collect()}
     assert got == {k: normalise_text(r["text"]) for k, r in turns(spark).items()}
     assert any(not r["text"].isascii() for r in turns(spark).values())
 
@@ -41,13 +41,13 @@ def correctness(question, answer):
 
 def test_every_pair_is_judged(spark):
     want = {k: correctness(*p) for k, p in pairs(spark).items()}
-    got = {(r["conv_id"], r["turn"]): (r["exact_match"], r["entity_recall"]) for r in Q.QUERIES["entity_recall_all"](spark, SF).collect()}
+    got = {(r["conv_id"], r["turn"]): (r["exact_match"], r["entity_recall"]) for r in Q.QUERIES["entity_recall"](spark, SF).collect()}
     assert got == want and any(not q.isascii() or not a.isascii() for q, a in pairs(spark).values())
     by = defaultdict(list)
     for (c, t), (match, _) in want.items():
         by[c % 3].append((match, t < 2))
     mean = lambda x: sum(x) / len(x) if x else 0.0
-    for r in Q.QUERIES["exact_match_all"](spark, SF).collect():
+    for r in Q.QUERIES["exact_match"](spark, SF).collect():
         rows = by.pop(r["setting"])
         assert r["queries"] == len(rows) and r["exact_match"] == pytest.approx(mean([m for m, _ in rows]), abs=1e-6)
         assert r["fact_exact_match"] == pytest.approx(mean([m for m, fact in rows if fact]), abs=1e-6)
