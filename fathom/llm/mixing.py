@@ -51,21 +51,64 @@ def _rank(u: Column, p: Column) -> Column:
     return (u / (1 - u)) * (1 - p) / F.nullif(p, F.lit(0.0))
 
 
-NEW = ("size", "source_size", "target", "copies", "taken")
+#: How much more readily a source's short documents are taken than its average ones, and these than its
+#: long ones, at most.
+TILT = 2.0
+
+
+def _class(size: Column) -> Column:
+    """Documents of a class are alike in size: the power of two below it, -1 for no words."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(-1).cast("int")
+
+
+def inclusion_rates(sizes: DataFrame, targets: DataFrame, most: float = 3.0, tilt: float = TILT) -> DataFrame:
+    """(source, class, rate, rest) for rows (source, size) and targets (source, source_size, target):
+    how many copies of a document of each class are to be expected.
+
+    Within a source, rates follow the root of the mean size over the class's size, so that a few long
+    documents don't use up the source's words, within a factor of ``tilt`` either way and ``most``
+    copies. They are scaled so that expected words are the target; classes whose rate stops at
+    ``most`` come first in the order of rates, so the scale has a closed form. ``rest`` is what the
+    whole parts of the rates leave of the target. A source has some twenty classes.
+    """
+    per = sizes.groupBy("source", _class(F.col("size")).alias("class")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    held = targets.select(F.col("source").alias("of"), "target")
+    per = per.join(held, F.col("source").eqNullSafe(F.col("of")))
+    all_ = Window.partitionBy("source")
+    mean = F.sum("words").over(all_) / F.nullif(F.sum(F.when(F.col("class") >= 0, F.col("docs"))).over(all_), F.lit(0))
+    lean = F.sqrt(mean / (1.5 * F.pow(F.lit(2.0), F.col("class"))))
+    per = per.withColumn("g", F.when(F.col("class") < 0, tilt).otherwise(F.greatest(F.lit(1 / tilt), F.least(F.lit(tilt), lean))))
+    order = all_.orderBy(F.desc("g"), "class")
+    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0))
+    per = per.withColumn("scale", F.try_divide(left, F.sum(F.col("words") * F.col("g")).over(onward)))
+    fits = F.when(F.col("scale") * F.col("g") <= most, F.struct(-F.col("g"), F.col("class"), F.col("scale").alias("scale")))
+    per = per.withColumn("scale", F.min(fits).over(all_)["scale"])
+    full = F.when(F.col("target") > 0, most).otherwise(0.0)
+    per = per.withColumn("rate", F.coalesce(F.least(F.lit(float(most)), F.greatest(F.col("scale"), F.lit(0.0)) * F.col("g")), full))
+    rest = F.col("target") - F.sum(F.floor("rate") * F.col("words")).over(all_)
+    return per.select("source", "class", "rate", rest.alias("rest"))
+
+
+NEW = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
 def _mix(docs: DataFrame, id_col: str, text: str, source: str, weights: Sequence[float], share: float, most: float, closing: int, seed: int) -> DataFrame:
-    """(row, size, source_size, target, copies, taken): each row of ``docs`` as a struct, and its part."""
+    """(row, size, source_size, target, rate, copies, taken): each row of ``docs`` as a struct, and its part."""
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
     key, u = F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`")), _uniform(F.col(f"`{id_col}`"), seed)
     slim = materialize(docs.select(F.col(f"`{source}`").alias("source"), size.alias("size"), u.alias("u"), key.alias("k")), "mix")
-    rate = F.least(F.lit(float(most)), F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0)))
-    per = source_targets(slim, weights, share, most).withColumn("rate", rate)
-    per = per.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    per = materialize(per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
+    slim = slim.withColumn("class", _class(F.col("size")))
+    targets = materialize(source_targets(slim, weights, share, most), "mix-targets")
+    rates = inclusion_rates(slim, targets, most).withColumnRenamed("source", "of")
+    per = rates.join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("of")
+    per = materialize(per.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole")), "mix-sources")
+
+    def of_class(d: str, s: str) -> Column:
+        return F.col(f"{d}.source").eqNullSafe(F.col(f"{s}.source")) & (F.col(f"{d}.class") == F.col(f"{s}.class"))
 
     odds = _rank(F.col("u"), F.col("p"))
-    ranked = slim.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).where("p > 0")
+    ranked = slim.alias("d").join(per.alias("s"), of_class("d", "s")).where("p > 0")
     ranked = ranked.select(F.col("s.source").alias("source"), "size", "k", "rest", odds.alias("q"))
     ranked = ranked.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BINS)).cast("int"))
     sums = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -85,7 +128,7 @@ def _mix(docs: DataFrame, id_col: str, text: str, source: str, weights: Sequence
 
     for _ in range(closing):
         one = extra != F.array_contains("switch", F.col("k"))
-        picked = slim.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        picked = slim.alias("d").join(per.alias("s"), of_class("d", "s"))
         picked = picked.select(F.col("s.source").alias("source"), "size", "k", "u", "rest", "p", one.alias("extra"), F.array_contains("switch", F.col("k")).alias("done"))
         gap = picked.groupBy("source").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got"), F.first("rest").alias("rest"))
         gap = gap.select(F.col("source").alias("gs"), (F.col("rest") - F.col("got")).alias("gap"))
@@ -101,30 +144,31 @@ def _mix(docs: DataFrame, id_col: str, text: str, source: str, weights: Sequence
         return F.col(f"plan.{c}")
 
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("of"), size.alias("size"), u.alias("u"), key.alias("k"))
-    plan = per.select(F.col("source").alias("at"), F.struct(*[F.col(c) for c in per.columns]).alias("plan"))
-    wide = held.join(plan, F.col("of").eqNullSafe(F.col("at")))
+    plan = per.select(F.col("source").alias("at"), F.col("class").alias("alike"), F.struct(*[F.col(c) for c in per.columns]).alias("plan"))
+    wide = held.join(plan, F.col("of").eqNullSafe(F.col("at")) & (_class(F.col("size")) == F.col("alike")))
     q = _rank(F.col("u"), planned("p"))
     one = F.when(planned("p") <= 0, False).otherwise(F.when(planned("last").isNull(), planned("rest") > 0).otherwise(F.struct(q.alias("q"), F.col("k").alias("k")) <= planned("last")))
     one = one != F.array_contains(planned("switch"), F.col("k"))
-    wide = wide.select("row", "size", planned("source_size").cast("long").alias("source_size"), planned("target").alias("target"), (planned("whole") + one.cast("long")).cast("long").alias("copies"))
-    return wide.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    wide = wide.select("row", "size", planned("source_size").cast("long").alias("source_size"), planned("target").alias("target"), planned("rate").alias("rate"), (planned("whole") + one.cast("long")).cast("long").alias("copies"))
+    return wide.select("row", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, closing: int = 3, seed: int = 17) -> DataFrame:
-    """How often a mix takes each document: ``docs`` with size, source_size, target, copies, taken.
-
-    A source's rate is its target over its size. Every document first gets the whole part of the
-    rate as certain copies. The fraction is its inclusion probability p for one copy more: with u a
-    fixed random number of the document, documents of a source are ranked by (u/(1-u))/(p/(1-p))
-    and taken in that order until the source's words are spent (the document on the border is
-    taken if its middle is within). Last, ``closing`` times, the one document whose switch between
-    taken and not brings its source nearest to the target is switched. The order is cut into bins
-    whose sums fix the border, so only one bin of a source is ever sorted and a source with a third
-    of all rows is spread over the tasks.
+    """How often a mix takes each document: ``docs`` with size, source_size, target, rate, copies, taken.
+
+    ``rate`` is how many copies of a document are to be expected (``inclusion_rates``): documents of a
+    source differ in it by their size. Every document first gets the whole part of its rate as
+    certain copies. The fraction is its inclusion probability p for one copy more: with u a fixed
+    random number of the document, all documents of a source, whatever their p, are ranked by
+    (u/(1-u))/(p/(1-p)) and taken in that order until the source's words are spent (the document on
+    the border is taken if its middle is within), which is where the rank is about 1. Last, ``closing``
+    times, the one document whose switch between taken and not brings its source nearest to the
+    target is switched. The order is cut into bins whose sums fix the border, so only one bin of a
+    source is ever sorted and a source with a third of all rows is spread over the tasks.
 
     Size is the number of words; null texts have size 0. Rows of one id and source share u and
     their fate. A null source is a source, the last one; a null id is an id. Ties of the hash keep
-    together. Input columns named like the five new ones, in any case, give way to them; an empty
+    together. Input columns named like the six new ones, in any case, give way to them; an empty
     table gives an empty table.
     """
     mixed = _mix(docs, id_col, text, source, weights, share, most, closing, seed)

@@ -2,12 +2,13 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from fathom.llm import pii, secrets
-from fathom.llm.mixing import _uniform, mix_sources, source_targets
+from fathom.llm.mixing import _uniform, inclusion_rates, mix_sources, source_targets
 from tests.llm import brute
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -109,33 +110,80 @@ def test_planted_identifiers_are_found(spark):
     assert caught == 225 and not any(got[i] for i in got if planted[i][1] is None)
 
 
-def plain_mix(rows, targets, most=3.0, closing=3):
-    """rows (id, source, size, u, k); targets {source: (source_size, target)} -> copies by id."""
+def plain_rates(sizes, target, most=3.0, tilt=2.0):
+    """Expected copies by class (power of two) of a source's sizes; the scale by bisection."""
+    classes = Counter(n.bit_length() - 1 for n in sizes)
+    words = {c: sum(n for n in sizes if n.bit_length() - 1 == c) for c in classes}
+    some = [n for n in sizes if n]
+    mean = sum(some) / len(some) if some else 0
+    g = {c: tilt if c < 0 else max(1 / tilt, min(tilt, (mean / (1.5 * 2**c)) ** 0.5)) for c in classes}
+    low, high = 0.0, 10 * most * tilt
+    for _ in range(200):
+        scale = (low + high) / 2
+        if sum(words[c] * min(most, scale * g[c]) for c in classes) < target:
+            low = scale
+        else:
+            high = scale
+    return {c: min(most, high * g[c]) for c in classes}
+
+
+def test_rates_spend_the_target_and_differ_by_size(spark):
+    r = random.Random(4)
+    sizes = [(s, r.choice([0, 1, 2, 30, 31, 32, 33, 200, 5000]) * (3 if s == "c" else 1)) for s in "aaaabbbc" for _ in range(60)] + [("none", 0)]
+    table = spark.createDataFrame(sizes, "source string, size long")
+    targets = source_targets(table)
+    got = {(x["source"], x["class"]): x["rate"] for x in inclusion_rates(table, targets).collect()}
+    for t in targets.collect():
+        own = [n for s, n in sizes if s == t["source"]]
+        want = plain_rates(own, t["target"]) if t["target"] else {-1: 0.0}
+        assert {c: round(v, 6) for (s, c), v in got.items() if s == t["source"]} == {c: round(v, 6) for c, v in want.items()}
+        assert sum(n * got[t["source"], n.bit_length() - 1] for n in own) == pytest.approx(t["target"])
+    assert len({round(v, 3) for (s, c), v in got.items() if s == "b"}) >= 3 and max(got.values()) <= 3
+
+
+def test_documents_are_taken_as_often_as_their_rates_say(spark):
+    """Over seeds, the mean number of copies of a document comes to its rate, also where rates differ."""
+    r = random.Random(2)
+    rows = [(i, "w " * r.choice([3, 5, 20, 30, 80, 300]), "ab"[i % 2]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).cache()
+    times, rate, sizes = defaultdict(list), {}, {}
+    for seed in range(8):
+        for x in mix_sources(docs, seed=1000 + seed, closing=0).select("doc_id", "size", "rate", "copies").collect():
+            times[x["doc_id"]].append(x["copies"])
+            rate[x["doc_id"]], sizes[x["doc_id"]] = x["rate"], x["size"]
+    for source in (0, 1):
+        for size in set(sizes.values()):
+            own = [d for d in rate if d % 2 == source and sizes[d] == size]
+            mean = sum(sum(times[d]) for d in own) / (8 * len(own))
+            p = rate[own[0]] % 1
+            assert abs(mean - rate[own[0]]) < 4 * (max(p * (1 - p), 0.02) / (8 * len(own))) ** 0.5 + 0.02, (source, size)
+    assert len({round(v % 1, 2) for v in rate.values()}) > 4 and any(len(set(t)) == 2 for t in times.values())
+
+
+def plain_mix(rows, targets, rates, closing=3):
+    """rows (id, source, size, u, k); targets {source: (source_size, target)}; rates {id: copies} -> copies by id."""
     copies = {}
-    for source, (total, target) in targets.items():
+    for source, (_, target) in targets.items():
         own = [x for x in rows if x[1] == source]
-        rate = min(most, target / total) if total else 0.0
-        whole, p = int(rate // 1), rate - rate // 1
-        rest = target - whole * total
-        if p <= 0:
-            extra = set()
-        else:
-            rank = lambda x: ((x[3] / (1 - x[3])) * (1 - p) / p, x[4])  # noqa: E731, B023
-            run, extra = 0, set()
-            for x in sorted(own, key=rank):
-                run += x[2]
-                if run - x[2] / 2 <= rest:
-                    extra |= {y[0] for y in own if rank(y) <= rank(x)}
+        p = {x[0]: rates[x[0]] % 1 for x in own}
+        rest = target - sum(int(rates[x[0]]) * x[2] for x in own)
+        rank = lambda x: ((x[3] / (1 - x[3])) * (1 - p[x[0]]) / p[x[0]], x[4])  # noqa: E731, B023
+        run, extra = 0, set()
+        odd = [x for x in own if p[x[0]] > 0]
+        for x in sorted(odd, key=rank):
+            run += x[2]
+            if run - x[2] / 2 <= rest:
+                extra |= {y[0] for y in odd if rank(y) <= rank(x)}
         done = set()
         for _ in range(closing):
             gap = rest - sum(x[2] for x in own if x[0] in extra)
             after = lambda x: abs(gap - (-x[2] if x[0] in extra else x[2]))  # noqa: E731, B023
-            better = [x for x in own if x[2] > 0 and p > 0 and x[0] not in done and after(x) < abs(gap)]
+            better = [x for x in odd if x[2] > 0 and x[0] not in done and after(x) < abs(gap)]
             if better:
                 pick = min(better, key=lambda x: (after(x), x[4]))
                 extra ^= {pick[0]}
                 done.add(pick[0])
-        copies |= {x[0]: whole + (x[0] in extra) for x in own}
+        copies |= {x[0]: int(rates[x[0]]) + (x[0] in extra) for x in own}
     return copies
 
 
@@ -145,9 +193,11 @@ def test_copies_match_plain_order_sampling(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mixed = mix_sources(docs).withColumn("u", _uniform(F.col("doc_id"), 17)).withColumn("k", F.xxhash64(F.lit(18), F.col("doc_id"))).collect()
     targets = {x["source"]: (x["source_size"], x["target"]) for x in source_targets(docs.select("source", F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long").alias("size"))).collect()}
-    want = plain_mix([(x["doc_id"], x["source"], x["size"], x["u"], x["k"]) for x in mixed], targets)
+    want = plain_mix([(x["doc_id"], x["source"], x["size"], x["u"], x["k"]) for x in mixed], targets, {x["doc_id"]: x["rate"] for x in mixed})
     assert {x["doc_id"]: x["copies"] for x in mixed} == want
     assert all(x["size"] == len(t.split()) for x, (_, t, _) in zip(sorted(mixed), rows, strict=True))
+    for s, (_, target) in targets.items():
+        assert abs(sum(x["taken"] for x in mixed if x["source"] == s) - target) <= 150
 
 
 def test_brute_is_what_the_scans_count():
