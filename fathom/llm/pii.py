@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from fathom.llm.common import ascii_lower, let, text_or_empty
 from fathom.llm.spans import by_place, count_kind, find_spans, with_neighbours, written
+from fathom.llm.sqltext import S, Sql, ascii_lower, let, text_or_empty
 from fathom.runtime import discard, materialize
 
 #: The shapes of personal data. \G and the look-behind only spare hopeless starts.
@@ -20,28 +20,28 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "found")
 
 
-def _digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
+def _digits(m: Sql) -> Sql:
+    return S.regexp_replace(m, "[^0-9]", "")
 
 
-def _luhn(digits: Column) -> Column:
-    each = F.filter(F.split(F.reverse(digits), ""), lambda c: c != "")
-    worth = F.transform(each, lambda c, i: let(c.cast("int") * (i % 2 + 1), lambda x: F.when(x > 9, x - 9).otherwise(x)))
-    return F.aggregate(worth, F.lit(0), lambda s, x: s + x) % 10 == 0
+def _luhn(digits: Sql) -> Sql:
+    each = S.filter(S.split(S.reverse(digits), ""), lambda c: c != "")
+    worth = S.transform(each, lambda c, i: let(c.cast("int") * (i % 2 + 1), lambda x: S.when(x > 9, x - 9, x)))
+    return S.aggregate(worth, 0, lambda s, x: s + x) % 10 == 0
 
 
-def _identifies(m: Column) -> Column:
+def _identifies(m: Sql) -> Sql:
     """Four digits or more, letters with digits, or a name with an underscore or at sign in it."""
-    return (F.length(_digits(m)) >= 4) | (m.rlike("[0-9]") & m.rlike("[A-Za-z]")) | m.rlike("[A-Za-z0-9][_@][A-Za-z0-9]|@[A-Za-z]")
+    return (S.length(_digits(m)) >= 4) | (S.rlike(m, "[0-9]") & S.rlike(m, "[A-Za-z]")) | S.rlike(m, "[A-Za-z0-9][_@][A-Za-z0-9]|@[A-Za-z]")
 
 
-def base_spans(t: Column, near: bool = False) -> dict[str, Column]:
+def base_spans(t: Sql, near: bool = False) -> dict[str, Sql]:
     """Spans of each base kind in a text that isn't null; a match that fails its test is dropped."""
-    some = t.rlike("[0-9]")
-    card = F.filter(find_spans(t, CARD, some, near), lambda x: let(_digits(x["m"]), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(F.lit(False))))
-    phone = F.filter(find_spans(t, PHONE, F.contains(t, F.lit("+")), near), lambda x: F.length(_digits(x["m"])).between(9, 15))
-    ip = F.filter(find_spans(t, IP, t.rlike(r"[0-9]\.[0-9]"), near), lambda x: F.forall(F.split(x["m"], r"\."), lambda n: F.coalesce(n.try_cast("long"), F.lit(999)) <= 255))
-    return {"email": find_spans(t, EMAIL, F.contains(t, F.lit("@")), near), "ip": ip, "card": card, "phone": phone}
+    some = S.rlike(t, "[0-9]")
+    card = S.filter(find_spans(t, CARD, some, near), lambda x: let(_digits(x["m"]), lambda d: S.when(S.length(d).between(12, 19), _luhn(d), False)))
+    phone = S.filter(find_spans(t, PHONE, S.contains(t, "+"), near), lambda x: S.length(_digits(x["m"])).between(9, 15))
+    ip = S.filter(find_spans(t, IP, S.rlike(t, r"[0-9]\.[0-9]"), near), lambda x: S.forall(S.split(x["m"], r"\."), lambda n: S.coalesce(n.try_cast("long"), 999) <= 255))
+    return {"email": find_spans(t, EMAIL, S.contains(t, "@"), near), "ip": ip, "card": card, "phone": phone}
 
 
 #: Code points next to a place that are looked at first; only where they don't hold two words whole are more.
@@ -49,28 +49,28 @@ FIRST_LOOK = 48
 _WHITE, _BLACK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
-def _two_words(near: Column, far: Column, one: bool = False) -> Column:
+def _two_words(near: Sql, far: Sql, one: bool = False) -> Sql:
     """The first two words of ``near`` if it holds them whole, else of ``far``, with the punctuation
     that they touch; with ``one``, one word if there are no more; else empty."""
     two = rf"\A{_WHITE}*({_BLACK}+{_WHITE}+{_BLACK}+)"
-    short = F.left(near, F.lit(FIRST_LOOK))
-    tries = [F.regexp_extract(short, two + _WHITE, 1), F.regexp_extract(near, two + _WHITE, 1), F.regexp_extract(far, two, 1)]
-    tries += [F.regexp_extract(far, rf"\A{_WHITE}*({_BLACK}+)", 1)] * one
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in tries], F.lit(""))
+    short = S.left(near, FIRST_LOOK)
+    tries = [S.regexp_extract(short, two + _WHITE, 1), S.regexp_extract(near, two + _WHITE, 1), S.regexp_extract(far, two, 1)]
+    tries += [S.regexp_extract(far, rf"\A{_WHITE}*({_BLACK}+)", 1)] * one
+    return S.coalesce(*[S.nullif(x, "") for x in tries], "")
 
 
-def _before(near: Column, far: Column) -> Column:
+def _before(near: Sql, far: Sql) -> Sql:
     """The last two words of what lies before a place, in lower case."""
-    return ascii_lower(F.reverse(_two_words(F.reverse(F.right(near, F.lit(8 * FIRST_LOOK))), F.reverse(far), one=True)))
+    return ascii_lower(S.reverse(_two_words(S.reverse(S.right(near, 8 * FIRST_LOOK)), S.reverse(far), one=True)))
 
 
-def _behind(far: Column) -> Column:
+def _behind(far: Sql) -> Sql:
     """The first two words of what lies behind a place, in lower case."""
     return ascii_lower(_two_words(far, far))
 
 
-def _instance(m: Column) -> Column:
-    return F.xxhash64(F.regexp_replace(ascii_lower(m), "[^0-9a-z@.]", ""))
+def _instance(m: Sql) -> Sql:
+    return S.xxhash64(S.regexp_replace(ascii_lower(m), "[^0-9a-z@.]", ""))
 
 
 #: A bound on rounds that only guards against a graph that never settles.
@@ -111,19 +111,19 @@ def trusted_patterns(seen: DataFrame, rounds: int = MOST_ROUNDS, min_seeds: int
 _SEEN = "array<struct<a:int,b:int,pattern:string,instance:bigint,seed:int>>"
 
 
-def _overlap_free(tokens: Column, base: Column) -> Column:
+def _overlap_free(tokens: Sql, base: Sql) -> Sql:
     """Tokens that touch no base span, by one sweep over the places of both."""
 
-    def clear(s: Column) -> Column:
-        return F.coalesce(s["left"]["b"] <= s["x"]["a"], F.lit(True)) & F.coalesce(s["right"]["a"] >= s["x"]["b"], F.lit(True))
+    def clear(s: Sql) -> Sql:
+        return S.coalesce(s["left"]["b"] <= s["x"]["a"], True) & S.coalesce(s["right"]["a"] >= s["x"]["b"], True)
 
-    def sweep(placed: Column) -> Column:
+    def sweep(placed: Sql) -> Sql:
         # tokens are in order of their places, and so is what is left of the sweep
-        swept = F.filter(with_neighbours(placed, lambda x: x["kind"] == "base"), lambda s: s["x"]["kind"] == "token")
-        judged = F.zip_with(tokens, F.transform(swept, clear), lambda x, ok: F.struct(x.alias("x"), ok.alias("ok")))
-        return F.transform(F.filter(judged, lambda z: z["ok"]), lambda z: z["x"])
+        swept = S.filter(with_neighbours(placed, lambda x: x["kind"] == "base"), lambda s: s["x"]["kind"] == "token")
+        judged = S.zip_with(tokens, S.transform(swept, clear), lambda x, ok: S.struct(x.alias("x"), ok.alias("ok")))
+        return S.transform(S.filter(judged, lambda z: z["ok"]), lambda z: z["x"])
 
-    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(let(by_place({"base": base, "token": tokens}), sweep))
+    return S.when((S.size(tokens) == 0) | (S.size(base) == 0), tokens, let(by_place({"base": base, "token": tokens}), sweep))
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds: int = MOST_ROUNDS, min_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
@@ -146,23 +146,23 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rounds
     """
     t = text_or_empty(text)
 
-    def places(p: Column) -> Column:
-        def with_patterns(spans: Column, seed: bool) -> Column:
-            def edges(x: Column) -> Column:
-                def edge(side: str, words: Column) -> Column:
-                    return F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(words != "", F.concat(F.lit(side), words)).alias("pattern"), _instance(x["m"]).alias("instance"), F.lit(int(seed)).alias("seed"))
+    def places(p: Sql) -> Sql:
+        def with_patterns(spans: Sql, seed: bool) -> Sql:
+            def edges(x: Sql) -> Sql:
+                def edge(side: str, words: Sql) -> Sql:
+                    return S.struct(x["a"].alias("a"), x["b"].alias("b"), S.when(words != "", S.concat(side, words)).alias("pattern"), _instance(x["m"]).alias("instance"), S.lit(int(seed)).alias("seed"))
 
-                return F.array(edge("<", _before(x["l"], x["l2"])), edge(">", _behind(x["r"])))
+                return S.array(edge("<", _before(x["l"], x["l2"])), edge(">", _behind(x["r"])))
 
-            return F.flatten(F.transform(spans, edges)).cast(_SEEN)
+            return S.flatten(S.transform(spans, edges)).cast(_SEEN)
 
-        base = F.concat(*[p[k] for k in BASE])
-        tokens = F.filter(p["token"], lambda x: _identifies(x["m"]))
-        seen = let(F.struct(base.alias("base"), tokens.alias("tokens")), lambda q: F.concat(with_patterns(q["base"], True), with_patterns(_overlap_free(q["tokens"], q["base"]), False)))
-        return F.struct(by_place({k: p[k] for k in BASE}).alias("base"), F.filter(seen, lambda x: x["pattern"].isNotNull()).alias("near"))
+        base = S.concat(*[p[k] for k in BASE])
+        tokens = S.filter(p["token"], lambda x: _identifies(x["m"]))
+        seen = let(S.struct(base.alias("base"), tokens.alias("tokens")), lambda q: S.concat(with_patterns(q["base"], True), with_patterns(_overlap_free(q["tokens"], q["base"]), False)))
+        return S.struct(by_place({k: p[k] for k in BASE}).alias("base"), S.filter(seen, lambda x: S.isnotnull(x["pattern"])).alias("near"))
 
-    kinds = base_spans(t, True) | {"token": find_spans(t, TOKEN, t.rlike("[0-9_@]"), True)}
-    placed = let(F.struct(*[c.alias(k) for k, c in kinds.items()]), places)
+    kinds = base_spans(t, True) | {"token": find_spans(t, TOKEN, S.rlike(t, "[0-9_@]"), True)}
+    placed = let(S.struct(*[c.alias(k) for k, c in kinds.items()]), places).column()
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.monotonically_increasing_id().alias("__row"), placed.alias("p"))
     slim = materialize(slim.select("__id", "__row", "p.base", "p.near"), "pii")
     tokens = slim.select("__row", F.explode("near").alias("x")).select("__row", "x.*").withColumnRenamed("pattern", "context")
@@ -176,6 +176,7 @@ def pii_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """Per row of ``docs``: counts and a hash of the base spans, and all spans as text. Nulls, repeats
     and empty tables are as in ``scan_pii``."""
     found = scan_pii(docs, id_col, text)
-    base = F.filter("pii", lambda x: x["k"] < len(BASE))
-    counts = [count_kind(F.col("pii"), k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return found.select(id_col, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
+    all_ = S.col("pii")
+    base = S.filter(all_, lambda x: x["k"] < len(BASE))
+    counts = [count_kind(all_, k).alias(f"n_{kind}").column() for k, kind in enumerate(BASE)]
+    return found.select(id_col, *counts, S.sha2(written(base), 256).alias("base_sha256").column(), written(all_).alias("spans").column())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from fathom.llm.common import let, replace_columns, text_or_empty
+from fathom.llm.common import replace_columns
 from fathom.llm.spans import by_place, count_kind, find_spans, with_neighbours, written
+from fathom.llm.sqltext import S, Sql, let, text_or_empty
 
 #: The shapes of secrets.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,35 +29,35 @@ _PLACES = "array<struct<a:int,k:int,b:int,kind:string>>"
 _LINKS = "array<struct<a:int,b:int,kind:string,with_a:int,with_b:int,with_kind:string>>"
 
 
-def _looks_random(m: Column) -> Column:
-    return m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
+def _looks_random(m: Sql) -> Sql:
+    return S.rlike(m, "[0-9]") & S.rlike(m, "[a-z]") & S.rlike(m, "[A-Z]")
 
 
-def _is(x: Column, kinds: tuple[str, ...]) -> Column:
+def _is(x: Sql, kinds: tuple[str, ...]) -> Sql:
     return x["kind"].isin(*kinds)
 
 
-def _free(placed: Column) -> Column:
+def _free(placed: Sql) -> Sql:
     """The places without weak ones that overlap a base one."""
     swept = with_neighbours(placed, lambda x: _is(x, BASE))
-    clear = F.filter(swept, lambda s: _is(s["x"], BASE) | (F.coalesce(s["left"]["b"] <= s["x"]["a"], F.lit(True)) & F.coalesce(s["right"]["a"] >= s["x"]["b"], F.lit(True))))
-    return F.transform(clear, lambda s: s["x"])
+    clear = S.filter(swept, lambda s: _is(s["x"], BASE) | (S.coalesce(s["left"]["b"] <= s["x"]["a"], True) & S.coalesce(s["right"]["a"] >= s["x"]["b"], True)))
+    return S.transform(clear, lambda s: s["x"])
 
 
-def _links(placed: Column, kinds: tuple[str, ...], scope: int) -> Column:
+def _links(placed: Sql, kinds: tuple[str, ...], scope: int) -> Sql:
     """Places of ``kinds`` (of one complement), each with its nearest complement within the scope."""
 
-    def gap(s: Column, side: str) -> Column:
+    def gap(s: Sql, side: str) -> Sql:
         away = s["x"]["a"] - s["left"]["b"] if side == "left" else s["right"]["a"] - s["x"]["b"]
-        return F.when(away <= scope, F.greatest(away, F.lit(0)))
+        return S.when(away <= scope, S.greatest(away, 0))
 
-    def nearest(s: Column) -> Column:
-        left = gap(s, "left") <= F.coalesce(gap(s, "right"), F.lit(scope + 1))
-        return F.when(left, s["left"]).when(gap(s, "right").isNotNull(), s["right"])
+    def nearest(s: Sql) -> Sql:
+        left = gap(s, "left") <= S.coalesce(gap(s, "right"), scope + 1)
+        return S.when(left, s["left"], S.when(S.isnotnull(gap(s, "right")), s["right"]))
 
-    swept = F.filter(with_neighbours(placed, lambda x: _is(x, COMPLEMENT[kinds[0]])), lambda s: _is(s["x"], kinds))
-    met = F.filter(F.transform(swept, lambda s: F.struct(s["x"].alias("x"), nearest(s).alias("y"))), lambda m: m["y"].isNotNull())
-    return F.transform(met, lambda m: F.struct(*[m[side][c].alias(name + c) for side, name in (("x", ""), ("y", "with_")) for c in ("a", "b", "kind")])).cast(_LINKS)
+    swept = S.filter(with_neighbours(placed, lambda x: _is(x, COMPLEMENT[kinds[0]])), lambda s: _is(s["x"], kinds))
+    met = S.filter(S.transform(swept, lambda s: S.struct(s["x"].alias("x"), nearest(s).alias("y"))), lambda m: S.isnotnull(m["y"]))
+    return S.transform(met, lambda m: S.struct(*[m[side][c].alias(name + c) for side, name in (("x", ""), ("y", "with_")) for c in ("a", "b", "kind")])).cast(_LINKS)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -79,32 +80,32 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
     empty table an empty one. Input columns named like the two new ones, in any case, give way.
     """
     t = text_or_empty(text)
-    assign = F.filter(find_spans(t, ASSIGN, t.rlike("(?i:password|passwd|secret|token|api_?key)")), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 6)
+    assign = S.filter(find_spans(t, ASSIGN, S.rlike(t, "(?i:password|passwd|secret|token|api_?key)")), lambda x: S.length(S.regexp_extract(x["m"], ASSIGN, 1)) >= 6)
     parts = {
         "assign": assign,
-        "access": find_spans(t, ACCESS, F.contains(t, F.lit("AKIA"))),
-        "hex": find_spans(t, HEX, t.rlike(HEX)),
-        "identity": find_spans(t, IDENTITY, t.rlike(r"(?i:user|login|client|access|account)")),
-        "endpoint": find_spans(t, ENDPOINT, F.contains(t, F.lit("://"))),
-        "random": F.filter(find_spans(t, RANDOM, t.rlike(RANDOM)), lambda x: _looks_random(x["m"])),
+        "access": find_spans(t, ACCESS, S.contains(t, "AKIA")),
+        "hex": find_spans(t, HEX, S.rlike(t, HEX)),
+        "identity": find_spans(t, IDENTITY, S.rlike(t, "(?i:user|login|client|access|account)")),
+        "endpoint": find_spans(t, ENDPOINT, S.contains(t, "://")),
+        "random": S.filter(find_spans(t, RANDOM, S.rlike(t, RANDOM)), lambda x: _looks_random(x["m"])),
     }
 
-    def link(placed: Column) -> Column:
-        found = F.array_sort(F.concat(_links(placed, ("identity", "endpoint"), scope), _links(placed, ("random",), scope)))
+    def link(placed: Sql) -> Sql:
+        found = S.array_sort(S.concat(_links(placed, ("identity", "endpoint"), scope), _links(placed, ("random",), scope)))
 
-        def report(links: Column) -> Column:
-            weak = F.transform(links, lambda x: F.struct(x["a"].alias("a"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int").alias("k"), x["b"].alias("b"), x["kind"].alias("kind")))
-            weak = F.transform(weak, lambda x: F.struct(x["a"].alias("a"), (x["k"] - 1).alias("k"), x["b"].alias("b"), x["kind"].alias("kind"))).cast(_PLACES)
-            return F.struct(F.sort_array(F.concat(F.filter(placed, lambda x: _is(x, BASE)), weak)).alias("secrets"), links.alias("links"))
+        def report(links: Sql) -> Sql:
+            weak = S.transform(links, lambda x: S.struct(x["a"].alias("a"), S.array_position(S.array(*KINDS), x["kind"]).cast("int").alias("k"), x["b"].alias("b"), x["kind"].alias("kind")))
+            weak = S.transform(weak, lambda x: S.struct(x["a"].alias("a"), (x["k"] - 1).alias("k"), x["b"].alias("b"), x["kind"].alias("kind"))).cast(_PLACES)
+            return S.struct(S.sort_array(S.concat(S.filter(placed, lambda x: _is(x, BASE)), weak)).alias("secrets"), links.alias("links"))
 
         return let(found, report)
 
-    def scan(placed: Column) -> Column:
-        alone = F.struct(placed.alias("secrets"), F.array().cast(_LINKS).alias("links"))
-        return F.when(~F.exists(placed, lambda x: _is(x, WEAK)), alone).otherwise(let(_free(placed), link))
+    def scan(placed: Sql) -> Sql:
+        alone = S.struct(placed.alias("secrets"), S.array().cast(_LINKS).alias("links"))
+        return S.when(~S.exists(placed, lambda x: _is(x, WEAK)), alone, let(_free(placed), link))
 
     scanned = let(by_place(parts).cast(_PLACES), scan)
-    held = replace_columns(docs, {"secrets": scanned})
+    held = replace_columns(docs, {"secrets": scanned.column()})
     return replace_columns(held, {"secrets": F.col("secrets.secrets"), "secret_links": F.col("secrets.links")})
 
 
@@ -112,7 +113,8 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """Per row of ``docs``: counts and a hash of the base spans, all spans, and the links as text
     (kind:start:end>kind:start:end). Nulls, repeats and empty tables are as in ``scan_secrets``."""
     found = scan_secrets(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("__text")), "__text")
-    base = F.filter("secrets", lambda x: x["k"] < len(BASE))
-    counts = [count_kind(F.col("secrets"), k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    links = F.array_join(F.transform("secret_links", lambda x: F.format_string("%s:%d:%d>%s:%d:%d", x["kind"], x["a"], x["b"], x["with_kind"], x["with_a"], x["with_b"])), ",")
-    return found.select(F.col("__id").alias(id_col), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"), links.alias("links"))
+    all_ = S.col("secrets")
+    base = S.filter(all_, lambda x: x["k"] < len(BASE))
+    counts = [count_kind(all_, k).alias(f"n_{kind}").column() for k, kind in enumerate(BASE)]
+    links = S.array_join(S.transform(S.col("secret_links"), lambda x: S.format_string("%s:%d:%d>%s:%d:%d", x["kind"], x["a"], x["b"], x["with_kind"], x["with_a"], x["with_b"])), ",")
+    return found.select(F.col("__id").alias(id_col), *counts, S.sha2(written(base), 256).alias("base_sha256").column(), written(all_).alias("spans").column(), links.alias("links").column())

@@ -94,20 +94,23 @@ def test_found_identifiers_match_plain_bootstrapping(spark):
 
 
 def test_planted_identifiers_are_found(spark):
-    """Recall over spans of every kind, and false alarms, on a corpus that holds what is planted."""
+    """Recall and false alarms at the query's own settings, on texts whose identifiers are known: known
+    kinds stand at the contexts of unseen ones in four cases of five, and numbers stand elsewhere."""
     r = random.Random(5)
-    rows, planted = [], {}
-    for i in range(300):
-        filler = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(20))
-        kind = i % 4
-        what = [f"p{i}@example.com", f"AB{i:05d}X", f"{i:06d}", None][kind]
-        lead = ["employee badge", "employee badge", "employee badge", "quantity of"][kind]
-        text = f"{filler} {lead} {what or 1000 + i} {filler}"
-        planted[i] = (len(filler) + len(lead) + 2, what)
-        rows.append((i, text))
-    got = {x["doc_id"]: [(y["a"], y["kind"]) for y in x["pii"]] for x in pii.scan_pii(spark.createDataFrame(rows, "doc_id long, text string"), confidence=0.3).collect()}
-    caught = sum(any(a == planted[i][0] for a, _ in got[i]) for i in got if planted[i][1])
-    assert caught == 225 and not any(got[i] for i in got if planted[i][1] is None)
+    rows, planted, kinds = [], {}, Counter()
+    for i in range(600):
+        filler = lambda n=20: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+        kind = r.choice(["mail", "mail", "ip", "ip", "badge", "quantity"])
+        lead = r.choice(["employee badge", "contact person"]) if kind != "quantity" else r.choice(["quantity of", "page number"])
+        what = {"mail": f"p{i}@example.com", "ip": f"10.1.{i % 250}.9", "badge": f"AB{i:05d}X", "quantity": f"{1000 + i}"}[kind]
+        before = filler()
+        rows.append((i, f"{before} {lead} {what} {filler()}"))
+        planted[i] = (len(before) + len(lead) + 2, kind)
+        kinds[kind] += 1
+    found = {x["doc_id"]: x["spans"] for x in pii.pii_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = Counter(kind for i, (a, kind) in planted.items() if any(int(s.split(":")[1]) == a for s in found[i].split(",") if s))
+    assert all(hit[k] == kinds[k] > 50 for k in ("mail", "ip", "badge")), (hit, kinds)  # recall 1 of each kind
+    assert hit["quantity"] == 0 and sum(len([s for s in x.split(",") if s]) for x in found.values()) == 600 - kinds["quantity"]  # no false alarm
 
 
 def plain_rates(sizes, target, most=3.0, tilt=2.0):

@@ -3,7 +3,7 @@ import re
 import pytest
 
 from fathom.llm.pii import _before, scan_pii, trusted_patterns
-from pyspark.sql import functions as F
+from fathom.llm.sqltext import Sql
 
 
 def plain(text, a):
@@ -15,7 +15,7 @@ def plain(text, a):
 def test_context_is_two_whole_words_wherever_they_start(spark, pad):
     befores = ["", " " * pad, "SSN:" + " " * pad, "a My" + " " * pad + "mail ", "x my mail" + "\t" * pad, "q " + "W" * pad + " \u00e9 ", "\U0001F600 " + "b" * pad + " ", "p" * pad + " q ", "one two three\n"]
     rows = spark.createDataFrame([(b + "AB-12345", len(b)) for b in befores], "t string, a int")
-    got = [r["c"] for r in rows.select(_before(F.expr("left(t, a)"), F.expr("left(t, a)")).alias("c")).collect()]
+    got = [r["c"] for r in rows.select(_before(Sql("left(t, a)"), Sql("left(t, a)")).alias("c").column()).collect()]
     assert got == [plain(b, len(b)) for b in befores]
 
 
