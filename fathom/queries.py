@@ -264,10 +264,10 @@ def bm25_by_language(spark, sf_dir):
     return bm25.top(index, _queries(spark, sf_dir), 5).select(F.col("grp").alias("lang"), "qid", "doc", F.col("rank").cast("long").alias("rank"))
 
 
-TFIDF = f"""w AS (SELECT doc_id, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INTEGER) AS b FROM (SELECT doc_id, unnest({LOW}) AS t FROM documents)),
-tf AS MATERIALIZED (SELECT doc_id, b, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
-idf AS (SELECT b, ln((SELECT n FROM n) + 1) - ln(count(*) + 1) AS idf FROM tf GROUP BY b),
-held AS (SELECT doc_id, b, tf * idf AS x FROM tf JOIN idf USING (b)), unit AS (SELECT doc_id, b, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0) AS x FROM held)"""
+TFIDF = f"""tw AS (SELECT doc_id, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INTEGER) AS b FROM (SELECT doc_id, unnest({LOW}) AS t FROM documents)),
+ttf AS MATERIALIZED (SELECT doc_id, b, count(*) AS tf FROM tw GROUP BY ALL), tn AS (SELECT count(*) AS n FROM documents),
+tidf AS (SELECT b, ln((SELECT n FROM tn) + 1) - ln(count(*) + 1) AS idf FROM ttf GROUP BY b),
+held AS (SELECT doc_id, b, tf * idf AS x FROM ttf JOIN tidf USING (b)), unit AS (SELECT doc_id, b, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0) AS x FROM held)"""
 
 
 @query(f"WITH {TFIDF} SELECT doc_id, b, round(x, 4) AS weight FROM unit WHERE round(x, 4) > 0.3")
@@ -724,10 +724,45 @@ def gold_coverage(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg(F.count("*").alias("items"), F.sum((F.col("toxic") == 1).cast("int")).alias("flagged"), F.count_if(F.col("quality") == 1).alias("with_gold"), F.round(F.avg("quality"), 6).alias("coverage"))
 
 
-# ---- what SQL can't say: tests compare these with plain Python
+# ---- chunkers that go from piece to piece: recursive SQL
+
+
+def recursive_sql(source: str, size: int, overlap: int, name: str = "rs") -> str:
+    """CTEs that end in ``name`` (id, a, b): the chunks of recursive splitting of ``source`` (id, text), as
+    places in the text. At each level a piece is cut at a separator, which stays with what follows;
+    pieces of ``size`` or more go to the next level, runs of smaller ones are packed."""
+    ctes = [f"{name}_p0 AS (SELECT id, text AS t, CAST(0 AS BIGINT) AS s FROM {source} WHERE text <> '')"]
+    for level, mark in enumerate(("chr(10) || chr(10)", "chr(10)", "' '", "''")):
+        here, last = f"{name}_p{level}", level == 3
+        cut = f"string_split(t, {mark})" if not last else "string_split(t, '')"
+        width = "0" if last else f"length({mark})"
+        own = here if last else f"(SELECT * FROM {here} WHERE contains(t, {mark}))"
+        ctes.append(
+            f"""{name}_c{level} AS (SELECT id, s, n, CASE WHEN n = 1 THEN x ELSE {"x" if last else f"{mark} || x"} END AS x FROM (SELECT id, s, unnest({cut}) AS x, generate_subscripts({cut}, 1) AS n FROM {own})),
+{name}_e{level} AS (SELECT id, s, n, x, s + sum(length(x)) OVER (PARTITION BY id, s ORDER BY n) AS e, CAST(length(x) >= {size} AS INTEGER) AS big FROM {name}_c{level} WHERE x <> ''),
+{name}_r{level} AS (SELECT id, min(e - length(x)) AS s, list(e ORDER BY n) AS e FROM (SELECT *, sum(big) OVER (PARTITION BY id, s ORDER BY n) AS run FROM {name}_e{level}) WHERE big = 0 GROUP BY id, s, run)"""
+        )
+        if not last:
+            ctes.append(f"{name}_p{level + 1} AS (SELECT id, x AS t, CAST(e - length(x) AS BIGINT) AS s FROM {name}_e{level} WHERE big = 1 UNION ALL SELECT id, t, s FROM {here} WHERE NOT contains(t, {mark}))")
+    runs = " UNION ALL ".join(f"SELECT id, CAST(s AS BIGINT) AS s, list_prepend(CAST(s AS BIGINT), [CAST(v AS BIGINT) for v in e]) AS e FROM {name}_r{k}" for k in range(4))
+    ctes.append(
+        f"""{name}_runs AS MATERIALIZED ({runs}),
+{name}_w AS (SELECT id, s, CAST(1 AS BIGINT) AS lo, greatest(2, len(list_filter(e, lambda v: v <= e[1] + {size}))) AS hi FROM {name}_runs
+  UNION ALL SELECT id, s, lo, greatest(hi + 1, len(list_filter(e, lambda v: v <= e[lo] + {size}))) FROM (
+    SELECT w.id, w.s, r.e, w.hi, len(list_filter(r.e, lambda v: r.e[w.hi] - v > least({overlap}, {size} - (r.e[w.hi + 1] - r.e[w.hi])))) + 1 AS lo FROM {name}_w w JOIN {name}_runs r ON r.id = w.id AND r.s = w.s WHERE w.hi < len(r.e))),
+{name} AS (SELECT w.id, r.e[w.lo] AS a, r.e[w.hi] AS b FROM {name}_w w JOIN {name}_runs r ON r.id = w.id AND r.s = w.s)"""
+    )
+    return ",\n".join(ctes)
 
 
-@query()
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    f"""WITH RECURSIVE docs AS (SELECT doc_id AS id, text FROM documents), {recursive_sql("docs", 500, 50)}
+    SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY a) - 1 AS INTEGER) AS pos, chunk AS text
+    FROM (SELECT id, a, trim(substr(text, a + 1, b - a), {_STRIP}) AS chunk FROM rs JOIN docs USING (id)) WHERE chunk <> ''"""
+)
 def chunk_fixed(spark, sf_dir):
     return chunk_texts(table(spark, sf_dir, "documents"), "fixed", 500, 50).select("doc_id", "pos", "text")
 
@@ -745,35 +780,101 @@ def chunk_line(spark, sf_dir):
     return chunk_texts(table(spark, sf_dir, "documents"), "line", 500, 50).select("doc_id", "pos", "text")
 
 
-@query()
+_SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+def chapters_sql(size: int, overlap: int, text: str = "replace(text, chr(10), chr(10) || chr(10))") -> str:
+    """Paragraphs of documents without headings, long ones split, in their context at small sizes."""
+    lead = f"CASE WHEN i > 1 THEN left({_SQUEEZE.format('lag(piece) OVER (PARTITION BY id ORDER BY i)')}, 220) ELSE right({_SQUEEZE.format('before')}, 160) END"
+    shown = f"CASE WHEN {size} <= 128 AND coalesce(lead, '') <> '' AND room > 0 THEN '[CTX] ' || right(right({_SQUEEZE.format('lead')}, {max(90, size // 2)}), room) || chr(10) || piece ELSE piece END"
+    return f"""WITH RECURSIVE paragraph AS (SELECT row_number() OVER (ORDER BY doc_id, n) AS id, doc_id, lag(p) OVER (PARTITION BY doc_id ORDER BY n) AS before, p AS text, length(p) > {size} AS long
+  FROM (SELECT doc_id, trim(unnest(l), {_STRIP}) AS p, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split_regex({text}, '\\n\\s*\\n') AS l FROM documents)) WHERE p <> ''),
+long_ones AS (SELECT id, text FROM paragraph WHERE long), {recursive_sql("long_ones", size, overlap)},
+pieces AS (SELECT id, a, trim(substr(text, a + 1, b - a), {_STRIP}) AS piece FROM rs JOIN paragraph USING (id) UNION ALL SELECT id, 0, text FROM paragraph WHERE NOT long),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY a) AS i, count(*) OVER (PARTITION BY id) AS n FROM pieces WHERE piece <> ''),
+led AS (SELECT doc_id, id, i, piece, long, long AND i < n AS cut, {lead} AS lead, {int(1.5 * size)} - length(piece) - 7 AS room FROM numbered JOIN paragraph USING (id)),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY id, i) - 1 AS INTEGER) AS pos, {shown} AS text, 'unknown' AS chapter_title,
+  {shown} <> piece AS context_augmented, long AS split_from_long_paragraph, cut AS boundary_truncated FROM led)"""
+
+
+@query(chapters_sql(128, 20) + " SELECT * FROM chunks")
 def chunk_structure_text(spark, sf_dir):
     return chunk_texts(_spaced(spark, sf_dir), "structure_text", 128, 20)
 
 
-@query()
+_TRIPLE = "repeat(chr(39), 3)"
+CODE = f"""WITH RECURSIVE code AS (SELECT 'f' || doc_id AS id, replace(text, chr(39), '') AS body FROM documents),
+whole AS (SELECT substr(id, 2) AS id, 'x = 1' || chr(10) || chr(10) || 'def f(self):' || chr(10) || '        return ' || {_TRIPLE} || body || {_TRIPLE} AS text, CAST(length(body) - length(replace(body, chr(10), '')) AS INTEGER) AS n FROM code),
+long_ones AS (SELECT id, text FROM whole WHERE length(text) > 500), {recursive_sql("long_ones", 500, 50)},
+split AS (SELECT id, a, trim(substr(text, a + 1, b - a), {_STRIP}) AS text FROM rs JOIN whole USING (id)),
+pieces AS (SELECT id, '0_' || (row_number() OVER (PARTITION BY id ORDER BY a) - 1) AS chunk_id, text, true AS fallback FROM split WHERE text <> '' UNION ALL SELECT id, '0', text, NULL FROM whole WHERE length(text) <= 500)
+SELECT id AS source_file, chunk_id, p.text, 'FunctionDef' AS node_type, 3 AS start_line, 4 + n AS end_line, 'class:A > function:f' AS parent, CAST(NULL AS BOOLEAN) AS is_orphan, fallback AS fallback_chunked FROM pieces p JOIN whole USING (id)
+UNION ALL SELECT id, '1', 'y = 2', 'orphan', 6 + n, 6 + n, '', true, NULL FROM whole"""
+
+
+@query(CODE)
 def chunk_structure_code(spark, sf_dir):
     body = F.concat(F.lit("class A:\n    x = 1\n    def f(self):\n        return '''"), F.replace("text", F.lit("'"), F.lit("")), F.lit("'''\n\ny = 2\n"))
     return chunk_code(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), body.alias("text")), "structure_code", 500, 50)
 
 
+# ---- what SQL can't say: tests compare this with plain Python
+
+
 @query()
 def integrity_report(spark, sf_dir):
     chunks = chunk_structure_code(spark, sf_dir)
     return metrics.integrity_metrics(chunks.select(F.coalesce("node_type", F.lit("none")).alias("node_type"), "text", "is_orphan"), ["node_type"])
 
 
-@query()
+def _grid_sql() -> str:
+    """Chunks of each setting, with their flags."""
+    parts = []
+    for mode, size in dict.fromkeys([*experiments.E1, *experiments.E2]):
+        if mode == "token":
+            made = f"SELECT array_to_string(w[i + 1 : i + {size}], ' ') AS text, NULL AS cut, NULL AS aug FROM (SELECT w, unnest(generate_series(0, CAST(ceil(greatest(len(w) - {size}, 0) / {size - 50}.0) * {size - 50} AS BIGINT), {size - 50})) AS i FROM (SELECT {WORDS} AS w FROM documents) WHERE len(w) > 0)"
+        elif mode == "fixed":
+            made = f"WITH RECURSIVE docs AS (SELECT doc_id AS id, text FROM documents), {recursive_sql('docs', size, 50)} SELECT * FROM (SELECT trim(substr(text, a + 1, b - a), {_STRIP}) AS text, NULL AS cut, NULL AS aug FROM rs JOIN docs USING (id)) WHERE text <> ''"
+        else:
+            made = f"{chapters_sql(size, 50, 'text')} SELECT text, boundary_truncated AS cut, context_augmented AS aug FROM chunks"
+        parts.append(f"SELECT '{mode}_{size}' AS setting, text, CAST(cut AS BOOLEAN) AS cut, CAST(aug AS BOOLEAN) AS aug FROM ({made})")
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    f"""SELECT setting, count(*) AS chunk_count, round(avg(coalesce(cut, {CUT})::INT), 6) AS boundary_truncation_ratio, round(avg(coalesce(aug, false)::INT), 6) AS context_augmentation_ratio,
+    count(cut) AS explicit_boundary_flags FROM ({_grid_sql()}) GROUP BY setting"""
+)
 def structure_grid(spark, sf_dir):
     grid = experiments.chunk_grid(table(spark, sf_dir, "documents").select("doc_id", "text"), [*experiments.E1, *experiments.E2])
     return experiments.structure_report(grid)
 
 
-@query()
+@query(
+    r"""WITH tok AS (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]*>|[^<]+') AS l FROM pages)),
+    tag AS (SELECT *, CASE WHEN t[1] = '<' THEN lower(regexp_extract(t, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) END AS tag FROM tok),
+    part AS (SELECT *, count(*) FILTER (tag = 'h1') OVER o AS section, last_value(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN tag END IGNORE NULLS) OVER o AS head,
+      last_value(CASE WHEN tag IN ('h1', 'h2', 'h3', 'p', '/h1', '/p') THEN tag END IGNORE NULLS) OVER o AS inside FROM tag WINDOW o AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    said AS (SELECT page_id, section, i, inside, trim(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13)) AS t
+      FROM part WHERE tag IS NULL AND section > 0 AND head = 'h1' AND inside IN ('h1', 'p')),
+    texts AS (SELECT page_id, section, trim(coalesce(string_agg(t, '' ORDER BY i) FILTER (inside = 'h1'), '')) AS name, trim(coalesce(string_agg(t, ' ' ORDER BY i) FILTER (inside = 'p'), '')) AS description FROM said GROUP BY ALL)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY section) - 1 AS INTEGER) AS seq, name, description FROM texts WHERE length(name) > 1 AND description <> ''"""
+)
 def html_sections(spark, sf_dir):
     return sections(table(spark, sf_dir, "pages"), name="h1", ends=("h1", "h2", "h3"))
 
 
-@query()
+@query(
+    f"""WITH {_bm25_sql()}, {TFIDF},
+    qw AS (SELECT item_id AS qid, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INTEGER) AS b FROM (SELECT item_id, unnest({LOW}) AS t FROM benchmark)), qtf AS (SELECT qid, b, count(*) AS tf FROM qw GROUP BY ALL),
+    qx AS (SELECT qid, b, CAST(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY qid)), 0) AS FLOAT)::DOUBLE AS x FROM (SELECT qid, b, tf * (ln((SELECT n FROM tn) + 1) - ln(coalesce(df, 0) + 1)) AS x FROM qtf LEFT JOIN (SELECT b, count(*) AS df FROM ttf GROUP BY b) USING (b))),
+    dx AS (SELECT doc_id, b, CAST(x AS FLOAT)::DOUBLE AS x FROM unit), dn AS (SELECT d.doc_id, coalesce(sum(x * x), 0) AS n2 FROM documents d LEFT JOIN dx USING (doc_id) GROUP BY 1), qn AS (SELECT qid, sum(x * x) AS n2 FROM qx GROUP BY 1),
+    dot AS (SELECT qid, doc_id, sum(qx.x * dx.x) AS p FROM qx JOIN dx USING (b) GROUP BY ALL),
+    va AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY distance, doc) AS rank FROM (SELECT qn.qid, dn.doc_id AS doc, round(qn.n2 + dn.n2 - 2 * coalesce(p, 0), 6) AS distance FROM qn CROSS JOIN dn LEFT JOIN dot ON dot.qid = qn.qid AND dot.doc_id = dn.doc_id)),
+    f AS (SELECT qid, doc, round(coalesce(1.0 / (60 + v.rank - 1), 0) + coalesce(1.0 / (60 + t.rank - 1), 0), 9) AS score, coalesce(v.rank - 1, 1000 + t.rank - 1) AS seen
+      FROM (SELECT * FROM va WHERE rank <= 1000) v FULL JOIN (SELECT * FROM best WHERE rank <= 1000) t USING (qid, doc))
+    SELECT qid, doc, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS INTEGER) AS rank FROM f JOIN documents ON doc_id = doc WHERE lang = 'en' QUALIFY rank <= 5"""
+)
 def hybrid_retrieve(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang", "source")
     return Retriever(chunks).retrieve(_queries(spark, sf_dir), 5, {"lang": "en"})
