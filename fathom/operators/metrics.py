@@ -108,14 +108,11 @@ def integrity_metrics(chunks: DataFrame, by: list[str], check_syntax: bool = Tru
 def faithfulness(answers: DataFrame, contexts: DataFrame, threshold: float = 0.35) -> DataFrame:
     """(qid, faithfulness): of an answer's sentence vectors (qid, sid, v), the share that some context
     vector (qid, v) of the query comes near to; 0 without contexts. Contexts with a ``sid`` are no
-    context of the sentence of that sid."""
-    from fathom.functions.vectors import cosine
-
-    own = F.col("sid") == F.col("own") if "sid" in contexts.columns else F.lit(False)
-    held = contexts.select("qid", F.col("v").alias("c"), (F.col("sid") if "sid" in contexts.columns else F.lit(None)).alias("own"))
-    pairs = answers.join(held, "qid", "left").withColumn("c", F.when(~F.coalesce(own, F.lit(False)), F.col("c")))
-    best = pairs.groupBy("qid", "sid").agg(F.max(cosine(F.col("v"), F.col("c"))).alias("best"))
-    return best.groupBy("qid").agg(F.round(F.avg(F.coalesce(F.col("best") >= threshold, F.lit(False)).cast("int")), 6).alias("faithfulness"))
+    context of the sentence of that sid. No pair of both is ever a row (``most_similar``)."""
+    from fathom.operators.similar import most_similar
+
+    near = F.coalesce(F.round("best", 9) >= threshold, F.lit(False))
+    return most_similar(answers, contexts).groupBy("qid").agg(F.round(F.avg(near.cast("int")), 6).alias("faithfulness"))
 
 
 def correctness_by_query(rows: DataFrame) -> DataFrame:

@@ -264,13 +264,18 @@ def bm25_by_language(spark, sf_dir):
     return bm25.top(index, _queries(spark, sf_dir), 5).select(F.col("grp").alias("lang"), "qid", "doc", F.col("rank").cast("long").alias("rank"))
 
 
-TFIDF = f"""tw AS (SELECT doc_id, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INTEGER) AS b FROM (SELECT doc_id, unnest({LOW}) AS t FROM documents)),
-ttf AS MATERIALIZED (SELECT doc_id, b, count(*) AS tf FROM tw GROUP BY ALL), tn AS (SELECT count(*) AS n FROM documents),
-tidf AS (SELECT b, ln((SELECT n FROM tn) + 1) - ln(count(*) + 1) AS idf FROM ttf GROUP BY b),
-held AS (SELECT doc_id, b, tf * idf AS x FROM ttf JOIN tidf USING (b)), unit AS (SELECT doc_id, b, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0) AS x FROM held)"""
+def tfidf_sql(rows: str, t: str = "t") -> str:
+    """CTEs that end in unit (id, b, x): vectors of the rows (id, text), weighed by what they show."""
+    return f"""{t}w AS (SELECT id, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INTEGER) AS b FROM (SELECT id, unnest({LOW}) AS t FROM ({rows}))),
+{t}tf AS MATERIALIZED (SELECT id, b, count(*) AS tf FROM {t}w GROUP BY ALL), {t}n AS (SELECT count(*) AS n FROM ({rows})),
+{t}idf AS (SELECT b, ln((SELECT n FROM {t}n) + 1) - ln(count(*) + 1) AS idf FROM {t}tf GROUP BY b),
+held AS (SELECT id, b, tf * idf AS x FROM {t}tf JOIN {t}idf USING (b)), unit AS (SELECT id, b, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY id)), 0) AS x FROM held)"""
 
 
-@query(f"WITH {TFIDF} SELECT doc_id, b, round(x, 4) AS weight FROM unit WHERE round(x, 4) > 0.3")
+TFIDF = tfidf_sql("SELECT doc_id AS id, text FROM documents")
+
+
+@query(f"WITH {TFIDF} SELECT id AS doc_id, b, round(x, 4) AS weight FROM unit WHERE round(x, 4) > 0.3")
 def tfidf_vectors(spark, sf_dir):
     """The large components of every text's vector, by an embedder fitted on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -632,6 +637,17 @@ def exact_match(spark, sf_dir):
     return _exact_match(_answered(spark, sf_dir))
 
 
+@query(
+    f"""WITH {tfidf_sql("SELECT conv_id * 1000 + turn AS id, text FROM conversations")}
+    SELECT conv_id, turn, round(coalesce(sum(a.x * b.x), 0), 4) AS semantic_similarity FROM ({ANSWERED}) p LEFT JOIN unit a ON a.id = conv_id * 1000 + turn LEFT JOIN unit b ON b.id = conv_id * 1000 + turn + 1 AND a.b = b.b GROUP BY conv_id, turn"""
+)
+def semantic_similarity(spark, sf_dir):
+    """How alike questions and answers are, by an embedder fitted on all turns."""
+    rows, fit = _answered(spark, sf_dir), TfIdf.fit(table(spark, sf_dir, "conversations"))
+    both = fit.embed(fit.embed(rows, "question", "a"), "answer", "b")
+    return both.select("conv_id", "turn", F.round(cosine(F.col("a"), F.col("b")), 4).alias("semantic_similarity"))
+
+
 CONTEXTS = "SELECT conv_id, list(text ORDER BY turn) AS c, min(turn) AS t FROM conversations GROUP BY conv_id"
 
 
@@ -868,7 +884,7 @@ def html_sections(spark, sf_dir):
     f"""WITH {_bm25_sql()}, {TFIDF},
     qw AS (SELECT item_id AS qid, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INTEGER) AS b FROM (SELECT item_id, unnest({LOW}) AS t FROM benchmark)), qtf AS (SELECT qid, b, count(*) AS tf FROM qw GROUP BY ALL),
     qx AS (SELECT qid, b, CAST(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY qid)), 0) AS FLOAT)::DOUBLE AS x FROM (SELECT qid, b, tf * (ln((SELECT n FROM tn) + 1) - ln(coalesce(df, 0) + 1)) AS x FROM qtf LEFT JOIN (SELECT b, count(*) AS df FROM ttf GROUP BY b) USING (b))),
-    dx AS (SELECT doc_id, b, CAST(x AS FLOAT)::DOUBLE AS x FROM unit), dn AS (SELECT d.doc_id, coalesce(sum(x * x), 0) AS n2 FROM documents d LEFT JOIN dx USING (doc_id) GROUP BY 1), qn AS (SELECT qid, sum(x * x) AS n2 FROM qx GROUP BY 1),
+    dx AS (SELECT id AS doc_id, b, CAST(x AS FLOAT)::DOUBLE AS x FROM unit), dn AS (SELECT d.doc_id, coalesce(sum(x * x), 0) AS n2 FROM documents d LEFT JOIN dx USING (doc_id) GROUP BY 1), qn AS (SELECT qid, sum(x * x) AS n2 FROM qx GROUP BY 1),
     dot AS (SELECT qid, doc_id, sum(qx.x * dx.x) AS p FROM qx JOIN dx USING (b) GROUP BY ALL),
     va AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY distance, doc) AS rank FROM (SELECT qn.qid, dn.doc_id AS doc, round(qn.n2 + dn.n2 - 2 * coalesce(p, 0), 6) AS distance FROM qn CROSS JOIN dn LEFT JOIN dot ON dot.qid = qn.qid AND dot.doc_id = dn.doc_id)),
     f AS (SELECT qid, doc, round(coalesce(1.0 / (60 + v.rank - 1), 0) + coalesce(1.0 / (60 + t.rank - 1), 0), 9) AS score, coalesce(v.rank - 1, 1000 + t.rank - 1) AS seen

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom import cli
-from fathom.operators import bm25, ivf
+from fathom.operators import bm25, ivf, similar
 from fathom.operators.embed import HashedTf, TfIdf
 from fathom.operators.knn import nearest
 from fathom.operators.retrieve import Retriever, build_vector_index, open_vector_index, save_vector_index
@@ -217,6 +217,30 @@ def test_lists_of_nothing(spark):
     assert ivf.search_lists(index, asked_for.where("false"), 3).count() == 0
 
 
+# ---- sentences and their contexts
+
+
+@pytest.mark.parametrize("block", [64 << 20, 900])
+@pytest.mark.parametrize("own", [True, False])
+def test_most_similar_is_the_best_of_all_pairs(spark, monkeypatch, block, own):
+    monkeypatch.setattr(similar, "BLOCK_BYTES", block)
+    pick = np.random.default_rng(3)
+    v = lambda: pick.normal(size=40).round(3)
+    sentences = [(f"q{i % 4}", i, v()) for i in range(30)] + [("alone", 100, v()), ("q1", 101, np.zeros(40))]
+    contexts = [(f"q{pick.integers(0, 4)}", int(pick.integers(0, 30)), v()) for _ in range(400)] + [("q0", i, x) for _, i, x in sentences[:12:4]] + [("other", 5, v()), ("q2", 3, np.zeros(40))]
+    frame = lambda rows: spark.createDataFrame([(q, s, x.tolist()) for q, s, x in rows], "qid string, sid long, v array<double>").repartition(4)
+    got = {(r["qid"], r["sid"]): r["best"] for r in similar.most_similar(frame(sentences), frame(contexts) if own else frame(contexts).drop("sid")).collect()}
+
+    def likeness(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(a @ b / size) if size else 0.0
+
+    for q, s, x in sentences:
+        all_ = [likeness(x, y) for p, t, y in contexts if p == q and not (own and s == t)]
+        assert got.pop((q, s)) == (pytest.approx(max(all_), abs=1e-9) if all_ else None)
+    assert not got
+
+
 # ---- runs that go on
 
 
