@@ -64,12 +64,27 @@ def with_retries(call: Callable[[str], str], attempts: int = 5, wait: float = 4.
 GENERATION = "response string, prompt_token_count long, response_token_count long, latency_sec double, throughput_tokens_per_sec double, model_id string, error string"
 
 
+_made: dict[tuple[str, str], Generator] = {}
+
+
+def _generator(make: Callable[[], Generator]) -> Generator:
+    """What ``make`` makes, once in the life of a worker, if it can be told by its name; the last such
+    one is held. Functions without a name of their own are called anew."""
+    name = (getattr(make, "__module__", "") or "", getattr(make, "__qualname__", "") or "<")
+    if "<" in name[1]:
+        return make()
+    if name not in _made:
+        _made.clear()
+        _made[name] = make()
+    return _made[name]
+
+
 def generate(prompts: DataFrame, make: Callable[[], Generator], id_col: str = "qid", prompt: str = "prompt") -> DataFrame:
-    """(qid, response, counts, latency, throughput, error): a generator, made once a task, over Arrow
+    """(qid, response, counts, latency, throughput, error): a generator, made once a worker, over Arrow
     batches. A failure is that row's error, not the job's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
+        model = _generator(make)
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -106,7 +121,7 @@ ANSWER_MODES = ("extractive", "generate")
 
 def answer_rows(contexts: DataFrame, mode: str = "extractive", make: Callable[[], Generator] = FirstSentences, n: int = 3) -> DataFrame:
     """(qid, answer, error) for rows (qid, query, contexts): sentences of the contexts, or what a
-    generator, made once a task, says to a prompt with them. An unknown mode is refused."""
+    generator, made once a worker, says to a prompt with them. An unknown mode is refused."""
     if mode not in ANSWER_MODES:
         raise ValueError(f"answer mode {mode!r} is none of {ANSWER_MODES}")
     if mode == "extractive":

@@ -88,7 +88,7 @@ def qrels_judged(spark, sf_dir):
     return runs.judged(ranked, qrels).select("qid", "doc", "rank", "relevant")
 
 
-KEYS = f"""p AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, * FROM ({ANSWERED})),
+KEYS = f"""p AS (SELECT conv_id * 1000 + turn AS id, * FROM ({ANSWERED})),
 k AS (SELECT {norm_sql('question')} AS key, max(id) AS query_id FROM p GROUP BY 1),
 e AS (SELECT CAST(id AS INTEGER) AS id, conv_id, string_split(answer, ' ')[1] AS short, [trim(x) FOR x IN string_split(question, ',') IF trim(x) <> ''] AS keys FROM p WHERE id % 4 <> 0)"""
 
@@ -103,11 +103,9 @@ e AS (SELECT CAST(id AS INTEGER) AS id, conv_id, string_split(answer, ' ')[1] AS
 def answer_correctness(spark, sf_dir):
     """User turns as queries and the answers to them, found again by their normalised text; one query in
     four has no keys, and two in three no type."""
-    from pyspark.sql import Window
-
     from fathom.queries import _answered
 
-    held = _answered(spark, sf_dir).withColumn("query_id", F.row_number().over(Window.orderBy("conv_id", "turn")))
+    held = _answered(spark, sf_dir).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
     asked = held.select("query_id", F.col("question").alias("query"), F.when(F.col("query_id") % 3 == 0, "FACT").alias("query_type"))
     keys = held.where("query_id % 4 <> 0").select("query_id", F.element_at(F.split("answer", " "), 1).alias("short_answer"), F.replace(F.replace("question", F.lit(";"), F.lit("\x01")), F.lit(","), F.lit(";")).alias("key_entities"))
     answers = held.select(F.concat(F.lit("s"), (F.col("conv_id") % 2).cast("string")).alias("setting"), F.col("question").alias("query"), F.col("answer").alias("answer_full"), F.lit("").alias("answer_preview"))

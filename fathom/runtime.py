@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,25 +38,46 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 #: Makes Spark delete the shuffles of a query that has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables that each open scope has seen written.
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that
     survive lost executors, and expensive columns are computed once. What was shuffled on the way
-    goes as soon as the table is written."""
+    goes as soon as the table is written: sessions that use this have CLEANUP set from then on."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    if spark.conf.get(CLEANUP) != "true":
+        spark.conf.set(CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(schema).parquet(path)
     table.work_path = path
+    if _scopes:
+        _scopes[-1].append((spark, path))
     return table
 
 
+@contextlib.contextmanager
+def work_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized within are deleted at its end, but for those given to ``keep``, which
+    the scope yields. Results are lazy and read such tables, so write what is wanted and keep it.
+    Scopes may lie in each other; each deletes its own."""
+    own: list[tuple[SparkSession, str]] = []
+    _scopes.append(own)
+
+    def keep(table: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x[1] != table.work_path]
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for spark, path in own:
+            drop_table(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables once nothing that is still to run reads them."""
     for table in tables:

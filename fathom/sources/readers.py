@@ -13,15 +13,16 @@ CHUNKS = f"chunk_id string, text string, source_file string, source string, seri
 QUERIES = "query_id string, qid string, query string, query_type string, type string, difficulty string, domain string, book int, chapter string, expected_entity_or_paragraph string, gold_symbols array<string>, gold_sources array<string>, gold_paragraph_ids array<string>, gold_chunk_ids array<string>, notes string"
 
 
-def text_files(spark: SparkSession, folder: str, extensions: Iterable[str] = (".txt", ".md"), recursive: bool = True) -> DataFrame:
-    """(path, source_file, text) of whole files by extension, whatever its case, in path order. A folder
-    that isn't there has none."""
+def text_files(spark: SparkSession, folder: str, extensions: Iterable[str] = (".txt", ".md"), recursive: bool = True, ordered: bool = True) -> DataFrame:
+    """(path, source_file, text) of whole files by extension, whatever its case; in path order, which
+    shuffles the texts, unless ``ordered`` is False. A folder that isn't there has none."""
     if not exists(spark, folder):
         return spark.createDataFrame([], "path string, source_file string, text string")
     either = ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", f"{{{either}}}").load(folder)
     path = F.col("_metadata.file_path")
-    return files.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("source_file"), F.col("value").alias("text")).orderBy("path")
+    found = files.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("source_file"), F.col("value").alias("text"))
+    return found.orderBy("path") if ordered else found
 
 
 def json_array(spark: SparkSession, path: str, schema: str = CHUNKS) -> DataFrame:

@@ -13,7 +13,7 @@ from fathom.functions import text as T
 from fathom.functions.vectors import cosine
 from fathom.operators import bm25, fusion, metrics
 from fathom.operators.answers import generate, with_retries
-from fathom.operators.chunkers import chunk_texts, covers, split_chapters, split_lines, split_recursive
+from fathom.operators.chunkers import chunk_texts, split_chapters, split_lines, split_recursive
 from fathom.operators.code import chunk_source, parses, split_code
 from fathom.operators.filters import equals, matches, parse_filter
 from fathom.operators.knn import nearest
@@ -181,6 +181,18 @@ def test_relevance_tiers(spark):
     assert relevant(symbols=["helper"]) and not relevant(symbols=["help"], sources=["f.py"])
 
 
+def covers(text, chunks):
+    """Whether the chunks hold all of a text that isn't white space, in order."""
+    at = 0
+    squeezed, plain = "".join(text.split()), ["".join(c.split()) for c in chunks]
+    for c in plain:
+        start = squeezed.rfind(c, 0, at + len(c))
+        if start < 0:
+            return False
+        at = max(at, start + len(c))
+    return at == len(squeezed) and all(plain)
+
+
 def test_recursive_split_keeps_its_bounds():
     text = ("Para one is here.\n\nPara two has more words in it.\n" * 8) + "x" * 300
     for size, overlap in ((50, 10), (20, 0), (7, 3)):
@@ -248,6 +260,24 @@ def test_code_chunks():
     assert any("_" in c["chunk_id"] and c["fallback_chunked"] for c in small) and all(len(c["text"]) <= 40 for c in small)
 
 
+def test_integrity_of_chunks_is_that_of_plain_python(spark):
+    """The one engine query that SQL can't say, since it parses Python."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {}
+    for _, text in docs:
+        body = "class A:\n    x = 1\n    def f(self):\n        return '''" + text.replace("'", "") + "'''\n\ny = 2\n"
+        for c in chunk_source(body, "structure_code", 500, 50):
+            first = next((x for x in c["text"].split("\n") if x.strip()), "")
+            orphan = c.get("is_orphan")
+            orphan = first[:1] in " \t" and first != "" and not first.lstrip().startswith(("def ", "class ", "@", '"""', "'''", "#")) if orphan is None else orphan
+            row = want.setdefault(c["node_type"], [0, 0, 0])
+            row[0] += 1
+            row[1] += not parses(c["text"])
+            row[2] += orphan
+    got = {r["node_type"]: [r["total"], r["syntax_error_count"], r["orphan_count"]] for r in Q.integrity_report(spark, SF).collect()}
+    assert got == want and want["FunctionDef"][1] > 0
+
+
 @pytest.mark.parametrize(("code", "fine"), [("return x", True), ("  a = 1\n  b = 2", True), ("def f(:", False), ("", True)])
 def test_parses(code, fine):
     assert parses(code) is fine
@@ -284,6 +314,42 @@ def test_generation_records_failures(spark):
     assert with_retries(fail, 3, 4.0, waits.append)("x") == "" and waits == [4.0, 8.0]
 
 
+class Counting:
+    """A generator that says which one it is."""
+
+    model_id = "counting"
+    made = 0
+
+    def __init__(self):
+        type(self).made += 1
+        self.number = type(self).made
+
+    def __call__(self, prompt):
+        import os
+
+        return f"{os.getpid()}:{self.number}"
+
+
+def test_a_worker_makes_its_generator_once(spark):
+    rows = spark.range(64).selectExpr("id AS qid", "'x' AS prompt").repartition(16)
+    said = [r["response"] for r in generate(rows, Counting).collect()] + [r["response"] for r in generate(rows, Counting).collect()]
+    assert len({x.split(":")[0] for x in said}) == len(set(said))
+
+
+def test_work_tables_go_with_their_scope(spark):
+    from fathom.runtime import materialize, work_scope
+
+    kept = materialize(spark.range(3), "kept")
+    with work_scope() as keep:
+        also = keep(materialize(spark.range(6), "also"))
+        outer = materialize(spark.range(4), "outer")
+        with work_scope():
+            inner = materialize(spark.range(5), "inner")
+            assert inner.count() == 5
+        assert not files.exists(spark, inner.work_path) and outer.count() == 4
+    assert not files.exists(spark, outer.work_path) and kept.count() == 3 and also.count() == 6
+
+
 def test_readers_and_writers(spark, tmp_path):
     folder = tmp_path / "in"
     (folder / "sub").mkdir(parents=True)
