@@ -37,3 +37,20 @@ def test_stages_do_what_they_say(spark):
     library = Tokenizer.from_file(vocabulary())
     got = sorted(map(tuple, after), key=lambda x: x[1])
     assert got == brute.tokens(sorted(((r["doc_id"], r["text"]) for r in mixed), key=lambda x: x[0]), library)
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark):
+    import pathlib
+
+    work = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "fathom"
+    before = set(work.iterdir()) if work.exists() else set()
+    got = pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.count() > 100
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(work.iterdir()) - before)
+    assert left == ["manifest", "stage-mixed", "tokens"]
