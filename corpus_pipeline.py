@@ -14,32 +14,37 @@ from fathom.llm.mixing import draw_mix
 from fathom.llm.quality import keep_good
 from fathom.llm.queries import vocabulary
 from fathom.llm.token_files import token_digests, write_token_files
-from fathom.runtime import materialize
+from fathom.runtime import discard, materialize, work_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts are among them. Repeated rows are
+    judged each."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the one of the smallest id. Texts without
+    words are near to nothing and stay; rows that repeat id and text stay once."""
     return keep_one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly such go."""
+    """Benchmark passages are cut out; documents that are mostly such go. Null texts stay null, repeated
+    rows are cut each, and an empty benchmark cuts nothing."""
     clean = remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. A null source is one, the last; null texts
+    weigh nothing."""
     return draw_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files are written; what they hold of each document comes back."""
+    """Token files are written; what they hold of each document comes back. A null text is the end id
+    alone, copies of a document follow each other, and no document makes no file."""
     folder, _ = write_token_files(docs, vocabulary())
     return token_digests(spark, folder)
 
@@ -51,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    """All stages on ``documents``. What a stage has used goes once its result is written, and so does
+    the result before. Nulls, repeats and empty tables are as the stages' operators say; an empty
+    table goes through all of them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with work_scope() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
