@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,21 +39,30 @@ class SparseIndex:
     lower: bool = False
     grouped: bool = False
 
+    @cached_property
+    def stats(self) -> dict[str | None, tuple[int, float, float | None]]:
+        """Documents, their mean length and the mean idf before its floor, by group: found once."""
+        sums = self.segments.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
+        sizes = {r["grp"]: (r["n"], r["words"] / r["n"]) for r in sums}
+        mean = {r["grp"]: r["mean"] for r in self._raw({g: (n, None) for g, (n, _) in sizes.items()}).groupBy("grp").agg(F.avg("raw").alias("mean")).collect()}
+        return {g: (n, avgdl, mean.get(g)) for g, (n, avgdl) in sizes.items()}
+
+    def _raw(self, known: dict[str | None, tuple[int, float | None]]) -> DataFrame:
+        """(grp, term, df, raw, mean): idf before its floor, and the mean of its group."""
+        rows = self.counts.sparkSession.createDataFrame([(g, n, m) for g, (n, m) in known.items()], "of string, total long, mean double")
+        held = self.counts.join(F.broadcast(rows), F.col("grp").eqNullSafe(F.col("of")))  # a row for each group
+        return held.select("grp", "term", "df", (F.log(F.col("total") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "mean")
+
     @property
     def totals(self) -> DataFrame:
-        sums = self.segments.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-        return sums.select("grp", "n", (F.col("words") / F.col("n")).alias("avgdl"))
+        return self.counts.sparkSession.createDataFrame([(g, n, avgdl) for g, (n, avgdl, _) in self.stats.items()], "grp string, n long, avgdl double")
 
     @property
     def terms(self) -> DataFrame:
         """idf is ln(N - df + 0.5) - ln(df + 0.5); where that is below 0 (a term in more than half of
         the documents) it is a quarter of the mean over all terms of the group."""
-        n = self.totals.select(F.col("grp").alias("of"), F.col("n").alias("total"))
-        counted = self.counts.join(F.broadcast(n), F.col("grp").eqNullSafe(F.col("of")))  # a row for each group
-        raw = counted.select("grp", "term", "df", (F.log(F.col("total") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-        mean = raw.groupBy(F.col("grp").alias("of")).agg(F.avg("raw").alias("mean"))
         idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-        return raw.join(F.broadcast(mean), F.col("grp").eqNullSafe(F.col("of"))).select("grp", "term", "df", idf.alias("idf"))
+        return self._raw({g: (n, mean) for g, (n, _, mean) in self.stats.items()}).select("grp", "term", "df", idf.alias("idf"))
 
     @property
     def docs(self) -> DataFrame:
@@ -238,13 +248,12 @@ def _blocks(index: SparseIndex, queries: DataFrame, qid: str, query: str) -> Ite
     """Queries in blocks of a bounded size: their ids, and by group of the index what they ask for."""
     split = queries.select(F.col(qid).alias("qid"), F.explode_outer(tokens(F.coalesce(F.col(query), F.lit("")), index.lower)).alias("term"))
     asked = split.groupBy("qid", "term").agg(F.count("*").alias("times"))
-    known = index.terms.join(F.broadcast(asked.select("term").distinct()) if asked.count() <= ASKED else asked.select("term").distinct(), "term", "left_semi")
+    known = index.terms.join(asked.select("term").distinct(), "term", "left_semi")
     weighed = asked.join(known, "term", "left").groupBy("qid").agg(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("grp", "term", (F.col("times") * F.col("idf")).alias("w")))).alias("terms"))
-    totals = {r["grp"]: r["avgdl"] for r in index.totals.collect()}  # a row for each group
     rows, n, size = [], 0, 0
 
     def block() -> tuple[list, dict[str | None, _Asked]]:
-        each = {g: _Asked(avgdl, [[(t, w) for of, t, w in r["terms"] if of == g] for r in rows]) for g, avgdl in totals.items()}
+        each = {g: _Asked(avgdl, [[(t, w) for of, t, w in r["terms"] if of == g] for r in rows]) for g, (_, avgdl, _) in index.stats.items()}
         return [r["qid"] for r in rows], each
 
     for r in weighed.toLocalIterator():

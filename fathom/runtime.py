@@ -98,8 +98,10 @@ SPLITS_PER_CORE = 2
 def dealt_out(df: DataFrame) -> DataFrame:
     """``df``, spread over all cores if it is so small that its splits would leave some idle: moving its
     rows then costs less than waiting for one core. A larger table stays where it lies. The size is
-    what the optimizer expects, from the sizes of files."""
+    what the optimizer expects, from the sizes of files. Streams stay as they are."""
     spark = df.sparkSession
+    if df.isStreaming:
+        return df
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
