@@ -66,7 +66,33 @@ def _marked(role: Column, text: Column) -> tuple[Column, Column, Column]:
     return before, escape(text), behind
 
 
-def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+_tokenizers: dict[str, object] = {}
+
+
+def _encoder(path: str):
+    """For mapInArrow over turns: their token ids, of the marks and the text one by one, so that the
+    learnt part is whole tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _tokenizers:
+            from tokenizers import Tokenizer
+
+            _tokenizers.clear()
+            _tokenizers[path] = Tokenizer.from_file(path)
+        encode = _tokenizers[path].encode_batch_fast
+        for batch in batches:
+            texts, head, body = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("text", "head", "body"))
+            parts = [x for t, h, b in zip(texts, head, body, strict=True) for x in (t[:h], t[h : h + b], t[h + b :])]
+            made = [e.ids for e in encode(parts, add_special_tokens=False)]
+            each = [made[i : i + 3] for i in range(0, len(made), 3)]
+            ids = pa.array([a + b + c for a, b, c in each], pa.list_(pa.int32()))
+            first, last = pa.array([len(a) for a, _, _ in each], pa.int32()), pa.array([len(a) + len(b) for a, b, _ in each], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, first, last], names=[*batch.schema.names, "ids", "ids_from", "ids_to"])
+
+    return run
+
+
+def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, members) of the conversations in rows (id, turn, role, text).
 
     Conversations are merged in a prefix tree, whose turns are the segments of one sequence over the
@@ -75,7 +101,8 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn: str = "
     number of the turn's node, where its text starts in the sequence, the position id of its first
     character in its conversations (ids run on from there), where its subtree ends, the formatted
     turn, the learnt part of it (null: none) and how many conversations end with it. Tokens are code
-    points. A token attends to what stands before it in a segment with start <= its place < until:
+    points; with ``tokenizer``, a file of the tokenizers library that every executor has, they are its
+    ids, and segments also have (ids, ids_from, ids_to): a turn's ids and the learnt part of them. A token attends to what stands before it in a segment with start <= its place < until:
     those are its own turn and its ancestors, so one interval a segment says all of the mask. Where
     depth is 1 a tree starts, and no interval crosses from one to the next; a loader may cut there,
     or anywhere else if it repeats the segments whose interval the cut lies in.
@@ -98,7 +125,14 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn: str = "
     learnt = F.col("role") == LEARNT
     loss = [F.when(learnt, F.length("before")).alias("loss_from"), F.when(learnt, F.length("before") + F.length("said")).alias("loss_to")]
     whole = F.concat("before", "said", "behind")
-    said = materialize(said.select("depth", "pre", "until", "n_ends", whole.alias("text"), F.length(whole).cast("long").alias("chars"), *loss), "turns")
+    said = said.select("depth", "pre", "until", "n_ends", whole.alias("text"), F.length("before").alias("head"), F.length("said").alias("body"), learnt.alias("learnt"), *loss)
+    more = []
+    if tokenizer:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in said.schema)
+        said = said.mapInArrow(_encoder(tokenizer), f"{kinds}, ids array<int>, ids_from int, ids_to int")
+        more = ["ids", *[F.when(F.col("learnt"), F.col(c)).alias(c) for c in ("ids_from", "ids_to")]]
+    size = F.size("ids") if tokenizer else F.length("text")
+    said = materialize(said.select("depth", "pre", "until", "n_ends", "text", size.cast("long").alias("chars"), "loss_from", "loss_to", *more), "turns")
 
     sizes = said.select("pre", "until", "chars", F.floor(F.col("pre") / PART_NODES).alias("part"))
     left = sizes.groupBy(F.col("until").alias("at")).agg(F.sum("chars").alias("left"))
@@ -111,17 +145,17 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn: str = "
     sums = sums.join(nexts, F.col("until") == F.col("at"), "left")
     sums = sums.select(F.col("pre").alias("number"), "start", "position", F.when(F.col("until") == total, length).otherwise(F.col("end")).alias("ends_at"))
     segments = said.join(sums, F.col("pre") == F.col("number"))
-    segments = segments.select("pre", "depth", "start", "position", F.col("ends_at").alias("until"), "text", "loss_from", "loss_to", "n_ends")
+    segments = segments.select("pre", "depth", "start", "position", F.col("ends_at").alias("until"), "text", "loss_from", "loss_to", "n_ends", *(["ids", "ids_from", "ids_to"] if tokenizer else []))
     ends = ends_of(paths).withColumnRenamed("node", "at")
     members = ends.join(trie.select("node", "pre"), F.col("at") == F.col("node")).select(F.col("conv").alias("conv_id"), "pre")
     return segments, members
 
 
-def write_conversations(rows: DataFrame, folder: str | None = None, **columns: str) -> str:
+def write_conversations(rows: DataFrame, folder: str | None = None, **settings: str) -> str:
     """Write what ``format_conversations`` makes of ``rows`` as two Parquet tables, segments in the order
     of the sequence, to a folder (a new one under spark.checkpoint.dir if not given); its path."""
     folder = (folder or new_path(rows.sparkSession, "chat")).rstrip("/")
-    segments, members = format_conversations(rows, **columns)
+    segments, members = format_conversations(rows, **settings)
     segments.repartitionByRange("start").sortWithinPartitions("start").write.mode("overwrite").parquet(f"{folder}/segments")
     members.write.mode("overwrite").parquet(f"{folder}/members")
     return folder
@@ -176,7 +210,7 @@ def conversation_digests(spark: SparkSession, folder: str) -> DataFrame:
     """
     segments = spark.read.parquet(f"{folder}/segments")
     part = lambda c: F.floor(c / PART_CHARS)
-    first, last = part(F.col("start")), part(F.col("until") - 1)
+    first, last = part(F.col("start")), part(F.greatest(F.col("start"), F.col("until") - 1))
     spread = segments.select("*", F.explode(F.sequence(first, F.greatest(first, last))).alias("part")).withColumn("own", F.col("part") == first)
     spread = spread.select("part", "start", "until", "pre", "text", "loss_from", "loss_to", "n_ends", "own")
     read = spread.repartition("part").sortWithinPartitions("part", "start").mapInArrow(_read, _READ)

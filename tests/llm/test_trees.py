@@ -149,6 +149,26 @@ def test_chat_is_read_back(spark, rows, monkeypatch):
         assert len(got) == len(conversations(rows))
 
 
+def test_chat_in_token_ids(spark, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(Q.vocabulary())
+    folder = C.write_conversations(table(spark, rows), tokenizer=Q.vocabulary())
+    segs = sorted(spark.read.parquet(f"{folder}/segments").collect(), key=lambda r: r["start"])
+    decode = lambda ids: library.decode(list(ids), skip_special_tokens=False)
+    assert [s["start"] for s in segs] == np.cumsum([0, *[len(s["ids"]) for s in segs]])[:-1].tolist()
+    last = {r["conv_id"]: r["pre"] for r in spark.read.parquet(f"{folder}/members").collect()}
+    for c, turns in conversations(rows).items():
+        at = next(s for s in segs if s["pre"] == last[c])
+        seen = [s for s in segs if s["start"] <= at["start"] < s["until"]]
+        assert [decode(s["ids"]) for s in seen] == [s["text"] for s in seen] and len(seen) == len(turns)
+        assert [s["position"] for s in seen] == np.cumsum([0, *[len(s["ids"]) for s in seen]])[:-1].tolist()
+        learnt = [C.unescape(decode(s["ids"][s["ids_from"] : s["ids_to"]])) for s in seen if s["ids_from"] is not None]
+        assert learnt == [t for r, t in turns if r == "assistant"]
+    got = {r["conv_id"]: r["n_turns"] for r in C.conversation_digests(spark, folder).collect()}
+    assert got == {c: len(t) for c, t in conversations(rows).items()}
+
+
 PIECES = ["<s>", "</s>", "<", ">", "|", "[", "]", "[INST]", " [/INST]", "<<SYS>>\n", "\n<</SYS>>\n\n", "<|", "|>", "<|end|>", "\\", "s", "/", "x", " ", "é"]
 
 
