@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 #: Makes Spark delete the shuffles of a query that has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing: dict[int, tuple[int, str]] = {}
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is set while any thread writes a table, and then is what it was before the first. It
+    must not stay: a query whose rows are fetched bit by bit would lose what it has shuffled."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _writing.get(key, (0, None))
+        before = spark.conf.get(CLEANUP) if n == 0 else before
+        _writing[key] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(key)
+            if n > 1:
+                _writing[key] = (n - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 #: Paths of the tables that each open scope has seen written.
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
@@ -45,12 +71,11 @@ _scopes: list[list[tuple[SparkSession, str]]] = []
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that
     survive lost executors, and expensive columns are computed once. What was shuffled on the way
-    goes as soon as the table is written: sessions that use this have CLEANUP set from then on."""
+    goes as soon as the table is written."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
-    if spark.conf.get(CLEANUP) != "true":
-        spark.conf.set(CLEANUP, "true")
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(schema).parquet(path)
     table.work_path = path
     if _scopes:

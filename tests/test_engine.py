@@ -336,6 +336,19 @@ def test_a_worker_makes_its_generator_once(spark):
     assert len({x.split(":")[0] for x in said}) == len(set(said))
 
 
+def test_writes_side_by_side_leave_the_session_as_it_was(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from fathom.runtime import CLEANUP, materialize
+
+    before = spark.conf.get(CLEANUP)
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda n: materialize(spark.range(n * 100).repartition(3), "side").count(), range(1, 7)))
+    assert made == [n * 100 for n in range(1, 7)] and spark.conf.get(CLEANUP) == before
+    rows = spark.range(1000).repartition(5)
+    assert sum(1 for _ in rows.toLocalIterator()) == 1000
+
+
 def test_work_tables_go_with_their_scope(spark):
     from fathom.runtime import materialize, work_scope
 
