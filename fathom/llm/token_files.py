@@ -18,7 +18,8 @@ from fathom.runtime import materialize, new_path
 
 MANIFEST = "part int, n_docs long, n_ids long, width int"
 
-#: Bytes of words and ids that a worker remembers, in two generations of this size; all else is encoded anew.
+#: Bytes of words and ids that a worker remembers, in two generations of this size; all else is encoded
+#: anew. With BLOCK_CHARS this is what a worker's memory follows; a caller may set both.
 REMEMBERED = 64_000_000
 #: Rows, and characters of texts, that are taken apart at a time, and new words in one call of the library.
 BATCH_ROWS, BLOCK_CHARS, CALL_WORDS = 2_000, 6_000_000, 5_000
@@ -87,13 +88,15 @@ class Encoder:
     vocabularies of another make, take the library's way one by one.
     """
 
-    def __init__(self, path: str, width: int | None = None):
+    def __init__(self, path: str, width: int | None = None, remembered: int = REMEMBERED, block_chars: int = BLOCK_CHARS):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.block_chars = block_chars
+
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width or width_of(self.tokenizer.get_vocab_size(True))
         self.dtype = np.dtype(f"<u{self.width}")
-        self.memory = Memory(REMEMBERED)
+        self.memory = Memory(remembered)
         self.newline = np.frombuffer(self._whole("\n"), dtype=self.dtype)
         self.by_word = self._by_word(path) and len(self.newline) == 1
         self.letters, self.bare = Letters(), Tokenizer(self.tokenizer.model)
@@ -187,7 +190,7 @@ class Encoder:
         for t in texts:
             block.append(t)
             size += len(t)
-            if size >= BLOCK_CHARS:
+            if size >= self.block_chars:
                 out += self._block(block)
                 block, size = [], 0
         return out + self._block(block)
@@ -215,11 +218,11 @@ def width_of(vocabulary: int) -> int:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str, width: int) -> Encoder:
-    if (path, width) not in _encoders:
+def _encoder(*settings: object) -> Encoder:
+    if settings not in _encoders:
         _encoders.clear()
-        _encoders[path, width] = Encoder(path, width)
-    return _encoders[path, width]
+        _encoders[settings] = Encoder(*settings)
+    return _encoders[settings]
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -235,10 +238,10 @@ def _put(where: pafs.FileSystem, path: str, chunks: Iterator[bytes]) -> None:
     where.move(own, path)
 
 
-def _writer(folder: str, path: str, end_id: int, width: int, id_col: str, text: str):
+def _writer(folder: str, path: str, end_id: int, width: int, id_col: str, text: str, remembered: int, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, end = _encoder(path, width), np.array([end_id], dtype=f"<u{width}").tobytes()
+        encoder, end = _encoder(path, width, remembered, block_chars), np.array([end_id], dtype=f"<u{width}").tobytes()
         where, root = _open(folder)
         where.create_dir(root, recursive=True)
         ids: list[tuple[np.ndarray, np.ndarray]] = []
@@ -267,7 +270,7 @@ def _writer(folder: str, path: str, end_id: int, width: int, id_col: str, text:
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text: str = "text", end_id: int = 2) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text: str = "text", end_id: int = 2, remembered: int = REMEMBERED, block_chars: int = BLOCK_CHARS) -> tuple[str, DataFrame]:
     """Encode every text and write the ids in ascending ``id_col`` order; (folder, manifest).
 
     Rows are dealt out by ranges of the id, so that files in the order of their numbers hold the
@@ -279,7 +282,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     number of ids in all files before, by prefix sums.
 
     ``folder`` must be shared by the executors and is made under spark.checkpoint.dir if not given.
-    ``tokenizer`` is a path that every executor has. ``end_id`` follows each document. A null text
+    ``tokenizer`` is a path that every executor has. ``end_id`` follows each document. ``remembered`` and
+    ``block_chars`` bound what a worker holds, never what comes out. A null text
     counts as empty. Ids are integers; a null id comes first. Repeated ids stay next to each other, by text. Empty
     tables make no file and an empty manifest.
     """
@@ -290,7 +294,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     width = width_of(max(Tokenizer.from_file(tokenizer).get_vocab_size(True), end_id + 1))
     rows = docs.select(long_id(docs, id_col).alias("__id"), F.col(f"`{text}`").alias("__text"))
     rows = rows.repartitionByRange(F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first(), F.col("__text").asc_nulls_first())
-    made = materialize(rows.mapInArrow(_writer(folder, tokenizer, end_id, width, "__id", "__text"), MANIFEST), "manifest")
+    made = materialize(rows.mapInArrow(_writer(folder, tokenizer, end_id, width, "__id", "__text", remembered, block_chars), MANIFEST), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
