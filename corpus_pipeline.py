@@ -17,6 +17,10 @@ from fathom.llm.token_files import token_digests, write_token_files
 from fathom.runtime import discard, materialize, work_scope
 
 
+#: What a tokenizing worker holds: less than by itself, since executors keep memory of the stages before.
+REMEMBERED, BLOCK_CHARS = 40_000_000, 3_000_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; null and empty texts are among them. Repeated rows are
     judged each."""
@@ -45,7 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files are written; what they hold of each document comes back. A null text is the end id
     alone, copies of a document follow each other, and no document makes no file."""
-    folder, _ = write_token_files(docs, vocabulary())
+    folder, _ = write_token_files(docs, vocabulary(), remembered=REMEMBERED, block_chars=BLOCK_CHARS)
     return token_digests(spark, folder)
 
 
