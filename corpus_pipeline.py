@@ -18,7 +18,7 @@ from fathom.runtime import discard, materialize, work_scope
 
 
 #: What a tokenizing worker holds: less than by itself, since executors keep memory of the stages before.
-REMEMBERED, BLOCK_CHARS = 40_000_000, 3_000_000
+REMEMBERED, BLOCK_CHARS = 20_000_000, 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
