@@ -19,6 +19,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents in a segment; a long array of one segment is never larger than their words.
 SEGMENT_DOCS = 512
 SEGMENT = ("seg", "grp", "n", "words", "docs", "dls", "terms", "dfs", "ats", "tfs")
+#: Rows in a row group of segments. Spark reads the arrays of a whole row group at once, up to 4,096 rows of
+#: megabytes each, so the heap of a task holds what a row group has.
+SEGMENT_FILES = {"parquet.block.row.count.limit": 8}
 #: Terms of queries, and bytes in them, that go to every task at once; more queries go in blocks.
 ASKED, ASKED_BYTES = 200_000, 1 << 23
 #: Digits of a score that count; orders of summation differ in less than that.
@@ -132,13 +135,13 @@ def build_index(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lowe
     With ``by``, documents of each value of that column are a corpus of their own, with its own
     statistics, in the same tables and passes. A row is a document; null texts have no words.
     """
-    segments = materialize(segments_of(corpus, doc, text, lower, by), "segments")
+    segments = materialize(segments_of(corpus, doc, text, lower, by), "segments", **SEGMENT_FILES)
     return SparseIndex(segments, materialize(counted(segments), "term-counts"), lower, by is not None)
 
 
 def save_index(index: SparseIndex, folder: str) -> None:
     """Write an index, to be opened by other sessions."""
-    index.segments.write.mode("overwrite").parquet(f"{folder}/segments")
+    index.segments.write.mode("overwrite").options(**SEGMENT_FILES).parquet(f"{folder}/segments")
     index.counts.write.mode("overwrite").parquet(f"{folder}/counts")
 
 
@@ -148,7 +151,7 @@ def open_index(spark: SparkSession, folder: str, lower: bool = False, grouped: b
 
 def extend_index(index: SparseIndex, corpus: DataFrame, doc: str = "doc_id", text: str = "text", by: str | None = None) -> SparseIndex:
     """The index with more documents: only they are read; counts of terms add up."""
-    more = materialize(segments_of(corpus, doc, text, index.lower, by), "segments")
+    more = materialize(segments_of(corpus, doc, text, index.lower, by), "segments", **SEGMENT_FILES)
     counts = index.counts.unionByName(counted(more)).groupBy("grp", "term").agg(F.sum("df").alias("df"))
     return SparseIndex(index.segments.select(*SEGMENT).unionByName(more), materialize(counts, "term-counts"), index.lower, index.grouped)
 
@@ -185,7 +188,7 @@ def remove_documents(index: SparseIndex, gone: DataFrame) -> SparseIndex:
     places = materialize(places, "places")
     hit = index.segments.join(places, F.col("seg") == F.col("__seg")).select(*SEGMENT, "gone")
     kinds = index.segments.select(*SEGMENT).schema
-    thinned = materialize(hit.mapInArrow(_thin, kinds), "segments")
+    thinned = materialize(hit.mapInArrow(_thin, kinds), "segments", **SEGMENT_FILES)
     rest = index.segments.join(places, F.col("seg") == F.col("__seg"), "left_anti").select(*SEGMENT)
     less = counted(hit).select("grp", "term", (-F.col("df")).alias("df"))
     counts = index.counts.unionByName(less).unionByName(counted(thinned)).groupBy("grp", "term").agg(F.sum("df").alias("df")).where("df > 0")

@@ -68,14 +68,14 @@ def _shuffles_go(spark: SparkSession) -> Iterator[None]:
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: object) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that
     survive lost executors, and expensive columns are computed once. What was shuffled on the way
-    goes as soon as the table is written."""
+    goes as soon as the table is written. ``options`` are the writer's."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
     with _shuffles_go(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     table = spark.read.schema(schema).parquet(path)
     table.work_path = path
     if _scopes:

@@ -306,3 +306,16 @@ def test_a_filter_of_the_wrong_type_fails_alone(spark):
     rows = cli.search_batch(chunks, [("owls", '{"volume": {"x": 1}}'), ("owls", '{"volume": 1}')], k=1, method="bm25").collect()
     got = {r["qid"]: (r["doc"], r["error"]) for r in rows}
     assert got[1] == (1, None) and got[0][0] is None and got[0][1]
+
+
+def test_row_groups_of_segments_are_small(spark):
+    """A row group is read at once, so it holds few segments, however many a file has."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("w1 w2").alias("text"), (F.col("id") % 50).alias("lang"))
+    index = bm25.build_index(docs, by="lang")
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(index.segments.work_path.removeprefix("file://") + "/*.parquet")]
+    assert max(f.num_rows for f in files) > 8
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 8
