@@ -245,12 +245,12 @@ def round_trip_json_lines(spark, sf_dir):
     return readers.json_lines(spark, path, "doc_id long, text string, lang string, source string")
 
 
-@query("SELECT source, lang, count(*) AS documents FROM documents GROUP BY ALL")
+@query(_PLAIN)
 def round_trip_json_array(spark, sf_dir):
-    """One list in one file is for reports: here documents by source and language."""
+    """All documents, in lists of a bounded size."""
     path = new_path(spark, "list")
-    writers.write_json_array(_sent(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("documents")), path)
-    return readers.json_array(spark, path, "source string, lang string, documents long")
+    writers.write_json_lists(_sent(spark, sf_dir), path)
+    return readers.json_array(spark, path, "doc_id long, text string, lang string, source string")
 
 
 @query("SELECT lang, CAST(count(*) AS VARCHAR) AS documents, CAST(min(doc_id) AS VARCHAR) AS first_doc FROM documents GROUP BY lang")

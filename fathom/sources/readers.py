@@ -26,7 +26,7 @@ def text_files(spark: SparkSession, folder: str, extensions: Iterable[str] = (".
 
 
 def json_array(spark: SparkSession, path: str, schema: str = CHUNKS) -> DataFrame:
-    """Records of a file that is one JSON list (or one object)."""
+    """Records of a file that is one JSON list (or one object), or of a folder of such files."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 

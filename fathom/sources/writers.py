@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: Characters from which on a list is a file of its own.
+LIST_CHARS = 1 << 23
+
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One record a line, in files that a cluster writes side by side."""
@@ -17,6 +23,31 @@ def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     whole.coalesce(1).write.mode(mode).text(path)
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records to lists of a bounded size."""
+    held, chars = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["[\n" + ",\n".join(held) + "\n]"], pa.string())], names=["value"])
+
+    for batch in batches:
+        for j in batch.column(0):
+            held.append(j.as_py())
+            chars += len(held[-1])
+            if chars >= LIST_CHARS:
+                yield made()
+                held, chars = [], 0
+    if held:
+        yield made()
+
+
+def write_json_lists(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A table of any size as JSON lists of a bounded one, each a file, that a cluster writes side by side;
+    ``readers.json_array`` reads the folder."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
+    rows.mapInArrow(_lists, "value string").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
 def write_metrics(metrics: DataFrame, details: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Two tables: <path>/metrics and <path>/details."""
     metrics.write.mode(mode).json(f"{path}/metrics")
