@@ -79,6 +79,17 @@ def _order(doc: object) -> tuple:
     return (1, tuple(_order(v) for v in doc.values())) if isinstance(doc, dict) else (1, doc)
 
 
+def _row(grp: pa.Array, docs: pa.Array, dls: np.ndarray, terms: pa.Array, dfs: np.ndarray, ats: np.ndarray, tfs: np.ndarray) -> pa.RecordBatch:
+    """One segment, with a new name."""
+
+    def one(values: pa.Array | np.ndarray) -> pa.Array:
+        values = values if isinstance(values, pa.Array) else pa.array(values, pa.int32())
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    sums = [pa.array([len(dls)], pa.int64()), pa.array([int(dls.sum())], pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), grp, *sums, *map(one, (docs, dls, terms, dfs, ats, tfs))], names=list(SEGMENT))
+
+
 def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (grp, doc, words) to segments."""
     for batch in batches:
@@ -100,19 +111,7 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes = place[words.indices.to_numpy()] * len(sizes) + np.repeat(np.arange(len(sizes)), sizes)
                 pairs, tf = np.unique(codes, return_counts=True)
                 df = np.bincount(pairs // max(1, len(sizes)), minlength=len(order))
-
-                def one(values, kind):
-                    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
-                    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([uuid.uuid4().hex]), batch.column(0).take(part.slice(0, 1)), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()),
-                        one(batch.column(1).take(part), None), one(sizes, pa.int32()), one(words.dictionary.take(order), None), one(df, pa.int32()),
-                        one(pairs % max(1, len(sizes)), pa.int32()), one(tf, pa.int32()),
-                    ],
-                    names=list(SEGMENT),
-                )
+                yield _row(batch.column(0).take(part.slice(0, 1)), batch.column(1).take(part), sizes, words.dictionary.take(order), df, pairs % max(1, len(sizes)), tf)
 
 
 def segments_of(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lower: bool = False, by: str | None = None) -> DataFrame:
@@ -157,24 +156,20 @@ def extend_index(index: SparseIndex, corpus: DataFrame, doc: str = "doc_id", tex
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments without the documents whose places stand in a last column."""
+    """Segments without the documents whose places stand in a last column, one at a time."""
     for batch in batches:
-        for r in batch.to_pylist():
-            gone = set(r.pop("gone"))
-            stay = [i for i in range(r["n"]) if i not in gone]
-            new = {i: n for n, i in enumerate(stay)}
-            ats, tfs, terms, dfs, at = [], [], [], [], 0
-            for term, df in zip(r["terms"], r["dfs"], strict=True):
-                kept = [(new[a], t) for a, t in zip(r["ats"][at : at + df], r["tfs"][at : at + df], strict=True) if a in new]
-                at += df
-                if kept:
-                    terms.append(term)
-                    dfs.append(len(kept))
-                    ats += [a for a, _ in kept]
-                    tfs += [t for _, t in kept]
-            if stay:
-                dls = [r["dls"][i] for i in stay]
-                yield pa.RecordBatch.from_pylist([{"seg": uuid.uuid4().hex, "grp": r["grp"], "n": len(stay), "words": sum(dls), "docs": [r["docs"][i] for i in stay], "dls": dls, "terms": terms, "dfs": dfs, "ats": ats, "tfs": tfs}], batch.schema.remove(batch.schema.get_field_index("gone")))
+        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        for i in range(batch.num_rows):
+            dls, dfs, ats, tfs, gone = [columns[c][i].values.to_numpy(zero_copy_only=False) for c in ("dls", "dfs", "ats", "tfs", "gone")]
+            stays = np.ones(len(dls), dtype=bool)
+            stays[gone] = False
+            if not stays.any():
+                continue
+            held = stays[ats]
+            df = np.bincount(np.repeat(np.arange(len(dfs)), dfs)[held], minlength=len(dfs))
+            kept = np.flatnonzero(df)
+            new, stay = np.cumsum(stays) - 1, pa.array(np.flatnonzero(stays))
+            yield _row(columns["grp"].slice(i, 1), columns["docs"][i].values.take(stay), dls[stays], columns["terms"][i].values.take(pa.array(kept)), df[kept], new[ats[held]], tfs[held])
 
 
 def remove_documents(index: SparseIndex, gone: DataFrame) -> SparseIndex:

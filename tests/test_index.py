@@ -319,3 +319,29 @@ def test_row_groups_of_segments_are_small(spark):
     files = [pq.ParquetFile(f).metadata for f in glob.glob(index.segments.work_path.removeprefix("file://") + "/*.parquet")]
     assert max(f.num_rows for f in files) > 8
     assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 8
+
+
+def test_thinning_takes_segments_one_at_a_time():
+    """Segments that come in one batch leave one by one, as arrays; an emptied one doesn't leave."""
+    import pyarrow as pa
+
+    rows = [("a", None, ["x", "y", "y"]), ("b", None, []), ("c", None, ["y"])]
+    flat = pa.RecordBatch.from_arrays([pa.nulls(3, pa.string()), pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["grp", "doc", "words"])
+    (one,) = bm25._segment(iter([flat]))
+    three = pa.Table.from_batches([one] * 3).combine_chunks().append_column("gone", pa.array([[0], [2], [0, 1, 2]], pa.list_(pa.int32()))).to_batches()[0]
+    made = [b.to_pylist() for b in bm25._thin(iter([three]))]
+    assert [len(b) for b in made] == [1, 1]
+    held = [{k: v for k, v in b[0].items() if k not in ("seg", "grp")} for b in made]
+    assert held[0] == {"n": 2, "words": 1, "docs": ["b", "c"], "dls": [0, 1], "terms": ["y"], "dfs": [1], "ats": [1], "tfs": [1]}
+    assert held[1] == {"n": 2, "words": 3, "docs": ["a", "b"], "dls": [3, 0], "terms": ["x", "y"], "dfs": [1, 1], "ats": [0, 0], "tfs": [1, 2]}
+
+
+def test_streamed_files_grow_in_number(spark, tmp_path):
+    """More text makes more files, not larger ones; they still come in three batches."""
+    from fathom import queries as Q
+    from fathom.runtime import parts
+
+    docs = spark.range(1000).selectExpr("id AS doc_id", "sha2(CAST(id AS STRING), 512) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    read = Q.table(spark, str(tmp_path), "documents")
+    assert parts(read) == 1 and parts(read, 4096) > 10
