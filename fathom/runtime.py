@@ -116,6 +116,20 @@ def drop_table(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+#: Bytes of a table, as its files have them, that a shuffle of whole rows should bring to one task.
+PART_BYTES = 64 << 20
+
+
+def expected_bytes(df: DataFrame) -> int:
+    """The size that the optimizer expects, from the sizes of files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def parts(df: DataFrame, size: int = PART_BYTES) -> int:
+    """Parts of at most ``size`` bytes, one at least, that ``df`` makes."""
+    return max(1, -(-expected_bytes(df) // size))
+
+
 #: Splits a core should have; a table that makes fewer is dealt out before costly work on its rows.
 SPLITS_PER_CORE = 2
 
@@ -129,5 +143,5 @@ def dealt_out(df: DataFrame) -> DataFrame:
         return df
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = expected_bytes(df)
     return df if size >= SPLITS_PER_CORE * cores * split else df.repartition(SPLITS_PER_CORE * cores)
