@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -23,21 +25,29 @@ class Embedder(Protocol):
     def embed(self, rows: DataFrame, text: str, out: str) -> DataFrame: ...
 
 
-def buckets(text: Column, dim: int) -> Column:
-    """The bucket of each lower-case token: the first 32 bits of its MD5, modulo ``dim``."""
-    return F.transform(tokens(F.coalesce(text, F.lit("")), lower=True), lambda t: (F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("long") % dim).cast("int"))
+def _words(text: Column) -> Column:
+    return tokens(F.coalesce(text, F.lit("")), lower=True)
+
+
+def _buckets(words: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of each token in lists: the first 32 bits of its MD5, modulo ``dim``; a token that comes
+    often is hashed once."""
+    flat = words.flatten().dictionary_encode()
+    held = np.array([int.from_bytes(hashlib.md5(t).digest()[:4]) % dim for t in flat.dictionary.cast(pa.binary()).to_pylist()], dtype=np.int64)
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(words)), sizes), held[flat.indices.to_numpy(zero_copy_only=False)]
 
 
 def _unit_vectors(dim: int, weights: np.ndarray | None):
-    @F.pandas_udf(ArrayType(FloatType()))
-    def vectors(lists: pd.Series) -> pd.Series:
-        flat = np.concatenate([np.zeros(0, dtype=np.int64), *lists])
-        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        held = np.bincount((rows * dim + flat).astype(np.int64), minlength=len(lists) * dim).reshape(-1, dim).astype(np.float64)
+    @F.arrow_udf(ArrayType(FloatType()))
+    def vectors(words: pa.Array) -> pa.Array:
+        rows, b = _buckets(words, dim)
+        held = np.bincount(rows * dim + b, minlength=len(words) * dim).reshape(-1, dim).astype(np.float64)
         if weights is not None:
             held *= weights
         size = np.sqrt(np.square(held).sum(axis=1, keepdims=True))
-        return pd.Series(list((held / np.where(size > 0, size, 1)).astype(np.float32)))
+        held /= np.where(size > 0, size, 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), pa.array(held.astype(np.float32).ravel()))
 
     return vectors
 
@@ -53,7 +63,7 @@ class HashedTf:
         return "hashed-tf"
 
     def embed(self, rows: DataFrame, text: str, out: str) -> DataFrame:
-        return rows.withColumn(out, _unit_vectors(self.dim, None)(buckets(F.col(text), self.dim)))
+        return rows.withColumn(out, _unit_vectors(self.dim, None)(_words(F.col(text))))
 
 
 @dataclass
@@ -78,12 +88,19 @@ class TfIdf:
     @classmethod
     def fit(cls, corpus: DataFrame, text: str = "text", dim: int = 256) -> TfIdf:
         """One pass over the corpus; documents of each bucket are partial sums, ``dim`` rows in the end."""
-        held = corpus.select(F.array_distinct(buckets(F.col(text), dim)).alias("b"))
-        n = held.select(F.count("*").alias("n"), F.lit(-1).alias("b"))
-        df = held.select(F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n")).select("n", "b")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, b = _buckets(batch.column(0), dim)
+                held = np.zeros((batch.num_rows, dim), dtype=bool)
+                held[rows, b] = True
+                n = np.append(held.sum(axis=0), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([*range(dim), -1], pa.int32())], names=["n", "b"])
+
+        found = corpus.select(_words(F.col(text)).alias("words")).mapInArrow(count, "n long, b int").groupBy("b").agg(F.sum("n").alias("n"))
         seen = np.zeros(dim, dtype=np.int64)
         documents = 0
-        for r in n.unionByName(df).collect():
+        for r in found.collect():
             if r["b"] < 0:
                 documents = r["n"]
             else:
@@ -91,7 +108,7 @@ class TfIdf:
         return cls(np.log((documents + 1) / (seen + 1)), documents)
 
     def embed(self, rows: DataFrame, text: str, out: str) -> DataFrame:
-        return rows.withColumn(out, _unit_vectors(self.dim, self.idf)(buckets(F.col(text), self.dim)))
+        return rows.withColumn(out, _unit_vectors(self.dim, self.idf)(_words(F.col(text))))
 
     def save(self, spark: SparkSession, folder: str) -> None:
         row = [(self.name, self.documents, self.idf.tolist())]

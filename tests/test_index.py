@@ -345,3 +345,17 @@ def test_streamed_files_grow_in_number(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     read = Q.table(spark, str(tmp_path), "documents")
     assert parts(read) == 1 and parts(read, 4096) > 10
+
+
+def test_buckets_of_tokens_are_their_md5s():
+    """Tokens are hashed by distinct value, in lists with empty and null ones and in a slice of them."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from fathom.operators.embed import _buckets
+
+    lists = [["a", "é", "a"], [], None, ["한", "a"], ["z"]]
+    words = pa.array([["left out"], *lists], pa.list_(pa.string())).slice(1)
+    rows, b = _buckets(words, 97)
+    assert list(zip(rows.tolist(), b.tolist(), strict=True)) == [(i, int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 97) for i, x in enumerate(lists) for t in x or ()]
