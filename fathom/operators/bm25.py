@@ -134,7 +134,7 @@ def build_index(corpus: DataFrame, doc: str = "doc_id", text: str = "text", lowe
     With ``by``, documents of each value of that column are a corpus of their own, with its own
     statistics, in the same tables and passes. A row is a document; null texts have no words.
     """
-    segments = materialize(segments_of(corpus, doc, text, lower, by), "segments", **SEGMENT_FILES)
+    segments = materialize(segments_of(corpus, doc, text, lower, by), "segments", small=True, **SEGMENT_FILES)
     return SparseIndex(segments, materialize(counted(segments), "term-counts"), lower, by is not None)
 
 
@@ -150,7 +150,7 @@ def open_index(spark: SparkSession, folder: str, lower: bool = False, grouped: b
 
 def extend_index(index: SparseIndex, corpus: DataFrame, doc: str = "doc_id", text: str = "text", by: str | None = None) -> SparseIndex:
     """The index with more documents: only they are read; counts of terms add up."""
-    more = materialize(segments_of(corpus, doc, text, index.lower, by), "segments", **SEGMENT_FILES)
+    more = materialize(segments_of(corpus, doc, text, index.lower, by), "segments", small=True, **SEGMENT_FILES)
     counts = index.counts.unionByName(counted(more)).groupBy("grp", "term").agg(F.sum("df").alias("df"))
     return SparseIndex(index.segments.select(*SEGMENT).unionByName(more), materialize(counts, "term-counts"), index.lower, index.grouped)
 
@@ -183,7 +183,7 @@ def remove_documents(index: SparseIndex, gone: DataFrame) -> SparseIndex:
     places = materialize(places, "places")
     hit = index.segments.join(places, F.col("seg") == F.col("__seg")).select(*SEGMENT, "gone")
     kinds = index.segments.select(*SEGMENT).schema
-    thinned = materialize(hit.mapInArrow(_thin, kinds), "segments", **SEGMENT_FILES)
+    thinned = materialize(hit.mapInArrow(_thin, kinds), "segments", small=True, **SEGMENT_FILES)
     rest = index.segments.join(places, F.col("seg") == F.col("__seg"), "left_anti").select(*SEGMENT)
     less = counted(hit).select("grp", "term", (-F.col("df")).alias("df"))
     counts = index.counts.unionByName(less).unionByName(counted(thinned)).groupBy("grp", "term").agg(F.sum("df").alias("df")).where("df > 0")
@@ -357,5 +357,5 @@ def top(index: SparseIndex, queries: DataFrame, k: int, qid: str = "qid", query:
 
     found = _searched(index, queries, qid, query, search)
     order = Window.partitionBy("grp", "qid").orderBy(F.desc("score"), "doc")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ranked", small=True)
     return ranked if index.grouped else ranked.drop("grp")

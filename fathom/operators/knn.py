@@ -54,7 +54,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id",
                 for i in range(0, len(ids), step):
                     near = x[i : i + step]
                     if q.size * step <= CUBE:
-                        d = ((q[:, None, :] - near[None, :, :]) ** 2).sum(axis=2)
+                        cube = q[:, None, :] - near[None, :, :]
+                        d = np.square(cube, out=cube).sum(axis=2)
                     else:
                         d = np.stack([((near - one) ** 2).sum(axis=1) for one in q])
                     best_d = np.concatenate((best_d, np.round(d, 6)), axis=1)

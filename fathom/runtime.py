@@ -39,42 +39,58 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 #: Makes Spark delete the shuffles of a query that has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_writing: dict[int, tuple[int, str]] = {}
+#: Bounds the rows that a Python worker gets at once, by their bytes.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows with long arrays that a worker gets at once. It holds two batches, the next being read
+#: before the last goes, and a freed one stays with the process.
+BATCH_BYTES = 16 << 20
+_setting: dict[tuple[int, str], tuple[int, str]] = {}
 _lock = threading.Lock()
 
 
 @contextlib.contextmanager
-def _shuffles_go(spark: SparkSession) -> Iterator[None]:
-    """CLEANUP is set while any thread writes a table, and then is what it was before the first. It
-    must not stay: a query whose rows are fetched bit by bit would lose what it has shuffled."""
-    key = id(spark._jsparkSession)
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting holds while any thread is within, and then is what it was before the first."""
+    key = (id(spark._jsparkSession), name)
     with _lock:
-        n, before = _writing.get(key, (0, None))
-        before = spark.conf.get(CLEANUP) if n == 0 else before
-        _writing[key] = (n + 1, before)
-        spark.conf.set(CLEANUP, "true")
+        n, before = _setting.get(key, (0, None))
+        before = spark.conf.get(name) if n == 0 else before
+        _setting[key] = (n + 1, before)
+        spark.conf.set(name, value)
     try:
         yield
     finally:
         with _lock:
-            n, before = _writing.pop(key)
+            n, before = _setting.pop(key)
             if n > 1:
-                _writing[key] = (n - 1, before)
+                _setting[key] = (n - 1, before)
             else:
-                spark.conf.set(CLEANUP, before)
+                spark.conf.set(name, before)
+
+
+def _shuffles_go(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """CLEANUP is set while a table is written. It must not stay: a query whose rows are fetched bit by
+    bit would lose what it has shuffled."""
+    return _set(spark, CLEANUP, "true")
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What runs within hands its workers BATCH_BYTES at once. Plans that run later don't."""
+    return _set(spark, ARROW_BYTES, f"{BATCH_BYTES}b")
 
 
 #: Paths of the tables that each open scope has seen written.
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
 
-def materialize(df: DataFrame, tag: str, **options: object) -> DataFrame:
+def materialize(df: DataFrame, tag: str, small: bool = False, **options: object) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that
     survive lost executors, and expensive columns are computed once. What was shuffled on the way
-    goes as soon as the table is written. ``options`` are the writer's."""
+    goes as soon as the table is written. With ``small``, workers get small batches. ``options`` are
+    the writer's."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
-    with _shuffles_go(spark):
+    with _shuffles_go(spark), small_batches(spark) if small else contextlib.nullcontext():
         df.write.options(**{"compression": "zstd"} | options).parquet(path)
     table = spark.read.schema(schema).parquet(path)
     table.work_path = path

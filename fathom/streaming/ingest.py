@@ -7,6 +7,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from fathom.operators import bm25
 from fathom.operators.chunkers import chunk_texts
+from fathom.runtime import small_batches
 from fathom.sources.files import exists
 
 
@@ -30,7 +31,9 @@ def stream_index(spark: SparkSession, folder: str, index: str, checkpoint: str,
     def put(batch: DataFrame, number: int) -> None:
         gone = batch.where("deleted") if "deleted" in batch.columns else batch.limit(0)
         kept = batch.where("not coalesce(deleted, false)") if "deleted" in batch.columns else batch
-        bm25.segments_of(kept, doc, text, lower).write.mode("overwrite").options(**bm25.SEGMENT_FILES).parquet(f"{index}/segments/batch={number}")
+        segments = bm25.segments_of(kept, doc, text, lower)
+        with small_batches(segments.sparkSession):
+            segments.write.mode("overwrite").options(**bm25.SEGMENT_FILES).parquet(f"{index}/segments/batch={number}")
         made = spark.read.parquet(f"{index}/segments/batch={number}")
         bm25.counted(made).write.mode("overwrite").parquet(f"{index}/counts/batch={number}")
         gone.select(F.col(doc).alias("doc")).write.mode("overwrite").parquet(f"{index}/gone/batch={number}")

@@ -321,6 +321,30 @@ def test_row_groups_of_segments_are_small(spark):
     assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 8
 
 
+@pytest.mark.parametrize("by", [None, "part"])
+def test_workers_get_small_batches(spark, monkeypatch, by):
+    """A worker gets a bounded number of bytes at once, to make segments and to search them, however large
+    its part of the table is; the ranking stays what it is, and so does the session."""
+    from fathom import runtime
+
+    def one_by_one(batches, asked, opened=bm25._opened):
+        for batch in batches:
+            assert batch.num_rows == 1
+            yield from opened(iter([batch]), asked)
+
+    docs = some_docs()
+    rows = table(spark, docs).withColumn("part", (F.col("doc_id") % 3).cast("string"))
+    before = spark.conf.get(runtime.ARROW_BYTES)
+    wanted = sorted(bm25.top(bm25.build_index(rows, by=by), asked(spark), 4).collect())
+    monkeypatch.setattr(runtime, "BATCH_BYTES", 512)
+    index = bm25.build_index(rows, by=by)
+    monkeypatch.setattr(runtime, "BATCH_BYTES", 1)
+    monkeypatch.setattr(bm25, "_opened", one_by_one)
+    assert index.segments.agg(F.max("n")).first()[0] < 16
+    assert sorted(bm25.top(index, asked(spark), 4).collect()) == wanted
+    assert spark.conf.get(runtime.ARROW_BYTES) == before
+
+
 def test_thinning_takes_segments_one_at_a_time():
     """Segments that come in one batch leave one by one, as arrays; an emptied one doesn't leave."""
     import pyarrow as pa
