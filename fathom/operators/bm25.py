@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions.text import tokens
-from fathom.runtime import dealt_out, materialize
+from fathom.runtime import dealt_out, given_back, materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents in a segment; a long array of one segment is never larger than their words.
@@ -50,15 +50,21 @@ class SparseIndex:
         mean = {r["grp"]: r["mean"] for r in self._raw({g: (n, None) for g, (n, _) in sizes.items()}).groupBy("grp").agg(F.avg("raw").alias("mean")).collect()}
         return {g: (n, avgdl, mean.get(g)) for g, (n, avgdl) in sizes.items()}
 
+    def _of_groups(self, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+        """A row a group, as an Arrow table: one of Python rows would start a second set of Python workers in
+        every executor, beside those that made the segments and keep their memory."""
+        made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+        return self.counts.sparkSession.createDataFrame(pa.table(made, names=list(kinds)))
+
     def _raw(self, known: dict[str | None, tuple[int, float | None]]) -> DataFrame:
         """(grp, term, df, raw, mean): idf before its floor, and the mean of its group."""
-        rows = self.counts.sparkSession.createDataFrame([(g, n, m) for g, (n, m) in known.items()], "of string, total long, mean double")
+        rows = self._of_groups([(g, n, m) for g, (n, m) in known.items()], of=pa.string(), total=pa.int64(), mean=pa.float64())
         held = self.counts.join(F.broadcast(rows), F.col("grp").eqNullSafe(F.col("of")))  # a row for each group
         return held.select("grp", "term", "df", (F.log(F.col("total") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "mean")
 
     @property
     def totals(self) -> DataFrame:
-        return self.counts.sparkSession.createDataFrame([(g, n, avgdl) for g, (n, avgdl, _) in self.stats.items()], "grp string, n long, avgdl double")
+        return self._of_groups([(g, n, avgdl) for g, (n, avgdl, _) in self.stats.items()], grp=pa.string(), n=pa.int64(), avgdl=pa.float64())
 
     @property
     def terms(self) -> DataFrame:
@@ -92,7 +98,7 @@ def _row(grp: pa.Array, docs: pa.Array, dls: np.ndarray, terms: pa.Array, dfs: n
 
 def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (grp, doc, words) to segments."""
-    for batch in batches:
+    for batch in given_back(batches):
         grp, doc = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         held: dict[object, list[int]] = {}
         for i, g in enumerate(grp):
@@ -157,7 +163,7 @@ def extend_index(index: SparseIndex, corpus: DataFrame, doc: str = "doc_id", tex
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments without the documents whose places stand in a last column, one at a time."""
-    for batch in batches:
+    for batch in given_back(batches):
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         for i in range(batch.num_rows):
             dls, dfs, ats, tfs, gone = [columns[c][i].values.to_numpy(zero_copy_only=False) for c in ("dls", "dfs", "ats", "tfs", "gone")]
@@ -278,7 +284,7 @@ def _searched(index: SparseIndex, queries: DataFrame, qid: str, query: str, sear
 
 
 def _opened(batches: Iterator[pa.RecordBatch], asked: dict[str | None, _Asked]) -> Iterator[tuple[str | None, pa.Array, _Segment]]:
-    for batch in batches:
+    for batch in given_back(batches):
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         for i in range(batch.num_rows):
             grp = columns["grp"][i].as_py()

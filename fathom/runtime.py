@@ -9,6 +9,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_work: str | None = None
@@ -79,6 +80,15 @@ def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None
     return _set(spark, ARROW_BYTES, f"{BATCH_BYTES}b")
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a worker. What Arrow has freed goes back to the system after each, as it otherwise
+    stays with the process, which outlives its task."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 #: Paths of the tables that each open scope has seen written.
 _scopes: list[list[tuple[SparkSession, str]]] = []
 

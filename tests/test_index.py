@@ -345,6 +345,32 @@ def test_workers_get_small_batches(spark, monkeypatch, by):
     assert spark.conf.get(runtime.ARROW_BYTES) == before
 
 
+@pytest.mark.parametrize("by", [None, "part"])
+def test_statistics_start_no_other_workers(spark, by):
+    """Sizes of groups reach the tasks without Python: a table of Python rows would have workers of its own
+    beside those of the index. An empty corpus has none."""
+    rows = table(spark, some_docs()).withColumn("part", (F.col("doc_id") % 3).cast("string"))
+    for corpus in (rows, rows.limit(0)):
+        index = bm25.build_index(corpus, by=by)
+        for made in (index.totals, index.terms):
+            assert "ExistingRDD" not in made._jdf.queryExecution().toString()
+        assert index.totals.count() == (corpus.select(by).distinct().count() if by else min(1, corpus.count()))
+        assert index.terms.count() == index.counts.count()
+
+
+def test_workers_give_memory_back_after_each_batch(monkeypatch):
+    """Arrow keeps what it frees, and a worker outlives its task: making and searching segments give it back."""
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(1)})())
+    rows = pa.RecordBatch.from_pydict({"grp": ["a", "a"], "doc": [1, 2], "words": [["x", "y"], ["y"]]})
+    made = list(bm25._segment(iter([rows] * 3)))
+    assert len(made) == len(given) == 3
+    assert len(list(bm25._opened(iter(made), {"a": bm25._Asked(1.5, [[("y", 1.0)]])}))) == 3
+    assert len(given) == 6
+
+
 def test_thinning_takes_segments_one_at_a_time():
     """Segments that come in one batch leave one by one, as arrays; an emptied one doesn't leave."""
     import pyarrow as pa
