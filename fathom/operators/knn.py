@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 #: Bytes of query vectors that go to every task at once; more are searched in blocks.
 BLOCK_BYTES = 64 << 20
 #: Differences of queries and vectors that a worker holds at once.
-CUBE = 1 << 22
+CUBE = 1 << 20
 
 
 def query_blocks(queries: DataFrame, qid: str, query: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -371,6 +371,25 @@ def test_workers_give_memory_back_after_each_batch(monkeypatch):
     assert len(given) == 6
 
 
+def test_nearest_holds_few_differences(spark, monkeypatch):
+    """A worker's differences of queries and vectors take a few MB, however many vectors a batch has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    found, vectors = [], spark.range(1).selectExpr("id AS vec_id", "array_repeat(CAST(id AS FLOAT), 64) AS embedding")
+    asked = spark.range(200).selectExpr("id AS qid", "array_repeat(CAST(id AS FLOAT), 64) AS query_vec")
+    whole = type(vectors).mapInArrow
+    monkeypatch.setattr(type(vectors), "mapInArrow", lambda self, run, *a: found.append(run) or whole(self, run, *a))
+    nearest(vectors, asked, 3)
+    batch = pa.RecordBatch.from_pydict({"vec": range(2000), "e": pa.array([[float(i)] * 64 for i in range(2000)], pa.list_(pa.float32()))})
+    tracemalloc.start()
+    (made,) = found[0](iter([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.stop()
+    assert made.column(1).to_pylist()[:3] == [0, 1, 2] and made.column(2).to_pylist()[:3] == [0.0, 64.0, 256.0]
+
+
 def test_thinning_takes_segments_one_at_a_time():
     """Segments that come in one batch leave one by one, as arrays; an emptied one doesn't leave."""
     import pyarrow as pa
