@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 #: What a normalised answer keeps.
 KEPT = r"[^a-z0-9가-힣\s]"
+#: What closes a sentence at its end.
+CLOSING = ".?!\"'”’)]}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,7 +131,7 @@ def is_chapter_title(line: Column) -> Column:
 def looks_truncated(text: Column) -> Column:
     """Not blank, and the last character closes no sentence."""
     stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return (stripped != "") & ~stripped.rlike("[.?!\"'”’)\\]}]$")
+    return (stripped != "") & ~stripped.rlike(f"[{CLOSING.replace(']', chr(92) + ']')}]$")
 
 
 def starts_orphaned(code: Column) -> Column:

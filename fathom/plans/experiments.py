@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.operators import bm25
-from fathom.operators.chunkers import chunk_texts
+from fathom.operators.chunkers import COUNTS, chunk_counts, chunk_texts
 from fathom.operators.classify import inject_header
 from fathom.operators.metrics import retrieval_by_query, retrieval_summary, structure_metrics
 from fathom.operators.retrieve import answered, ask
@@ -31,6 +31,14 @@ def structure_report(chunks: DataFrame) -> DataFrame:
     return structure_metrics(chunks, ["setting"])
 
 
+def grid_report(docs: DataFrame, settings: Sequence[tuple[str, int]], overlap: int = OVERLAP, text: str = "text") -> DataFrame:
+    """``structure_report`` of ``chunk_grid``, without the chunks: texts are read once for all settings,
+    and counts are all that leaves a worker."""
+    sums = chunk_counts(docs, settings, overlap, text).groupBy("setting").agg(*[F.sum(c).alias(c) for c in COUNTS]).where("chunk_count > 0")
+    ratio = lambda c: F.round(F.col(c) / F.col("chunk_count"), 6)
+    return sums.select("setting", "chunk_count", ratio("cut").alias("boundary_truncation_ratio"), ratio("augmented").alias("context_augmentation_ratio"), F.col("flagged").alias("explicit_boundary_flags"))
+
+
 def retrieval_report(chunks: DataFrame, queries: DataFrame, gold: DataFrame, settings: Sequence[str], k: int = 5, id_col: str = "doc_id") -> DataFrame:
     """(setting, qid, metrics): text retrieval over each setting's chunks against gold (qid, id).
 
