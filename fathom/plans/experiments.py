@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.operators import bm25
-from fathom.operators.chunkers import COUNTS, chunk_counts, chunk_texts
+from fathom.operators.chunk_counts import COUNTS, chunk_counts
+from fathom.operators.chunkers import chunk_texts
 from fathom.operators.classify import inject_header
 from fathom.operators.metrics import retrieval_by_query, retrieval_summary, structure_metrics
 from fathom.operators.retrieve import answered, ask

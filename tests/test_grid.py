@@ -5,6 +5,8 @@ import random
 import pytest
 
 from fathom import queries as Q
+from fathom.functions.text import CLOSING
+from fathom.operators import chunk_counts
 from fathom.operators.chunkers import split_recursive
 from fathom.plans import experiments
 
@@ -46,12 +48,15 @@ def odd_texts(n, most=60):
     return ["".join(rng.choices(PARTS, k=rng.randint(0, most))) for _ in range(n)]
 
 
-def test_spans_are_those_of_a_split_piece_by_piece():
+def test_pieces_are_those_of_a_split_piece_by_piece():
     rng = random.Random(3)
-    for text in odd_texts(2000, 40):
+    texts = [t for t in odd_texts(2000, 40) if t]
+    for i in range(0, len(texts), 3):
         size = rng.randint(1, 40)
         overlap = rng.randint(-2, size)
-        assert split_recursive(text, size, overlap) == plain(text, size, overlap), (text, size, overlap)
+        want = [c for t in texts[i : i + 3] for c in plain(t, size, overlap)]
+        assert want == [c for t in texts[i : i + 3] for c in split_recursive(t, size, overlap)]
+        assert [*chunk_counts.Pieces(texts[i : i + 3]).recursive(size, overlap)] == [len(want), sum(c[-1] not in CLOSING for c in want)], (texts[i : i + 3], size, overlap)
 
 
 @pytest.mark.parametrize("overlap", [0, 7])
@@ -62,6 +67,8 @@ def test_grid_is_counted_as_its_chunks_are(spark, overlap):
     want = experiments.structure_report(experiments.chunk_grid(docs, settings, overlap)).collect()
     got = experiments.grid_report(docs, settings, overlap)
     assert sorted(got.collect()) == sorted(want) and len(want) == len(set(settings))
+    several = chunk_counts.count_chunks(texts, settings, overlap)
+    assert (several == sum(chunk_counts.count_chunks([t], settings, overlap) for t in texts)).all()
     assert experiments.grid_report(docs.where("text is null"), settings, overlap).count() == 0
 
 
