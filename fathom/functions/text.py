@@ -131,7 +131,7 @@ def is_chapter_title(line: Column) -> Column:
 def looks_truncated(text: Column) -> Column:
     """Not blank, and the last character closes no sentence."""
     stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return (stripped != "") & ~stripped.rlike(f"[{CLOSING.replace(']', chr(92) + ']')}]$")
+    return (stripped != "") & ~stripped.rlike(f"[{re.escape(CLOSING)}]$")
 
 
 def starts_orphaned(code: Column) -> Column:

@@ -36,9 +36,8 @@ class Pieces:
         self.kinds = _KINDS[np.minimum(codes, len(_KINDS) - 1)]
         self.starts = np.cumsum([0, *map(len, texts)])
 
-        def marked(places: np.ndarray | list[int]) -> np.ndarray:
-            mark = np.zeros(len(codes) + 1, bool)
-            mark[: len(places)] = places if len(places) else False
+        def marked(places: np.ndarray) -> np.ndarray:
+            mark = np.append(places, True)
             mark[self.starts] = True
             return mark
 
